@@ -175,6 +175,11 @@ def shingles(h: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return hh, np.searchsorted(dd, np.arange(len(n) + 1))
 
 
+def prefix_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0 to n hashes, modulo 2**64."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark longs."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
