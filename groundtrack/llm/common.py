@@ -92,6 +92,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII byte but letters and digits, as separators of words without punctuation.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def _powers(n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
@@ -100,11 +102,11 @@ def _powers(n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def _piece_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word and its first byte, for texts that follow each other in buf."""
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = ~_SPACE[buf]
+    word = ~gap[buf]
     before = np.empty_like(word)
     before[0] = False
     before[1:] = word[:-1]
@@ -120,22 +122,22 @@ def _piece_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(np.add.reduceat(each, at)), at
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words are runs of bytes other than space and \\x09-\\x0D, with A-Z in lower case.
 
     Returns the 64-bit hash of each word, its first byte in buf, and the n + 1 offsets of texts in
     these. A text longer than a few slices is hashed in pieces cut at white space.
     """
     if len(buf) <= 4 * SLICE_BYTES:
-        h, at = _piece_words(buf, offs)
+        h, at = _piece_words(buf, offs, gap)
     else:
         hs, ats, a = [], [], 0
         while a < len(buf):
             b = min(len(buf), a + SLICE_BYTES)
-            while b < len(buf) and not _SPACE[buf[b]]:
+            while b < len(buf) and not gap[buf[b]]:
                 b += 1
             inner = offs[(offs > a) & (offs < b)] - a
-            h, at = _piece_words(buf[a:b], np.concatenate([[0], inner, [b - a]]))
+            h, at = _piece_words(buf[a:b], np.concatenate([[0], inner, [b - a]]), gap)
             hs.append(h)
             ats.append(at + a)
             a = b

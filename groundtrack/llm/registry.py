@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from groundtrack.llm import jaccard_join
+from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, source_mix
 
 QUERIES = {
+    "op2_source_mix": source_mix.query,
+    "op4_line_dedup": line_dedup.query,
+    "op7_decontaminate": decontaminate.query,
     "op9_jaccard_join": jaccard_join.query,
+    "op10_language_id": language_id.query,
 }
 
 SQL = {
