@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import components, cut, mix, prefix_sums, shingles, signed, slices, utf8, words
+from groundtrack.llm.common import components, cut, fresh, mix, prefix_sums, shingles, signed, slices, utf8, words
 
 #: Shingles in one block of an inverted index.
 BLOCK = 1 << 20
@@ -287,6 +287,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     )
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents, all their columns, with only the smallest doc_id of each component; one row of
+    each doc_id. Rows without doc_id stay."""
+    nth, key = fresh(docs, "_nth"), fresh(docs, "_doc_id")
+    kept = jaccard_components(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    rows = docs.join(kept, docs["doc_id"] == F.col(key), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return rows.withColumn(nth, first).where(F.col(nth) == 1).drop(nth).unionByName(docs.where("doc_id is null"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: components over links of 3-word shingles at a similarity of 0.9."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import _powers, cut, mix, prefix_sums, signed, slices, utf8, words
+from groundtrack.llm.common import _powers, cut, fresh, mix, prefix_sums, signed, slices, utf8, words
 
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -150,21 +150,24 @@ def repeated_lines(docs: DataFrame, least: int = 5, near: int = 8) -> DataFrame:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column holds the numbers of the lines that go."""
     for batch in batches:
-        at, gone = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index("_gone")).to_pylist()
+        at, last = batch.schema.get_field_index("text"), batch.num_columns - 1
         texts = batch.column(at).to_pylist()
-        for i, lost in enumerate(gone):
+        for i, lost in enumerate(batch.column(last).to_pylist()):
             if lost and texts[i] is not None:
                 lost = set(lost)
                 texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in lost)
-        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-        yield batch.drop_columns(["_gone"])
+        columns = batch.columns[:last]
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:last]))
 
 
 def dedup(docs: DataFrame, least: int = 5, near: int = 8) -> DataFrame:
     """The documents, all their columns, with the repeated lines taken out of text."""
-    gone = repeated_lines(docs, least, near).select(F.col("doc_id").alias("_doc_id"), F.col("lines").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == F.col("_doc_id"), "left").drop("_doc_id")
+    key, lost = fresh(docs, "_doc_id"), fresh(docs, "_gone")
+    gone = repeated_lines(docs, least, near).select(F.col("doc_id").alias(key), F.col("lines").alias(lost))
+    joined = docs.join(gone, docs["doc_id"] == F.col(key), "left").drop(key)
     return joined.mapInArrow(_rebuild, docs.schema)
 
 

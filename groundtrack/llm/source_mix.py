@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import cut
+from groundtrack.llm.common import cut, fresh
 
 #: Words in a block.
 BLOCK = 128
@@ -121,6 +121,15 @@ def mixed(docs: DataFrame) -> DataFrame:
     )
 
 
+def take(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, all their columns, with mix_size and mix_taken (words that
+    it takes, repeats counted). Rows of one doc_id share what the first takes; those without go."""
+    key = fresh(docs, "_doc_id")
+    taken = mixed(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")).where("mix_taken > 0")
+    docs = docs.drop("mix_size", "mix_taken")
+    return docs.join(taken, docs["doc_id"] == F.col(key)).drop(key)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: words that the mix takes of each document."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
