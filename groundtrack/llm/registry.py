@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, source_mix
+from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, quality, secrets, source_mix, topk
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_source_mix": source_mix.query,
+    "op3_personal_data": personal_data.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_topk": topk.query,
+    "op6_secrets": secrets.query,
     "op7_decontaminate": decontaminate.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
 }
 
 SQL = {
+    "op5_topk": topk.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
 }
