@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, quality, secrets, source_mix, topk
+from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, quality, secrets, source_mix, suffix_dedup, topk
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_topk": topk.query,
     "op6_secrets": secrets.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
 }
