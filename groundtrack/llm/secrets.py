@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a token of at least 16 characters of a-z, A-Z, 0-9, _, +, / and - (and closing =)
-that holds a digit or mixes cases inside. The forest reads its length, shares of character classes
+that holds a digit, mixes cases inside or has a provider's prefix of capitals. The forest reads its length, shares of character classes
 and transitions between classes, coverage by dictionary words, the path (the column `source`) and
 the neighbouring words; all are built-in expressions and the forest is Spark's own, so no Python runs
 on the executors. The dictionary holds the DICTIONARY most frequent of the corpus' words of four to
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from groundtrack.llm.common import cut, share_of
 
-TOKEN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})(?=[A-Za-z_+/-]*[0-9]|[A-Z_+/-]*[a-z][a-z_+/-]*[A-Z])[A-Za-z0-9_+/-]{16,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})(?=[A-Za-z_+/-]*[0-9]|[A-Z_+/-]*[a-z][a-z_+/-]*[A-Z]|AKIA|ASIA)[A-Za-z0-9_+/-]{16,}+={0,2}"
 #: Labelled findings to learn from.
 SAMPLE = 4000
 DICTIONARY = 150

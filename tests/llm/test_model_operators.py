@@ -1,0 +1,188 @@
+"""Brute-force, held-out and edge-case checks of the remaining corpus operators."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from groundtrack.llm import personal_data, quality, registry, secrets, suffix_dedup, topk
+
+SCHEMA = "doc_id long, text string, lang string, source string, extra string"
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", "x") for i, t in enumerate(texts)], SCHEMA)
+
+
+def brute_removal(texts):
+    seen, out = {}, {}
+    for d, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if seen.setdefault(b[i : i + 100], (d, i)) != (d, i):
+                gone[i : i + 100] = b"\1" * 100
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out[d] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(spark, monkeypatch):
+    r = random.Random(2)
+    pool = ["".join(r.choice("abcdefgh é\n") for _ in range(400)) for _ in range(20)]
+    texts = []
+    for _ in range(80):
+        parts = [p[r.randrange(200) :][: r.randrange(20, 300)] if r.random() < 0.6 else "".join(r.choice("abxyz ") for _ in range(r.randrange(200))) for p in r.choices(pool, k=r.randrange(0, 6))]
+        texts.append("".join(parts))
+    texts += [None, "", "a" * 3000, "ab" * 2000 + "a" * 120, "x" * 99, "x" * 100, "x" * 100, "".join(r.choice("pqrst") for _ in range(600_000))]
+    texts.append(texts[-1][100:] + "!")
+    want = brute_removal(texts)
+    for hot in (4096, 3):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in suffix_dedup.dedup(frame(spark, texts).repartition(3)).collect()}
+        assert got == want
+    again = frame(spark, [texts[0]]).union(frame(spark, [texts[0]]))
+    assert {x.n_removed for x in suffix_dedup.dedup(again).collect()} == {want[0][1]}
+    assert suffix_dedup.dedup(frame(spark, [])).count() == 0
+
+
+def test_anchors_agree():
+    r = np.random.default_rng(1)
+    passage = r.integers(97, 110, 100).astype(np.uint8)
+    for _ in range(30):
+        a, b = r.integers(97, 110, r.integers(0, 90)).astype(np.uint8), r.integers(97, 110, r.integers(0, 90)).astype(np.uint8)
+        buf = np.concatenate([a, passage, b])
+        _, at, _, _, gram, _ = suffix_dedup.anchors(buf, np.array([0, len(buf)]))
+        inside = {(int(x) - len(a), int(g)) for x, g in zip(at, gram, strict=True) if len(a) <= x <= len(a) + 68}
+        _, alone, _, _, g0, _ = suffix_dedup.anchors(passage, np.array([0, 100]))
+        assert (int(alone[0]), int(g0[0])) in inside
+
+
+def test_topk_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in r.normal(0, 0.3, 8)], 0) for i in range(300)]
+    rows += [(300 + i, rows[i][1], 0) for i in range(40)] + [(400, None, 0), (401, [1.0, None] + [0.0] * 6, 0), (402, [float("nan")] * 8, 0), (403, [float("inf")] * 8, 0), (None, [1.0] * 8, 0), (420, [0.5] * 3, 0), (440, [0.25] * 3, 0), (0, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    vectors = topk.quantised(df)
+    got = {}
+    for x in topk.search(vectors, vectors.where("vec_id % 20 = 0"), 5).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    v = {x.vec_id: np.array(x.v) for x in vectors.collect()}
+    assert len(v) == 342
+    for q in [q for q in v if q % 20 == 0]:
+        best = sorted((-int(v[q] @ v[j]), j) for j in v if j != q and len(v[j]) == len(v[q]))[:5]
+        assert sorted(got.get(q, [])) == [(i + 1, j, -s) for i, (s, j) in enumerate(best)]
+    huge = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 3.0])], "vec_id long, embedding array<double>")
+    big = topk.quantised(huge)
+    assert [x.vec_id for x in topk.search(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
+    assert topk.search(big.limit(0), big.limit(0)).count() == 0
+
+
+def brute_spans(t):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and personal_data.luhn(digits(m))]
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+
+
+def test_base_spans():
+    r = random.Random(1)
+    for _ in range(4000):
+        t = "".join(r.choice("aB.@-+ ()1234567890 1.5é") for _ in range(r.randrange(0, 60)))
+        assert personal_data.base_spans(t) == brute_spans(t)
+    for t in ("x" * 200_000, "1" * 200_000, "+1" + " " * 200_000, "1." * 100_000, "a@" * 100_000):
+        personal_data.base_spans(t)
+
+
+def test_network_gradient():
+    r = np.random.default_rng(0)
+    net = personal_data.Network.start()
+    ids = r.integers(1, 99, (3, 6))
+    tags = np.array([[0, 1, 2, 0, 0, 3], [0, 0, 0, 0, 0, 0], [5, 6, 0, 7, 8, 8]])
+
+    def loss():
+        e = net.scores(ids)[0]
+        a = net.p["t"] + personal_data._BAN
+        total = 0.0
+        for x, y in zip(e, tags, strict=True):
+            alpha, gold = x[0].copy(), x[0, y[0]]
+            for t in range(1, len(x)):
+                alpha = x[t] + np.logaddexp.reduce(alpha[:, None] + a, axis=0)
+                gold += a[y[t - 1], y[t]] + x[t, y[t]]
+            total += np.logaddexp.reduce(alpha) - gold
+        return total / len(e)
+
+    g = net.gradient(ids, tags)
+    for name, at in (("o", (3, 2)), ("t", (0, 1)), ("hf", (2, 7)), ("hb", (1, 40)), ("xf", (int(ids[0, 1]), 5)), ("bb", (20,))):
+        keep = net.p[name][at]
+        net.p[name][at] = keep + 1e-5
+        up = loss()
+        net.p[name][at] = keep - 1e-5
+        down = loss()
+        net.p[name][at] = keep
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-5
+
+
+def test_personal_data(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    network = personal_data.train(docs)
+    texts = [None, "", "write to ann.b+c@mail.example.org or +1 (319) 555-5132 now", "call (319) 555-5132 please, it is open", "version 2.0 of 1999", "card 4425 4142 5915 7784 and 10.0.0.1, 999.1.1.1"]
+    got = {x.doc_id: x for x in personal_data.find(frame(spark, texts), network).collect()}
+    for d, t in enumerate(texts):
+        assert got[d].base == personal_data._joined(brute_spans(t or ""))
+        assert set(filter(None, got[d].base.split(","))) <= set(got[d].spans.split(","))
+    assert got[3].spans and not got[3].base  # a phone without plus is what the network adds
+    assert got[4].spans == ""
+    held = [x.text for x in docs.where("doc_id % 7 = 3").collect() if x.text]
+    base, found = [personal_data.base_spans(t) for t in held], personal_data.decode(network, held)
+    same = sum(len(set(a) & set(b)) for a, b in zip(base, found, strict=True))
+    assert same >= 0.8 * sum(map(len, base))
+    assert personal_data.train(frame(spark, [None, "no spans"])) is None
+    assert personal_data.find(frame(spark, []), None).count() == 0
+
+
+def test_quality(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    rows = quality.scores(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
+    odd = quality.scores(frame(spark, [None, "", "word " * 100_000, "a"]), model).collect()
+    assert len(odd) == 4 and all(0 <= x.score <= 1 for x in odd)
+    assert quality.train(docs, labels.limit(0)) is None
+    assert {x.score for x in quality.scores(docs.limit(3), None).collect()} == {0.5}
+    assert quality.scores(docs.limit(0), model).count() == 0
+
+
+def test_prior():
+    r = np.random.default_rng(2)
+    p = r.normal(1, 0.5, (1500, 3))
+    u = np.concatenate([r.normal(1, 0.5, (1200, 3)), r.normal(-1, 0.5, (800, 3))])
+    assert abs(quality.estimate_prior(p, u) - 0.6) < 0.08
+
+
+def test_secrets(spark):
+    r = random.Random(4)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = []
+    for i in range(200):
+        kind = i % 4
+        token = ("AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), hexa(18), "4" + "".join(r.choice("0123456789") for _ in range(15)), "internationalCommittee" + str(i))[kind]
+        texts.append(("the key is here " + token, f"with password={token} there", f"then card {token} of", f"and {token} too")[kind])
+    docs = frame(spark, texts + [None, "", "none here"])
+    got = secrets.find(docs).collect()
+    assert len(got) == 200
+    assert all(texts[x.doc_id][x.start : x.start + x.length] == x.token for x in got)
+    assert sum(x.secret == (x.doc_id % 4 < 2) for x in got) >= 195
+    plan = secrets.scan(secrets.candidates(docs), 0.0, ["word"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert secrets.find(docs.limit(0)).count() == 0
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11))
+    assert set(registry.SQL) <= set(registry.QUERIES)
