@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from groundtrack.llm.common import held_out, share_of, slices, utf8
 
 #: Labelled documents to learn from, over all languages.
-SAMPLE = 2400
-BINS = 1 << 13
+SAMPLE = 2000
+BINS = 1 << 12
 
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb yi fy",
@@ -85,11 +85,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 30.0, steps: int = 150) -> np.ndarray:
     """Weights and bias of a linear machine for labels of -1 and 1, classes weighing equally."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
+    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1, dtype=np.float32)
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * strength
-    w = v = np.zeros(x.shape[1])
+    cost, y = cost.astype(np.float32), y.astype(np.float32)
+    w = v = np.zeros(x.shape[1], np.float32)
     # the largest curvature bounds the step
-    top = np.ones(x.shape[1])
+    top = np.ones(x.shape[1], np.float32)
     for _ in range(12):
         top = x.T @ (cost * (x @ top))
         size = np.linalg.norm(top)
