@@ -84,3 +84,27 @@ obs AS (SELECT 's' || ((i // 12) % 2) AS site_id, 'd' || (i // 4000) AS session_
   500 + CAST(y AS DOUBLE) / 10 AS Foot_Y, 500 + CAST(y AS DOUBLE) / 10 - CAST(40 + i % 120 AS DOUBLE) / 2 AS Center_Y,
   CAST(20 + (i * 7 + k * 13) % 80 AS DOUBLE) / 100 AS Detection_Conf FROM exy)
 """
+
+
+def read_fingerprints(spark: SparkSession, paths: str) -> DataFrame:
+    """Rows of numpy archives: camera_ids, track_ids and vectors, in newer ones timestamps and
+    heights_px too; null in older ones. Each file is read in a task, from any store Spark reads."""
+
+    def rows(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf.content:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    n = len(z["track_ids"])
+                    optional = lambda k: z[k].astype(float) if k in z.files else np.full(n, np.nan)  # noqa: B023, E731
+                    out = pd.DataFrame({"Camera": z["camera_ids"].astype(str), "Track_ID": z["track_ids"].astype("int64"), "Timestamp": optional("timestamps"), "Height_Px": optional("heights_px")})
+                    yield out.assign(Vector=list(z["vectors"].astype(np.float32)))
+
+    files = spark.read.format("binaryFile").load(paths).select("content")
+    out = files.mapInPandas(rows, S.FINGERPRINTS)
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select("Camera", "Track_ID", known("Timestamp"), known("Height_Px"), "Vector")
