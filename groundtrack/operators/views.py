@@ -27,24 +27,29 @@ def view_sets(df: DataFrame, gap_s: float = 6.0) -> DataFrame:
 def spaced_views(df: DataFrame, apart_s: float = 0.2, most: int = 60) -> DataFrame:
     """Views at least apart_s after the last accepted one; on exceeding `most`, every other stays.
 
-    What is accepted depends on what was, so each set is walked through in a task."""
+    What is accepted depends on what was, so each set is walked through in a task; the sets of a
+    camera that begin in the same ten minutes share a call."""
     step = int(round(apart_s * 100))
     keys = [*S.TRACK, "view_set"]
-    schema = df.select(*keys, "ts_cs").schema
+    rows = df.select(*keys, "ts_cs").withColumn("_block", F.floor(F.min("ts_cs").over(Window.partitionBy(*keys)) / 60000))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf.ts_cs.to_numpy())
-        kept: list[int] = []
-        last = None
-        for t in times:
-            if last is None or t - last >= step:
-                kept.append(t)
-                last = t
-                if len(kept) > most:
-                    kept = kept[::2]
-        return pdf.iloc[:1][keys].loc[lambda x: x.index.repeat(len(kept))].assign(ts_cs=kept)
-
-    return df.select(*keys, "ts_cs").groupBy(*keys).applyInPandas(walk, schema)
+        pdf = pdf.sort_values([*keys, "ts_cs"], ignore_index=True)
+        new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        times, at, chosen = pdf.ts_cs.to_numpy(), np.flatnonzero(new), []
+        for a, b in zip(at, [*at[1:], len(pdf)], strict=True):
+            kept: list[int] = []
+            last = None
+            for i in range(a, b):
+                if last is None or times[i] - last >= step:
+                    kept.append(i)
+                    last = times[i]
+                    if len(kept) > most:
+                        kept = kept[::2]
+            chosen += kept
+        return pdf.loc[chosen, [*keys, "ts_cs"]]
+
+    return rows.groupBy(*S.KEYS, "Camera", "_block").applyInPandas(walk, rows.drop("_block").schema)
 
 
 def tallest_of_stretches(df: DataFrame, k: int = 5, by: str = "Height_Px") -> DataFrame:
