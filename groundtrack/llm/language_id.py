@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtrack.llm.common import held_out, share_of, slices, utf8
+from groundtrack.llm.common import held_out, slices, utf8
 
 #: Labelled documents to learn from, over all languages.
 SAMPLE = 2000
