@@ -3,12 +3,14 @@
 Two documents link when their sets of word shingles have a Jaccard similarity of at least
 num / den. Every step is exact (up to collisions of 64-bit hashes):
 
-1. Documents with equal sets collapse to one representative, so copies cost nothing further.
+1. Documents with equal sets collapse to one representative, so copies cost nothing further. Texts
+   are read twice, once for this and once for step 2, rather than keep what step 2 emits.
 2. Shards. Sets within the bound differ in at most H shingles, H following from the size class of
    the smaller one. Dealing shingles over P = H + 1 + e parts by hash leaves at least 1 + e parts
    equal, so documents that share no part's content cannot link. Parts of few shingles are left out
    where more than e heavier ones must agree; a document with too many light parts emits them all.
-   Components of shared parts are the shards: no link crosses them.
+   Components of shared parts are the shards: no link crosses them. One that is too large for a task
+   (sets that share passages chain up) is split once more, by the shingles of shortest lists.
 3. In a shard, an inverted index from shingle to documents answers each document's T-occurrence
    query: with T the least overlap, its L longest lists are put aside, the short ones are merged
    and counted, those reaching T - L are probed in the long lists. (Where most documents of a list
@@ -116,45 +118,86 @@ def _signatures(h: np.ndarray, offs: np.ndarray, parts: Parts) -> list[np.ndarra
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def _profile(k: int, num: int, den: int):
+def _set_hashes(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, from sums over its shingles."""
+    c1, c2 = prefix_sums(s), prefix_sums(mix(s + np.uint64(77)))
+    return mix(c1[offs[1:]] - c1[offs[:-1]]), mix(c2[offs[1:]] - c2[offs[:-1]])
+
+
+def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(num, den)
         for batch in batches:
             buf, offs = utf8(batch.column(1))
             for a, b in slices(offs):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
-                n = np.diff(soffs)
-                c1, c2 = prefix_sums(s), prefix_sums(mix(s + np.uint64(77)))
-                sigs = _signatures(s, soffs, parts)
-                lens = np.array([len(x) for x in sigs])
-                yield pa.record_batch(
-                    {
-                        "doc_id": batch.column(0).slice(a, b - a),
-                        "n": pa.array(n),
-                        "h1": signed(mix(c1[soffs[1:]] - c1[soffs[:-1]])),
-                        "h2": signed(mix(c2[soffs[1:]] - c2[soffs[:-1]])),
-                        "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), signed(np.concatenate([*sigs, np.zeros(0, np.uint64)]))),
-                    }
-                )
+                h1, h2 = _set_hashes(s, soffs)
+                yield pa.record_batch({"doc_id": batch.column(0).slice(a, b - a), "n": pa.array(np.diff(soffs)), "h1": signed(h1), "h2": signed(h2)})
+
+    return run
+
+
+def _parts(k: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(num, den)
+        for batch in batches:
+            buf, offs = utf8(batch.column(0))
+            seen = np.zeros(0, np.uint64)  # of equal sets in a batch, one speaks for all
+            for a, b in slices(offs):
+                h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                s, soffs = shingles(h, woffs, k)
+                h1, _ = _set_hashes(s, soffs)
+                _, first = np.unique(h1, return_index=True)
+                first = first[~np.isin(h1[first], seen)]
+                seen = np.concatenate([seen, h1[first]])
+                some = np.concatenate([[0], np.cumsum(np.diff(soffs)[first])])
+                s = np.concatenate([s[soffs[d] : soffs[d + 1]] for d in first] + [np.zeros(0, np.uint64)])
+                sigs = _signatures(s, some, parts)
+                yield pa.record_batch({"sig": signed(np.concatenate([*sigs, np.zeros(0, np.uint64)])), "h1": signed(np.repeat(h1[first], [len(x) for x in sigs]))})
 
     return run
 
 
 def _sets(k: int):
+    """Sets of the texts whose set has the hash asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = utf8(batch.column(batch.schema.get_field_index("text")))
-            rest = [i for i, f in enumerate(batch.schema) if f.name != "text"]
+            buf, offs = utf8(batch.column(0))
+            asked = batch.column(1).to_numpy()
             for a, b in slices(offs):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
-                part = {batch.schema.field(i).name: batch.column(i).slice(a, b - a) for i in rest}
-                yield pa.record_batch(part | {"shingles": pa.array([s[x:y].tobytes() for x, y in zip(soffs[:-1], soffs[1:], strict=True)], pa.binary())})
+                ok = np.flatnonzero(_set_hashes(s, soffs)[0].view(np.int64) == asked[a:b])
+                yield pa.record_batch({"h1": pa.array(asked[a:b][ok]), "shingles": pa.array([s[soffs[i] : soffs[i + 1]].tobytes() for i in ok], pa.binary())})
 
     return run
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h1 = batch.column(0).to_numpy()
+        for a in range(0, batch.num_rows, 512):
+            sets = [np.frombuffer(x, np.int64) for x in batch.column(1).slice(a, 512).to_pylist()]
+            n = np.array([len(x) for x in sets])
+            yield pa.record_batch({"g": pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])), "h1": pa.array(np.repeat(h1[a : a + 512], n)), "n": pa.array(np.repeat(n, n).astype(np.int64))})
+
+
+def _rare_components(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Components of sets that share one of their rarest shingles.
+
+    With T the least overlap, two sets that link share one of the n - T + 1 shingles that come first
+    in each by any one order; by rising number of sets, these lists are the short ones, and shingles
+    of one set alone, which come before all others, need not be looked at again."""
+    rows = sets.mapInArrow(_postings, "g long, h1 long, n long")
+    lists = rows.groupBy("g").agg(F.count("*").alias("length")).where("length > 1")
+    own = Window.partitionBy("h1")
+    met = rows.join(lists, "g").withColumns({"met": F.count("*").over(own), "nth": F.row_number().over(own.orderBy("length", "g"))})
+    first = met.where(F.col("n") - F.col("met") + F.col("nth") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    lead = F.min("h1").over(Window.partitionBy("g"))
+    return components(first.select(F.col("h1").alias("a"), lead.alias("b")).where("a <> b"))
+
+
 def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set i, the sets j < i of Jaccard similarity num / den or more (with `side` given,
     only those of another side). Sets are arrays of distinct hashes."""
@@ -249,34 +292,43 @@ def _search(num: int, den: int):
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links) and n_links of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    seen = cut(docs.mapInArrow(_profile(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>"))
+    seen = cut(docs.mapInArrow(_profile(k), "doc_id long, n long, h1 long, h2 long"))
     reps = cut(seen.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n")))
 
-    parts = seen.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", F.explode("sigs").alias("sig"))
-    lead = F.min("doc_id").over(Window.partitionBy("sig"))
-    shard = components(parts.select(F.col("doc_id").alias("a"), lead.alias("b")).where("a <> b"))
-
-    held = shard.join(reps, F.col("node") == F.col("rep")).select("node", "component", "times", "n")
-    sizes = cut(held.groupBy("component").agg(F.sum("n").alias("size")))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    # sets go by their hash, so that copies which tasks have not seen together meet as one
+    parts = docs.select("text").mapInArrow(_parts(k, num, den), "sig long, h1 long")
+    lead = F.min("h1").over(Window.partitionBy("sig"))
+    shard = components(parts.select(F.col("h1").alias("a"), lead.alias("b")).where("a <> b"))
+
+    held = shard.join(reps, F.col("node") == F.col("h1")).select("h1", "rep", "component", "times", "n")
+    sets = docs.join(held.select("h1", "rep"), F.col("doc_id") == F.col("rep")).select("text", "h1")
+    sets = cut(sets.mapInArrow(_sets(k), "h1 long, shingles binary").dropDuplicates(["h1"]))
+    sized = lambda rows: rows.join(rows.groupBy("component").agg(F.sum("n").alias("size")), "component")
+    held = cut(sized(held.drop("rep")))
+    large = held.where(F.col("size") > BLOCK)
+    if large.take(1):
+        finer = _rare_components(sets.join(large.select("h1"), "h1", "left_semi"), num, den)
+        large = large.drop("component", "size").join(finer, F.col("h1") == F.col("node")).select("h1", "component", "times", "n")
+        held = cut(held.where(F.col("size") <= BLOCK).unionByName(sized(large)))
+    total = held.agg(F.sum("n")).first()[0] or 0
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    held = held.join(sizes, "component").select(
-        F.col("node").alias("doc_id"),
+    held = held.select(
+        "h1",
         "times",
         blocks.alias("blocks"),
-        F.when(blocks == 1, -1 - F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // BLOCK))))).otherwise(F.col("component")).alias("shard"),
-        F.pmod(F.xxhash64("node", F.lit(1)), blocks).alias("mine"),
+        F.when(blocks == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // BLOCK))))).otherwise(F.col("component")).alias("shard"),
+        F.pmod(F.xxhash64("h1", F.lit(1)), blocks).alias("mine"),
     )
-    sets = docs.join(held, "doc_id").mapInArrow(_sets(k), "doc_id long, times long, blocks long, shard long, mine long, shingles binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sets = sets.select(F.col("doc_id").alias("node"), "times", "shard", "mine", "shingles", other.alias("other"))
-    sets = sets.select("node", "times", "shard", "mine", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    links = cut(sets.groupBy("shard", "i", "j").applyInPandas(_search(num, den), "a long, b long, links long"))
+    tasks = held.join(sets, "h1").select(F.col("h1").alias("node"), "times", "blocks", "shard", "mine", "shingles", other.alias("other"))
+    tasks = tasks.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "parted": F.col("blocks") > 1}).drop("other", "blocks")
+    links = cut(tasks.groupBy("parted", "shard", "i", "j").applyInPandas(_search(num, den), "a long, b long, links long"))
 
     joined = components(links.select("a", "b"))
-    counted = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    reps = reps.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(counted, "rep", "left")
-    reps = reps.select("h1", "h2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
+    counted = links.groupBy(F.col("a").alias("h1")).agg(F.sum("links").alias("links"))
+    reps = reps.join(joined.select(F.col("node").alias("h1"), "component"), "h1", "left").join(counted, "h1", "left")
+    lowest = reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
+    reps = reps.join(lowest, "component", "left").select("h1", "h2", F.coalesce("low", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
     keys = ["h1", "h2"]
     some = seen.select("doc_id", "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in keys))
     return some.join(reps, keys, "left").select(
