@@ -13,8 +13,10 @@ doc_id, or earlier in the same one. Strings never cross documents and are judged
 3. Their contexts are fetched from the texts, and each gram is a shard: its contexts' strings are put
    in suffix order (prefix doubling up to SPAN bytes, equal ones by place). A string whose previous
    smaller place in that order shares SPAN bytes has a longest previous factor of SPAN or more, and
-   goes. Grams with more than HOT contexts are not put into one task: each of their strings is
-   hashed, and meets its equals by an aggregate.
+   goes. Grams with more than HOT contexts are not put into one task: their contexts' strings are
+   halved, and each half's contexts meet by the bytes that all its strings share, which tells more
+   of them apart; equal halves but the first go as a whole, and what still shares bytes with too
+   many others is halved again, down to single strings at most.
 4. The documents' removed stretches are united and cut from the texts.
 
 Null text counts as empty. Null doc_id: nothing is removed there, and it removes nothing. Rows that
@@ -139,7 +141,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = np.arange(size.sum()) + np.repeat(a[i:j] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
             data = buf[index]
             ctx = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.record_batch({"g": flat.field("g").slice(i, j - i), "doc_id": batch.column(0).take(pa.array(row[i:j])), "start": pa.array(at[i:j] - sides[i:j] // 256), "hot": flat.field("hot").slice(i, j - i), "context": ctx})
+            yield pa.record_batch({"g": flat.field("g").slice(i, j - i), "doc_id": batch.column(0).take(pa.array(row[i:j])), "start": pa.array(at[i:j] - sides[i:j] // 256), "at": pa.array(at[i:j]), "hot": flat.field("hot").slice(i, j - i), "context": ctx})
 
 
 def previous_factors(group: np.ndarray, doc: np.ndarray, start: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,17 +218,30 @@ def _suffix_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield work(pa.Table.from_batches(held))
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and place of each string of SPAN bytes in the contexts."""
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id, start, context, at (the anchor's place), lo and hi, each as two: strings that
+    begin lo to hi bytes before the anchor are dealt into the nearer and the farther half of that
+    range, with the bytes that they reach. g is the hash of the bytes that a half's strings share."""
     for batch in batches:
         buf, offs = utf8(batch.column(2))
-        start = batch.column(1).to_numpy()
-        for a, b in slices(offs, 1 << 18):
-            own = offs[a : b + 1] - offs[a]
-            row = np.repeat(np.arange(b - a), np.diff(own))
-            s = np.flatnonzero(own[1:][row] - np.arange(len(row)) >= SPAN)
-            h = Hashes(buf[offs[a] : offs[b]]).of(s, s + SPAN)
-            yield pa.record_batch({"h": signed(h), "doc_id": batch.column(0).take(pa.array(a + row[s])), "start": pa.array(start[a + row[s]] + s - own[row[s]])})
+        ids = batch.column(0).to_numpy()
+        start, at, lo, hi = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 3, 4, 5))
+        for i, j in slices(offs, 1 << 18):
+            mid = (lo[i:j] + hi[i:j]) // 2
+            row = np.tile(np.arange(j - i), 2)
+            low, high = np.concatenate([lo[i:j], mid + 1]), np.concatenate([mid, hi[i:j]])
+            anchor = (at - start)[i:j][row]
+            size = np.diff(offs[i : j + 1])[row]
+            near, far = np.maximum(low, anchor + SPAN - size), np.minimum(high, anchor)  # strings inside of the context
+            ok = (near <= far) & (low <= high)
+            row, low, high, near, far, anchor = (x[ok] for x in (row, low, high, near, far, anchor))
+            base = offs[i:j][row] - offs[i] + anchor
+            hashes = Hashes(buf[offs[i] : offs[j]])
+            a, b = base - far, base - near + SPAN
+            part = pa.array([buf[offs[i] + x : offs[i] + y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())
+            shared = mix(hashes.of(base - low, base - high + SPAN) + (low * 256 + high).astype(np.uint64))
+            whole = mix(hashes.of(a, b) + (near * 256 + far).astype(np.uint64))
+            yield pa.record_batch({"g": signed(shared), "f": signed(whole), "doc_id": pa.array(ids[i + row]), "start": pa.array(at[i + row] - far), "at": pa.array(at[i + row]), "lo": pa.array(low), "hi": pa.array(high), "context": part})
 
 
 def copied(docs: DataFrame) -> DataFrame:
@@ -243,16 +258,27 @@ def copied(docs: DataFrame) -> DataFrame:
     whole = met.where("later").select("doc_id", (F.col("at") - left).alias("a"), (F.col("at") + GRAM + right).alias("b"))
 
     asked = met.where("not later").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("g", "at", "sides", "hot")).alias("asked"))
-    contexts = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_contexts, "g long, doc_id long, start long, hot boolean, context binary")
+    contexts = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_contexts, "g long, doc_id long, start long, at long, hot boolean, context binary")
     contexts = cut(contexts)
-    edges = contexts.where("not hot").select("g", "doc_id", "start", "context").repartition("g").sortWithinPartitions("g")
-    edges = edges.mapInArrow(_suffix_order, "doc_id long, a long, b long")
-
-    strings = contexts.where("hot").select("doc_id", "start", "context").mapInArrow(_strings, "h long, doc_id long, start long")
+    found = whole.unionByName(_in_order(contexts.where("not hot")))
+    columns = ["doc_id", "start", "context", "at", "lo", "hi"]
+    hot = contexts.where("hot").withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(SIDE).cast("long")}).select(*columns)
     place = F.struct("doc_id", "start")
-    firsts = strings.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
-    hot = strings.join(firsts, "h").where(place > F.col("first")).select("doc_id", F.col("start").alias("a"), (F.col("start") + SPAN).alias("b"))
-    return whole.unionByName(edges).unionByName(hot)
+    while hot.take(1):
+        parts = cut(hot.mapInArrow(_halves, "g long, f long, doc_id long, start long, at long, lo long, hi long, context binary"))
+        firsts = cut(parts.groupBy("g", "f").agg(F.min(place).alias("first")))
+        kinds = firsts.groupBy("g").agg(F.count("*").alias("kinds"))
+        parts = cut(parts.join(firsts, ["g", "f"]).join(kinds, "g").withColumn("later", place > F.col("first")).where("later or kinds > 1"))
+        later = parts.where("later").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.length("context")).alias("b"))
+        rest = parts.where("not later").withColumn("hot", F.col("kinds") > HOT)
+        found = found.unionByName(later).unionByName(_in_order(rest.where("not hot")))
+        hot = rest.where("hot").select(*columns)
+    return found
+
+
+def _in_order(contexts: DataFrame) -> DataFrame:
+    shards = contexts.select("g", "doc_id", "start", "context").repartition("g").sortWithinPartitions("g")
+    return shards.mapInArrow(_suffix_order, "doc_id long, a long, b long")
 
 
 def _removal(keep: bool):
