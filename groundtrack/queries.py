@@ -346,11 +346,11 @@ def stranger_scores(spark, sf_dir):
     SCORES
     + f"""
 SELECT {KEYS}, moment_cs // 6000 AS block, count(*) AS n, round(quantile_cont(similarity, 0.99), 4) AS bar FROM sc GROUP BY ALL HAVING count(*) >= 3
-UNION ALL SELECT {KEYS}, NULL, count(*), round(quantile_cont(similarity, 0.99), 4) FROM sc GROUP BY ALL"""
+UNION ALL SELECT {KEYS}, -1, count(*), round(quantile_cont(similarity, 0.99), 4) FROM sc GROUP BY ALL"""
 )
 def similarity_bars(spark, sf_dir):
     run, blocks = strangers.bars(_stranger_scores(spark, sf_dir), block_s=60, least=3)
-    return blocks.select(*S.KEYS, "block", "n", "bar").unionByName(run.select(*S.KEYS, F.lit(None).cast("long").alias("block"), "n", F.round("bar", 4).alias("bar")))
+    return blocks.select(*S.KEYS, "block", "n", "bar").unionByName(run.select(*S.KEYS, F.lit(-1).cast("long").alias("block"), "n", F.round("bar", 4).alias("bar")))
 
 
 # ---------------------------------------------------------------- identities
