@@ -10,6 +10,9 @@ from groundtrack import schema as S
 from groundtrack.functions import geo
 from groundtrack.operators.detections import one_decimal
 
+#: Centiseconds of a camera's time that meet in one group.
+BLOCK_CS = 60_000
+
 
 def bracketed(df: DataFrame, samples: DataFrame, far_s: float = 3.0) -> DataFrame:
     """Adds H: the trusted matrix at each row's time, or null.
@@ -17,15 +20,18 @@ def bracketed(df: DataFrame, samples: DataFrame, far_s: float = 3.0) -> DataFram
     Of the last sample before a time and the first at or after it, both are blended by time if they
     lie within twice `far_s` of each other and the nearer within `far_s`; else the nearer one counts
     if it is within `far_s` (the earlier on a tie); outside of the sampled span, its end counts then.
-    Rows and samples (keys, Camera, ts_cs, H) pass one window in the camera's order of time."""
-    key = [*S.KEYS, "Camera"]
+    A sample further than twice `far_s` from a row never counts for it, so rows and samples (keys,
+    Camera, ts_cs, H) meet in blocks of a camera's time, each with the samples around it, and pass
+    one window in ascending and one in descending order of time."""
     far = int(round(far_s * 100))
-    rows = df.withColumn("_kind", F.lit(1)).withColumn("_s", F.lit(None).cast("struct<t: bigint, H: array<double>>"))
-    marks = samples.where("H is not null").select(*key, "ts_cs", F.lit(0).alias("_kind"), F.struct(F.col("ts_cs").alias("t"), "H").alias("_s"))
-    w = Window.partitionBy(*key).orderBy("ts_cs")
+    block = lambda t: F.floor(t / max(BLOCK_CS, 2 * far))
+    rows = df.withColumns({"_kind": F.lit(1), "_block": block(F.col("ts_cs")), "_s": F.lit(None).cast("struct<t: bigint, H: array<double>>")})
+    marks = samples.where("H is not null and ts_cs is not null").select(*S.KEYS, "Camera", F.col("ts_cs").cast("long").alias("ts_cs"), F.lit(0).alias("_kind"), F.struct(F.col("ts_cs").cast("long").alias("t"), "H").alias("_s"))
+    marks = marks.withColumn("_block", F.explode(F.sequence(block(F.col("ts_cs") - 2 * far), block(F.col("ts_cs") + 2 * far))))
+    w = Window.partitionBy(*S.KEYS, "Camera", "_block")
     both = rows.unionByName(marks, allowMissingColumns=True)
-    both = both.withColumn("_a", F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("_b", F.first("_s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_a", F.last("_s", ignorenulls=True).over(w.orderBy("ts_cs").rangeBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("_b", F.last("_s", ignorenulls=True).over(w.orderBy(F.desc("ts_cs")).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     t, a, b = F.col("ts_cs"), F.col("_a"), F.col("_b")
     da, db = t - a["t"], b["t"] - t
     share = F.when(b["t"] > a["t"], da / (b["t"] - a["t"]))
@@ -33,7 +39,7 @@ def bracketed(df: DataFrame, samples: DataFrame, far_s: float = 3.0) -> DataFram
     nearer = F.when((da <= db) & (da <= far), a["H"]).when((db < da) & (db <= far), b["H"])
     inside = F.when(b["t"] - a["t"] <= 2 * far, F.when(F.least(da, db) <= far, mixed)).otherwise(nearer)
     only = F.when(a.isNull(), F.when(db <= far, b["H"])).when(b.isNull(), F.when(da <= far, a["H"])).otherwise(inside)
-    return both.where("_kind = 1").withColumn("H", only).drop("_kind", "_s", "_a", "_b")
+    return both.where("_kind = 1").withColumn("H", only).drop("_kind", "_block", "_s", "_a", "_b")
 
 
 def aligned(df: DataFrame, samples: DataFrame) -> DataFrame:

@@ -72,22 +72,37 @@ def class_conf_filter(spark, sf_dir):
     return detections.two_level(detections.recorded(observations(spark, sf_dir))).select(*S.TRACK, "Class", "ts_cs", "Detection_Conf")
 
 
-@query(f"""
+CLOCK = f"""
 m AS (SELECT {KEYS}, Camera, max(Timestamp) AS top FROM obs GROUP BY ALL),
 g AS (SELECT {KEYS}, Camera, unnest(range(0, CAST(floor(top / 600) AS BIGINT) + 1)) AS segment FROM m),
 s AS (SELECT *, segment * 600.0 + 5 AS from_s, segment * 1000.0 - 20 AS start_s,
   lead(segment * 600.0 + 5) OVER (PARTITION BY {KEYS}, Camera ORDER BY segment) AS nxt FROM g)
 SELECT {KEYS}, Camera, o.Track_ID + segment * 1000000 AS Track_ID, ts_cs, round(start_s + (Timestamp - from_s), 6) AS session_s
-FROM obs o JOIN s USING ({KEYS}, Camera) WHERE (segment = 0 OR Timestamp >= from_s) AND (nxt IS NULL OR Timestamp < nxt) AND Class = 'car'""")
-def session_clock_asof(spark, sf_dir):
-    rows = observations(spark, sf_dir)
+FROM obs o JOIN s USING ({KEYS}, Camera) WHERE (segment = 0 OR Timestamp >= from_s) AND (nxt IS NULL OR Timestamp < nxt) AND Class = 'car'"""
+
+
+def _on_session_clock(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """`some` of the rows on the session's clock; the segments are those of all rows."""
     top = rows.groupBy(*S.KEYS, "Camera").agg(F.max("Timestamp").alias("top"))
     segments = top.select(*S.KEYS, "Camera", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / 600))).alias("segment"))
     segments = segments.withColumns({"from_s": F.col("segment") * 600.0 + 5, "start_s": F.col("segment") * 1000.0 - 20})
-    out = detections.on_session_clock(rows.where("Class = 'car'").withColumn("video_s", F.col("Timestamp")), segments)
+    out = detections.on_session_clock(some.withColumn("video_s", F.col("Timestamp")), segments)
     return out.select(*S.TRACK, "ts_cs", six("session_s").alias("session_s"))
 
 
+@query(CLOCK)
+def session_clock_asof(spark, sf_dir):
+    """Of cars alone; session_clock_all has every observation."""
+    rows = observations(spark, sf_dir)
+    return _on_session_clock(rows, rows.where("Class = 'car'"))
+
+
+@query(CLOCK.replace(" AND Class = 'car'", ""))
+def session_clock_all(spark, sf_dir):
+    rows = observations(spark, sf_dir)
+    return _on_session_clock(rows, rows)
+
+
 @query(f"""
 x AS (SELECT {TRACK}, ts_cs, Foot_X - 20 AS x1, Foot_Y - 2 * (Foot_Y - Center_Y) AS y1, Foot_X + 20 AS x2, Foot_Y AS y2 FROM obs WHERE Class = 'person'),
 c AS (SELECT a.site_id, a.session_id, a.Camera, a.ts_cs, a.Track_ID, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) AS s
@@ -155,9 +170,10 @@ m AS (SELECT {KEYS}, Camera, t, CAST(k % 7 AS DOUBLE) AS dx, CAST(k % 5 AS DOUBL
 o AS (SELECT {TRACK}, ts_cs, Foot_X, Foot_Y, ts_cs - 1 AS before FROM obs WHERE Class = 'car')"""
 
 
-@query(
-    ALIGN
-    + f""",
+#: The same samples and rows of every class.
+ALIGN_ALL = ALIGN.replace(" WHERE Class = 'car'", "")
+
+BLEND = f""",
 l AS (SELECT o.*, m.t AS ta, m.dx AS xa, m.dy AS ya FROM o ASOF LEFT JOIN m ON o.site_id = m.site_id AND o.session_id = m.session_id AND o.Camera = m.Camera AND o.before >= m.t),
 r AS (SELECT l.*, m.t AS tb, m.dx AS xb, m.dy AS yb FROM l ASOF LEFT JOIN m ON l.site_id = m.site_id AND l.session_id = m.session_id AND l.Camera = m.Camera AND l.ts_cs <= m.t),
 w AS (SELECT *, ts_cs - ta AS da, tb - ts_cs AS db, (ts_cs - ta) / (tb - ta) AS share,
@@ -166,28 +182,48 @@ w AS (SELECT *, ts_cs - ta AS da, tb - ts_cs AS db, (ts_cs - ta) / (tb - ta) AS
     WHEN ts_cs - ta <= tb - ts_cs THEN CASE WHEN ts_cs - ta <= 300 THEN 'a' END ELSE CASE WHEN tb - ts_cs <= 300 THEN 'b' END END AS how FROM r)
 SELECT {TRACK}, ts_cs, round(CASE how WHEN 'a' THEN xa WHEN 'b' THEN xb WHEN 'm' THEN xa + (xb - xa) * share END, 6) AS dx,
   round(CASE how WHEN 'a' THEN ya WHEN 'b' THEN yb WHEN 'm' THEN ya + (yb - ya) * share END, 6) AS dy FROM w"""
-)
-def alignment_asof_blend(spark, sf_dir):
-    rows = observations(spark, sf_dir).where("Class = 'car'")
-    out = alignment.bracketed(rows, _samples(rows))
-    return out.select(*S.TRACK, "ts_cs", six(F.col("H")[2]).alias("dx"), six(F.col("H")[5]).alias("dy"))
-
 
-@query(
-    ALIGN
-    + f""",
+REFERENCE = f""",
 c AS (SELECT {KEYS}, Camera, median(dx) AS mx, median(dy) AS my FROM m GROUP BY ALL),
 d AS (SELECT m.*, sqrt((dx - mx) * (dx - mx) + (dy - my) * (dy - my)) AS d FROM m JOIN c USING ({KEYS}, Camera)),
 f AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, Camera ORDER BY d, t) AS nth FROM d)
 SELECT {KEYS}, m.Camera, any_value(f.t) AS reference_cs, round(median(sqrt((m.dx - f.dx) * (m.dx - f.dx) + (m.dy - f.dy) * (m.dy - f.dy))), 6) AS median_shift,
   round(max(sqrt((m.dx - f.dx) * (m.dx - f.dx) + (m.dy - f.dy) * (m.dy - f.dy))), 6) AS max_shift, count(*) AS n_samples
 FROM m JOIN f USING ({KEYS}, Camera) WHERE f.nth = 1 GROUP BY ALL"""
-)
-def alignment_reference(spark, sf_dir):
-    out = alignment.reference_frames(_samples(observations(spark, sf_dir).where("Class = 'car'")), 960.0, 540.0)
+
+
+def _blended(rows: DataFrame) -> DataFrame:
+    out = alignment.bracketed(rows, _samples(rows))
+    return out.select(*S.TRACK, "ts_cs", six(F.col("H")[2]).alias("dx"), six(F.col("H")[5]).alias("dy"))
+
+
+def _reference(rows: DataFrame) -> DataFrame:
+    out = alignment.reference_frames(_samples(rows), 960.0, 540.0)
     return out.select(*S.KEYS, "Camera", "reference_cs", six("median_shift").alias("median_shift"), six("max_shift").alias("max_shift"), "n_samples")
 
 
+@query(ALIGN + BLEND)
+def alignment_asof_blend(spark, sf_dir):
+    """Of cars alone, sampled where a car is; alignment_blend_all has every observation."""
+    return _blended(observations(spark, sf_dir).where("Class = 'car'"))
+
+
+@query(ALIGN_ALL + BLEND)
+def alignment_blend_all(spark, sf_dir):
+    return _blended(observations(spark, sf_dir))
+
+
+@query(ALIGN + REFERENCE)
+def alignment_reference(spark, sf_dir):
+    """Of samples where a car is; alignment_reference_all has those of all busy time."""
+    return _reference(observations(spark, sf_dir).where("Class = 'car'"))
+
+
+@query(ALIGN_ALL + REFERENCE)
+def alignment_reference_all(spark, sf_dir):
+    return _reference(observations(spark, sf_dir))
+
+
 @query()
 def calibration_fit(spark, sf_dir):
     """Homography, report and hull of each camera from ten of its own sightings as points."""

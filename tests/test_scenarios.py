@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from groundtrack import queries
 from groundtrack.functions import geo
 from groundtrack.operators import alignment, clocksync, detections, georeference, identities, movement, presence, stitch, strangers, views
 from groundtrack.operators.matching import Identities, assign
@@ -254,6 +255,38 @@ def test_alignment(spark):
     assert got == {50: 105.0, 350: 110.0, 1100: None, 1900: 150.0, 2400: None, -400: None}
 
 
+def test_alignment_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    times = sorted(set(map(int, r.integers(-3000, 9000, 60))))
+    marks = [(t, float(r.integers(0, 99))) for t in times if not 2000 < t < 4000]
+    asked = sorted({*range(-4000, 10000, 50), *times, *(t + d for t in times for d in (-600, -300, 300, 600))})
+
+    def brute(t):
+        a, b = max((m for m in marks if m[0] < t), default=None), min((m for m in marks if m[0] >= t), default=None)
+        if a and b and b[0] - a[0] <= 600:
+            return a[1] + (b[1] - a[1]) * (t - a[0]) / (b[0] - a[0]) if min(t - a[0], b[0] - t) <= 300 else None
+        near = min((abs(m[0] - t), m[0], m[1]) for m in (a, b) if m)
+        return near[2] if near[0] <= 300 else None
+
+    s = spark.createDataFrame([("s", "d", "c", t, [x]) for t, x in marks], "site_id string, session_id string, Camera string, ts_cs long, H array<double>")
+    rows = spark.createDataFrame([("s", "d", "c", t) for t in asked], "site_id string, session_id string, Camera string, ts_cs long")
+    for block in (600, 777, 60_000):
+        monkeypatch.setattr(alignment, "BLOCK_CS", block)
+        out = alignment.bracketed(rows, s)
+        # a frame that shrinks from row to row is computed anew for each
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        got = {x.ts_cs: x.H and round(x.H[0], 9) for x in out.collect()}
+        assert got == {t: None if (y := brute(t)) is None else round(y, 9) for t in asked}
+
+
+def test_every_observation_on_the_clock_and_aligned(spark, sf_dir):
+    for name in ("session_clock_all", "alignment_blend_all"):
+        out = queries.QUERIES[name](spark, sf_dir)
+        assert out.count() == queries.observations(spark, sf_dir).count()
+    every = queries.QUERIES["alignment_reference_all"](spark, sf_dir).agg(F.sum("n_samples")).first()[0]
+    assert every > queries.QUERIES["alignment_reference"](spark, sf_dir).agg(F.sum("n_samples")).first()[0]
+
+
 def test_session_clock(spark):
     seg = spark.createDataFrame([("s", "d", "c", 0, 0.0, -22.47), ("s", "d", "c", 1, 359.92, 486.78)], "site_id string, session_id string, Camera string, segment long, from_s double, start_s double")
     rows = spark.createDataFrame([("s", "d", "c", 7, 100.0), ("s", "d", "c", 7, 400.0), ("s", "d", "z", 7, 10.0)], "site_id string, session_id string, Camera string, Track_ID long, video_s double")
