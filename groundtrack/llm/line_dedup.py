@@ -3,7 +3,8 @@
 A line is a part of a text between line feeds; its words are lowered A-Z. A line of at least
 `least` words goes if an earlier line (smaller doc_id, then smaller line number) has the same words,
 or, from `near` words in the shorter one, differs by at most one word inserted, deleted or replaced.
-Lines are judged on the input, not on what is left; shorter lines stay.
+Lines are judged on the input, not on what is left; shorter lines stay. `query` takes LEAST
+and NEAR: every line with a word, and near copies from five words.
 
 1. Equal lines meet by hash: only the first of each is looked at further.
 2. Two lines within the bound share either their first or their second half exactly, so first lines
@@ -31,6 +32,9 @@ from pyspark.sql.window import Window
 
 from groundtrack.llm.common import _powers, cut, fresh, mix, prefix_sums, signed, slices, utf8, words
 
+#: Of the query: all equal lines go; near copies from where one replaced word leaves 80 % equal.
+LEAST, NEAR = 1, 5
+
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -174,7 +178,7 @@ def dedup(docs: DataFrame, least: int = 5, near: int = 8) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: lines of each document, how many go, and which (numbers from 0, comma-joined)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    gone = repeated_lines(docs)
+    gone = repeated_lines(docs, LEAST, NEAR)
     count = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
     return docs.select("doc_id", count.alias("n_lines")).join(gone, "doc_id", "left").select(
         "doc_id",

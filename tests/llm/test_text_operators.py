@@ -115,6 +115,19 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def test_short_lines_go_too(spark, tmp_path):
+    r = random.Random(11)
+    pool = [[f"w{r.randrange(12)}" for _ in range(r.randrange(1, 9))] for _ in range(90)]
+    texts = ["\n".join(" ".join(r.choice(pool)) for _ in range(r.randrange(1, 6))) for _ in range(60)]
+    texts += ["All rights reserved.\n\nnew", "ALL  rights reserved.\n\nNew\r", "in erre to it therble whrehe at.", "in erre to it rendon whrehe at.", "one two three four", "one two three five"]
+    want = brute_lines(texts, 1, 5)
+    assert want[61] == [0, 2] and want[63] == [0] and 65 not in want
+    docs = frame(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {row.doc_id: row.removed for row in line_dedup.query(spark, str(tmp_path)).collect() if row.n_removed}
+    assert got == {d: ",".join(map(str, lines)) for d, lines in want.items()}
+
+
 def test_decontaminate(spark, monkeypatch):
     r = random.Random(3)
     word = lambda: f"v{r.randrange(3000)}"
