@@ -17,6 +17,7 @@ repeat a doc_id each give a row; further columns are kept by `keep` and not read
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from groundtrack.llm.common import held_out, slices, utf8
 
 #: Labelled documents to learn from, over all languages.
-SAMPLE = 2000
-BINS = 1 << 12
+SAMPLE = 2400
+BINS = 1 << 13
 
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb yi fy",
@@ -84,22 +85,24 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 30.0, steps: int = 150) -> np.ndarray:
-    """Weights and bias of a linear machine for labels of -1 and 1, classes weighing equally."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1, dtype=np.float32)
+    """Weights and bias (last) of a linear machine for labels of -1 and 1, classes weighing equally."""
+    forth = lambda v: x @ v[:-1] + v[-1]
+    back = lambda g: np.append(x.T @ g, g.sum())
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * strength
     cost, y = cost.astype(np.float32), y.astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     # the largest curvature bounds the step
-    top = np.ones(x.shape[1], np.float32)
+    top = np.ones(x.shape[1] + 1, np.float32)
     for _ in range(12):
-        top = x.T @ (cost * (x @ top))
+        top = back(cost * forth(top))
         size = np.linalg.norm(top)
         top /= size or 1.0
-    step, t = 1.0 / (1.0 + 2.0 * size), 1.0
+    # Python's floats, since numpy's double scalars would turn v, and x in each product, to doubles
+    step, t = 1.0 / (1.0 + 2.0 * float(size)), 1.0
     for _ in range(steps):
-        gap = np.maximum(0.0, 1.0 - y * (x @ v))
-        new = v - step * (v - 2.0 * (x.T @ (cost * y * gap)))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        gap = np.maximum(0.0, 1.0 - y * forth(v))
+        new = v - step * (v - 2.0 * back(cost * y * gap))
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         w, v, t = new, new + (t - 1) / t2 * (new - w), t2
     return w
 
@@ -113,8 +116,7 @@ class Model:
     inner: list[np.ndarray]  # a machine for each pair of a family's languages
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-        margin = x @ self.top.T
+        margin = x @ self.top[:, :-1].T + self.top[:, -1]
         family = margin.argmax(axis=1)
         least = margin[np.arange(len(x)), family]
         lang = np.empty(len(x), object)
@@ -124,7 +126,7 @@ class Model:
                 continue
             best = np.zeros(len(own), np.int64)
             if len(names) > 1:
-                d = x[own] @ self.inner[f].T
+                d = x[own] @ self.inner[f][:, :-1].T + self.inner[f][:, -1]
                 votes, sums = np.zeros((len(own), len(names))), np.zeros((len(own), len(names)))
                 for k, (a, b) in enumerate(self.pairs[f]):
                     votes[:, a] += d[:, k] > 0
@@ -160,8 +162,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = sorted(chosen.select("lang", "text").mapInArrow(_sample, "lang string, x binary").collect(), key=lambda r: (r[0], bytes(r[1])))
     if not rows:
         return None
-    x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32)
+    x = np.empty((len(rows), BINS), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r[1], np.float16)
     lang = np.array([r[0] for r in rows])
+    del rows
     family = np.array([FAMILY.get(k, "only " + k) for k in lang])
     families = sorted(set(family))
     top = np.stack([fit_svm(x, np.where(family == f, 1.0, -1.0)) for f in families]) if len(families) > 1 else np.ones((1, BINS + 1))

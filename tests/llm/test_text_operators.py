@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, source_mix
@@ -211,3 +213,20 @@ def test_language_id(spark, sf_dir):
     assert language_id.predict(odd.limit(0), model).count() == 0
     assert language_id.train(odd.limit(0)) is None
     assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
+
+
+def test_language_machines_are_whole_and_make_no_copy():
+    assert language_id.SAMPLE >= 2400
+    x, has = language_id.features(["A text of some words", "", "1 2 3"])
+    assert x.shape[1] >= 8192 and x.dtype == np.float32 and list(has) == [True, False, False]
+    r = np.random.default_rng(4)
+    x = np.abs(r.normal(size=(300, 4000))).astype(np.float32)
+    y = np.where(np.arange(300) % 2, 1.0, -1.0)
+    x[y > 0, :40] += 1.0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    w = language_id.fit_svm(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes / 4 and len(w) == 4001
+    assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) == 1.0
