@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Text bytes handled at once inside a task; bounds the size of the numpy temporaries.
 SLICE_BYTES = 1 << 20
@@ -194,6 +195,30 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+# ---------------------------------------------------------------- hot keys
+
+
+def join_back(rows: DataFrame, table: DataFrame, on: str | list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Rows joined with a table of one row a key, whose column `weight` is the number of rows of that key.
+
+    Keys of more than a thousandth of all rows are at most a thousand, so they are broadcast; the
+    rows of the others are shuffled. The table is read several times, so give a cut one."""
+    many = (table.agg(F.sum(weight)).first()[0] or 0) / 1000
+    hot = F.broadcast(table.where(F.col(weight) > many).drop(weight))
+    rest = rows.join(hot, on, "left_anti").join(table.where(F.col(weight) <= many).drop(weight), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def stars(rows: DataFrame, key: str, node: str, salts: int = 64) -> DataFrame:
+    """Links a, b that chain all nodes (long) of each key, with the keys' rows dealt over salted groups:
+    to the least node of the group, and from there to the least one of the key. Rows are read twice."""
+    salt = F.pmod(F.xxhash64(node), F.lit(salts)).alias("salt")
+    rows = rows.select(key, F.col(node).alias("a"), salt)
+    inner = rows.withColumn("b", F.min("a").over(Window.partitionBy(key, "salt"))).select("a", "b")
+    outer = rows.groupBy(key, "salt").agg(F.min("a").alias("a")).withColumn("b", F.min("a").over(Window.partitionBy(key))).select("a", "b")
+    return inner.unionByName(outer).where("a <> b")
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -3,14 +3,16 @@
 Two documents link when their sets of word shingles have a Jaccard similarity of at least
 num / den. Every step is exact (up to collisions of 64-bit hashes):
 
-1. Documents with equal sets collapse to one representative, so copies cost nothing further. Texts
-   are read twice, once for this and once for step 2, rather than keep what step 2 emits.
-2. Shards. Sets within the bound differ in at most H shingles, H following from the size class of
-   the smaller one. Dealing shingles over P = H + 1 + e parts by hash leaves at least 1 + e parts
-   equal, so documents that share no part's content cannot link. Parts of few shingles are left out
-   where more than e heavier ones must agree; a document with too many light parts emits them all.
-   Components of shared parts are the shards: no link crosses them. One that is too large for a task
-   (sets that share passages chain up) is split once more, by the shingles of shortest lists.
+1. Documents with equal sets collapse to one representative, so copies cost nothing further.
+2. Shards. With T the least overlap of a set of n shingles, two sets that link share one of the
+   n - T + 1 shingles that come first in each by any one order; by rising number of sets that hold
+   them, these are the rare ones, and shingles of one set alone, which come before all others, need
+   not be looked at again. The numbers are exact: tasks send their shingles, once for each set,
+   packed by ranges of the shingles' hashes; a range's task counts them and sends on those of two or
+   more sets, packed by ranges of the sets' hashes. Shingles that fill up a range (a phrase in a
+   third of the documents) come last in the order, by hash, and are not sent; they are told by
+   their counts in slices of the first pass. Sets that share a first shingle are chained, and the
+   components of these chains are the shards: no link crosses them.
 3. In a shard, an inverted index from shingle to documents answers each document's T-occurrence
    query: with T the least overlap, its L longest lists are put aside, the short ones are merged
    and counted, those reaching T - L are probed in the long lists. (Where most documents of a list
@@ -20,9 +22,10 @@ num / den. Every step is exact (up to collisions of 64-bit hashes):
    each task returns a spanning forest of its links.
 4. Components of the forests.
 
-Null doc_id: the row is dropped. Null or wordless text: an empty set, linked with nothing. Rows
-that repeat a doc_id each give a row. Columns other than doc_id and text are not read. An empty
-table gives an empty result.
+Null doc_id: no row from `jaccard_components`; `query` adds these with a null component. Null or
+wordless text: an empty set, linked with nothing. Rows that repeat a doc_id each give a row. Very
+long texts are hashed in pieces, and are one set. Columns other than doc_id and text are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,85 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import components, cut, fresh, mix, prefix_sums, shingles, signed, slices, utf8, words
+from groundtrack.llm.common import components, cut, drop_cut, fresh, join_back, mix, prefix_sums, shingles, signed, slices, stars, utf8, words
 
 #: Shingles in one block of an inverted index.
 BLOCK = 1 << 20
-#: Ratio of the bounds of a size class.
-CLASS = 1.5
-
-
-def _bounds() -> np.ndarray:
-    return np.unique(np.floor(CLASS ** np.arange(0, 80)).astype(np.int64))
-
-
-class Parts:
-    """Into how many parts a pair of a size class is dealt, and which parts count as light."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.low, self.known = num, den, _bounds(), {}
-
-    def of(self, k: int) -> tuple[int, int, int]:
-        """H, P and the fewest shingles of a heavy part, for pairs whose smaller set is in class k."""
-        if k not in self.known:
-            lo, hi = int(self.low[k]), int(self.low[k + 1]) - 1
-            h = hi * (self.den - self.num) // self.num
-            for heavy in (3, 2, 1):
-                p = h + 1
-                for _ in range(12):
-                    lam = lo / p
-                    light = p * sum(math.exp(-lam) * lam**i / math.factorial(i) for i in range(heavy))
-                    p = h + 1 + math.ceil(light + 3 * math.sqrt(light))
-                if p <= 1.3 * (h + 1) + 2:
-                    break
-            self.known[k] = (h, p, heavy)
-        return self.known[k]
-
-    def classes(self, n: int) -> Iterator[int]:
-        """Classes of the smaller set in the pairs that a set of n shingles can be in."""
-        k = int(np.searchsorted(self.low, n, "right")) - 1
-        yield k
-        while k > 0 and n * self.num <= (int(self.low[k]) - 1) * self.den:
-            k -= 1
-            yield k
-
-
-def _signatures(h: np.ndarray, offs: np.ndarray, parts: Parts) -> list[np.ndarray]:
-    """Signatures of each set's parts; sets are sorted hashes between offsets."""
-    n = np.diff(offs)
-    out: list[list[np.ndarray]] = [[] for _ in n]
-    by: dict[int, list[int]] = {}
-    for size in np.unique(n[n > 0]):
-        for k in parts.classes(int(size)):
-            if parts.of(k)[0]:
-                by.setdefault(k, []).extend(np.flatnonzero(n == size))
-    for k, docs in by.items():
-        most, p, heavy = parts.of(k)
-        docs = np.array(docs)
-        m = n[docs]
-        start = np.repeat(offs[docs] - np.concatenate([[0], np.cumsum(m)[:-1]]), m)
-        x = h[np.arange(m.sum()) + start]
-        key = np.repeat(np.arange(len(docs)), m) * p + (x % np.uint64(p)).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, x = key[order], x[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.concatenate([at, [len(key)]]))
-        full = key[at]
-        salt = np.uint64(k * 1_000_003)
-        sig = mix(np.add.reduceat(mix(x ^ salt), at) + (full % p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
-        strong = count >= heavy
-        who = full // p
-        have = np.bincount(who[strong], minlength=len(docs))
-        weak = p - have >= p - most
-        use = strong | weak[who]
-        ends = np.searchsorted(who, np.arange(len(docs) + 1))
-        for j, d in enumerate(docs):
-            a, b = ends[j], ends[j + 1]
-            out[d].append(sig[a:b][use[a:b]])
-            if weak[j]:
-                empty = np.setdiff1d(np.arange(p), full[a:b] % p).astype(np.uint64)
-                out[d].append(mix(empty * np.uint64(0x9E3779B97F4A7C15) + salt + np.uint64(1)))
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+#: Shingles in a range of their hashes, and of the sets in a range of these.
+RANGE = 1 << 21
+#: At most so many shingles are taken as common ones: 1 MB of hashes in each task.
+COMMON = 1 << 17
+#: Common ones are in so many distinct sets of a slice, in more slices than this: they would fill an eighth of a range.
+OFTEN = 8
+OFTEN_SLICES = RANGE // 8 // OFTEN
 
 
 def _set_hashes(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +59,15 @@ def _set_hashes(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(c1[offs[1:]] - c1[offs[:-1]]), mix(c2[offs[1:]] - c2[offs[:-1]])
 
 
+def _short(s: np.ndarray) -> np.ndarray:
+    """48 bits of a shingle's hash: by these shingles are counted, ordered and met."""
+    return s >> np.uint64(16)
+
+
 def _profile(k: int):
+    """Size and hashes of each row's set; the first row of a slice also tells the shingles that
+    OFTEN of its distinct sets hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = utf8(batch.column(1))
@@ -132,32 +75,171 @@ def _profile(k: int):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
                 h1, h2 = _set_hashes(s, soffs)
-                yield pa.record_batch({"doc_id": batch.column(0).slice(a, b - a), "n": pa.array(np.diff(soffs)), "h1": signed(h1), "h2": signed(h2)})
+                first = np.zeros(b - a, bool)
+                first[np.unique(h1, return_index=True)[1]] = True
+                ids, times = np.unique(_short(s[np.repeat(first, np.diff(soffs))]), return_counts=True)
+                often = ids[times >= OFTEN]
+                tell = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.full(b - a, len(often))]).astype(np.int32)), signed(often))
+                yield pa.record_batch({"doc_id": batch.column(0).slice(a, b - a), "n": pa.array(np.diff(soffs)), "h1": signed(h1), "h2": signed(h2), "often": tell})
 
     return run
 
 
-def _parts(k: int, num: int, den: int):
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers below the length of a dictionary, in as few bytes as hold them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+
+
+def _unpack(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"u{len(x) // n}").astype(np.int64)
+
+
+_PACKED = "part long, low binary, high binary, who binary, h1 binary, room binary"
+
+
+def _packed(part: np.ndarray, ids: np.ndarray, owner: np.ndarray, h1: np.ndarray, room: np.ndarray) -> Iterator[dict]:
+    """A row for each part: shingles and, by a dictionary, the sets' hashes and room. Parts are sorted."""
+    ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
+    a = 0
+    for b in ends if len(part) else ():
+        known, who = np.unique(owner[a:b], return_inverse=True)
+        yield {
+            "part": int(part[a]),
+            "low": (ids[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+            "high": (ids[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(),
+            "who": _pack(who),
+            "h1": h1[known].tobytes(),
+            "room": room[known].astype(np.int32).tobytes(),
+        }
+        a = b
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Shingle, set hash and room of all entries of packed rows."""
+    ids, h1, room = [], [], []
+    for low, high, who, own, left in zip(rows.low, rows.high, rows.who, rows.h1, rows.room, strict=True):
+        low = np.frombuffer(low, np.uint32)
+        who = _unpack(who, len(low))
+        ids.append(low.astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
+        h1.append(np.frombuffer(own, np.uint64)[who])
+        room.append(np.frombuffer(left, np.int32)[who])
+    return np.concatenate(ids), np.concatenate(h1), np.concatenate(room)
+
+
+def _range_of(x: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Which of equal ranges of numbers of so many bits each lies in."""
+    return (((x >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _deal(k: int, num: int, den: int, common: np.ndarray, parts: int):
+    """Packed rows of all shingles but common ones, by range. room is how many of the shingles that
+    other sets hold as well come first at most, once all of them but the common ones are ahead:
+    the length of the beginning less the shingles that are not common. Where room is left for
+    common ones, these follow as rows of part -1."""
+
+    def flush(sets: list[np.ndarray], h1: list[np.uint64]) -> pa.RecordBatch:
+        n = np.array([len(s) for s in sets], np.int64)
+        ids, owner, hashes = _short(np.concatenate(sets)), np.repeat(np.arange(len(n)), n), np.array(h1, np.uint64)
+        at = np.minimum(np.searchsorted(common, ids), max(0, len(common) - 1))
+        is_common = common[at] == ids if len(common) else np.zeros(len(ids), bool)
+        room = n - -(-n * num // den) + 1 - (n - np.bincount(owner[is_common], minlength=len(n)))
+        rest, who = ids[~is_common], owner[~is_common]
+        order = np.argsort(rest, kind="stable")
+        rest, who = rest[order], who[order]
+        rows = list(_packed(_range_of(rest, 48, parts), rest, who, hashes, room))
+        last, who = ids[is_common], owner[is_common]
+        order = np.lexsort((last, who))
+        last, who = last[order], who[order]
+        nth = np.arange(len(who)) - np.searchsorted(who, who)
+        first = nth < room[who]
+        rows += _packed(np.full(int(first.sum()), -1), last[first], who[first], hashes, room)
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64())] + [(c, pa.binary()) for c in ("low", "high", "who", "h1", "room")]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(num, den)
+        sets: dict[int, np.ndarray] = {}  # of equal sets, one speaks for all
+        size = 0
         for batch in batches:
             buf, offs = utf8(batch.column(0))
-            seen = np.zeros(0, np.uint64)  # of equal sets in a batch, one speaks for all
             for a, b in slices(offs):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
                 h1, _ = _set_hashes(s, soffs)
-                _, first = np.unique(h1, return_index=True)
-                first = first[~np.isin(h1[first], seen)]
-                seen = np.concatenate([seen, h1[first]])
-                some = np.concatenate([[0], np.cumsum(np.diff(soffs)[first])])
-                s = np.concatenate([s[soffs[d] : soffs[d + 1]] for d in first] + [np.zeros(0, np.uint64)])
-                sigs = _signatures(s, some, parts)
-                yield pa.record_batch({"sig": signed(np.concatenate([*sigs, np.zeros(0, np.uint64)])), "h1": signed(np.repeat(h1[first], [len(x) for x in sigs]))})
+                for i in np.flatnonzero(np.diff(soffs)):
+                    if int(h1[i]) not in sets:
+                        sets[int(h1[i])] = s[soffs[i] : soffs[i + 1]]
+                        size += int(soffs[i + 1] - soffs[i])
+                if size >= RANGE // 2:
+                    yield flush(list(sets.values()), list(sets))
+                    sets, size = {}, 0
+        if sets:
+            yield flush(list(sets.values()), list(sets))
+
+    return run
+
+
+def _count(parts: int):
+    """Entries of a range of shingles that two or more sets hold, packed by range of the sets."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, h1, room = _unpacked(rows)
+        order = np.lexsort((h1, ids))
+        ids, h1, room = ids[order], h1[order], room[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = ids[1:] != ids[:-1]
+        each = new.copy()
+        each[1:] |= h1[1:] != h1[:-1]
+        ids, h1, room, new = ids[each], h1[each], room[each], new[each]
+        at = np.flatnonzero(new)
+        times = np.repeat(np.diff(np.append(at, len(ids))), np.diff(np.append(at, len(ids))))
+        met = times > 1
+        ids, h1, room, times = ids[met], h1[met], room[met], times[met]
+        part = _range_of(h1, 64, parts)
+        order = np.argsort(part, kind="stable")
+        ids, h1, room, times, part = ids[order], h1[order], room[order], times[order], part[order]
+        known, first, owner = np.unique(h1, return_index=True, return_inverse=True)
+        out = pd.DataFrame(list(_packed(part, ids, owner, known, room[first])), columns=["part", "low", "high", "who", "h1", "room"])
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part)) if len(part) else []
+        out["times"] = [times[a:b].astype(np.uint32).tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(part) else []
+        return out
 
     return run
 
 
+def _first_ones(rows: pd.DataFrame) -> pd.DataFrame:
+    """g and h1: shingles at the beginning of each set of a range that other sets hold as well."""
+    ids, h1, room = _unpacked(rows)
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.times])
+    order = np.lexsort((ids, times, h1))
+    ids, h1, room = ids[order], h1[order], room[order]
+    start = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
+    met = np.diff(np.append(start, len(h1)))
+    nth = np.arange(len(h1)) - np.repeat(start, met) + 1
+    first = nth - np.repeat(met, met) <= room
+    return pd.DataFrame({"g": ids[first].view(np.int64), "h1": h1[first].view(np.int64)})
+
+
+def _common_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, h1, _ = _unpacked(batch.to_pandas()) if batch.num_rows else (np.zeros(0, np.uint64),) * 3
+        yield pa.record_batch({"g": signed(ids), "h1": signed(h1)})
+
+
+def _shards(texts: DataFrame, often: DataFrame, total: int, k: int, num: int, den: int) -> DataFrame:
+    """node (the hash of a set) and component, for sets that share a shingle of their beginnings."""
+    ranges = max(1, -(-total // RANGE))
+    common = often.groupBy("id").agg(F.count("*").alias("slices")).where(f"slices > {OFTEN_SLICES}")
+    common = common.orderBy(F.desc("slices"), "id").limit(COMMON).collect()
+    common = np.sort(np.array([r.id for r in common], np.int64).view(np.uint64))
+    dealt = cut(texts.mapInArrow(_deal(k, num, den, common, ranges), _PACKED))
+    counted = dealt.where("part >= 0").groupBy("part").applyInPandas(_count(ranges), _PACKED + ", times binary")
+    first = counted.groupBy("part").applyInPandas(_first_ones, "g long, h1 long")
+    first = cut(first.unionByName(dealt.where("part < 0").mapInArrow(_common_ones, "g long, h1 long").distinct()))
+    drop_cut(dealt)
+    found = components(stars(first, "g", "h1"))
+    drop_cut(first)
+    return found
+
+
 def _sets(k: int):
     """Sets of the texts whose set has the hash asked for."""
 
@@ -174,30 +256,6 @@ def _sets(k: int):
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h1 = batch.column(0).to_numpy()
-        for a in range(0, batch.num_rows, 512):
-            sets = [np.frombuffer(x, np.int64) for x in batch.column(1).slice(a, 512).to_pylist()]
-            n = np.array([len(x) for x in sets])
-            yield pa.record_batch({"g": pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])), "h1": pa.array(np.repeat(h1[a : a + 512], n)), "n": pa.array(np.repeat(n, n).astype(np.int64))})
-
-
-def _rare_components(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Components of sets that share one of their rarest shingles.
-
-    With T the least overlap, two sets that link share one of the n - T + 1 shingles that come first
-    in each by any one order; by rising number of sets, these lists are the short ones, and shingles
-    of one set alone, which come before all others, need not be looked at again."""
-    rows = sets.mapInArrow(_postings, "g long, h1 long, n long")
-    lists = rows.groupBy("g").agg(F.count("*").alias("length")).where("length > 1")
-    own = Window.partitionBy("h1")
-    met = rows.join(lists, "g").withColumns({"met": F.count("*").over(own), "nth": F.row_number().over(own.orderBy("length", "g"))})
-    first = met.where(F.col("n") - F.col("met") + F.col("nth") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
-    lead = F.min("h1").over(Window.partitionBy("g"))
-    return components(first.select(F.col("h1").alias("a"), lead.alias("b")).where("a <> b"))
-
-
 def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set i, the sets j < i of Jaccard similarity num / den or more (with `side` given,
     only those of another side). Sets are arrays of distinct hashes."""
@@ -292,46 +350,41 @@ def _search(num: int, den: int):
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links) and n_links of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    seen = cut(docs.mapInArrow(_profile(k), "doc_id long, n long, h1 long, h2 long"))
+    told = cut(docs.mapInArrow(_profile(k), "doc_id long, n long, h1 long, h2 long, often array<long>"))
+    seen = told.drop("often")
     reps = cut(seen.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n")))
-
+    total = reps.agg(F.sum("n")).first()[0] or 0
     # sets go by their hash, so that copies which tasks have not seen together meet as one
-    parts = docs.select("text").mapInArrow(_parts(k, num, den), "sig long, h1 long")
-    lead = F.min("h1").over(Window.partitionBy("sig"))
-    shard = components(parts.select(F.col("h1").alias("a"), lead.alias("b")).where("a <> b"))
+    shard = _shards(docs.select("text"), told.select(F.explode("often").alias("id")), total, k, num, den)
 
-    held = shard.join(reps, F.col("node") == F.col("h1")).select("h1", "rep", "component", "times", "n")
+    held = cut(shard.join(reps, F.col("node") == F.col("h1")).select("h1", "rep", "component", "times", "n"))
+    size = cut(held.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets")))
     sets = docs.join(held.select("h1", "rep"), F.col("doc_id") == F.col("rep")).select("text", "h1")
     sets = cut(sets.mapInArrow(_sets(k), "h1 long, shingles binary").dropDuplicates(["h1"]))
-    sized = lambda rows: rows.join(rows.groupBy("component").agg(F.sum("n").alias("size")), "component")
-    held = cut(sized(held.drop("rep")))
-    large = held.where(F.col("size") > BLOCK)
-    if large.take(1):
-        finer = _rare_components(sets.join(large.select("h1"), "h1", "left_semi"), num, den)
-        large = large.drop("component", "size").join(finer, F.col("h1") == F.col("node")).select("h1", "component", "times", "n")
-        held = cut(held.where(F.col("size") <= BLOCK).unionByName(sized(large)))
-    total = held.agg(F.sum("n")).first()[0] or 0
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    held = held.select(
+    tasks = max(1, -(-(size.agg(F.sum("size")).first()[0] or 0) // BLOCK))
+    held = join_back(held, size, "component", "sets").select(
         "h1",
         "times",
         blocks.alias("blocks"),
-        F.when(blocks == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // BLOCK))))).otherwise(F.col("component")).alias("shard"),
+        F.when(blocks == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")).alias("shard"),
         F.pmod(F.xxhash64("h1", F.lit(1)), blocks).alias("mine"),
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     tasks = held.join(sets, "h1").select(F.col("h1").alias("node"), "times", "blocks", "shard", "mine", "shingles", other.alias("other"))
     tasks = tasks.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "parted": F.col("blocks") > 1}).drop("other", "blocks")
     links = cut(tasks.groupBy("parted", "shard", "i", "j").applyInPandas(_search(num, den), "a long, b long, links long"))
+    drop_cut(sets)
 
     joined = components(links.select("a", "b"))
     counted = links.groupBy(F.col("a").alias("h1")).agg(F.sum("links").alias("links"))
-    reps = reps.join(joined.select(F.col("node").alias("h1"), "component"), "h1", "left").join(counted, "h1", "left")
-    lowest = reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
-    reps = reps.join(lowest, "component", "left").select("h1", "h2", F.coalesce("low", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
+    reps = cut(reps.join(joined.select(F.col("node").alias("h1"), "component"), "h1", "left").join(counted, "h1", "left"))
+    lowest = cut(reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("sets")))
+    reps = join_back(reps, lowest, "component", "sets", "left")
+    reps = cut(reps.select("h1", "h2", "times", F.coalesce("low", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links")))
     keys = ["h1", "h2"]
     some = seen.select("doc_id", "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in keys))
-    return some.join(reps, keys, "left").select(
+    return join_back(some, reps, keys, "times", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
@@ -350,8 +403,13 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: components over links of 3-word shingles at a similarity of 0.9."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+    """op9: components over links of 3-word shingles at a similarity of 0.9; a row without doc_id is in
+    no component, and its set is counted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    nameless = docs.where("doc_id is null").mapInArrow(_profile(3), "doc_id long, n long, h1 long, h2 long, often array<long>")
+    none = F.lit(None).cast("long")
+    nameless = nameless.select("doc_id", F.col("n").alias("n_shingles"), none.alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return jaccard_components(docs, 3, 90, 100).unionByName(nameless)
 
 
 SQL = r"""
