@@ -20,8 +20,9 @@ doc_id, or earlier in the same one. Strings never cross documents and are judged
 4. The documents' removed stretches are united and cut from the texts.
 
 Null text counts as empty. Null doc_id: nothing is removed there, and it removes nothing. Rows that
-repeat a doc_id are at the same place, so neither removes from the other. Further columns are not
-read; an empty table gives an empty result. Very long texts are read in pieces that overlap by a string less a byte.
+repeat a doc_id are at the same place, so equal strings at one start remove nothing of each other;
+stretches are told by doc_id and the text's hash, so each of its texts is cut by its own. Further
+columns are not read; an empty table gives an empty result. Very long texts are read in pieces that overlap by a string less a byte.
 """
 
 from __future__ import annotations
@@ -104,18 +105,18 @@ def _pieces(offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offs = utf8(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         found = []
         for a, b, x, y in _pieces(offs):
             own = np.array([0, y - x]) if x or y < offs[b] - offs[a] else offs[a : b + 1] - offs[a]
             t, at, left, right, g, f = anchors(buf[offs[a] + x : offs[a] + y], own)
-            found.append((ids[a + t], at + x, left * 256 + right, g, f))
+            found.append((ids[a + t], texts[a + t], at + x, left * 256 + right, g, f))
         if not found:
             continue
-        doc, at, sides, g, f = (np.concatenate(c) for c in zip(*found, strict=True))
+        doc, text, at, sides, g, f = (np.concatenate(c) for c in zip(*found, strict=True))
         # of equal contexts in this batch only the earliest goes on; later ones are copies
         order = np.lexsort((at, doc, f, g))
-        doc, at, sides, g, f = doc[order], at[order], sides[order], g[order], f[order]
+        doc, text, at, sides, g, f = doc[order], text[order], at[order], sides[order], g[order], f[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (f[1:] != f[:-1])
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(g) else np.zeros(0, np.int64)
@@ -123,11 +124,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a copy needs no meeting: its key is its own
         g = np.where(copy, mix(f + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), g)
         back = np.lexsort((at, doc))
-        yield pa.record_batch({"g": signed(g[back]), "f": signed(f[back]), "doc_id": pa.array(doc[back].astype(np.int64)), "at": pa.array(at[back].astype(np.int32)), "sides": pa.array(sides[back].astype(np.int32)), "copy": pa.array(copy[back])})
+        yield pa.record_batch({"g": signed(g[back]), "f": signed(f[back]), "doc_id": pa.array(doc[back]), "t": pa.array(text[back]), "at": pa.array(at[back].astype(np.int32)), "sides": pa.array(sides[back].astype(np.int32)), "copy": pa.array(copy[back])})
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text and asked: structs of g, at, sides, hot."""
+    """Rows of doc_id, text, asked (structs of g, at, sides, hot) and t."""
     for batch in batches:
         buf, offs = utf8(batch.column(1))
         asked = batch.column(2)
@@ -141,7 +142,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = np.arange(size.sum()) + np.repeat(a[i:j] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
             data = buf[index]
             ctx = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.record_batch({"g": flat.field("g").slice(i, j - i), "doc_id": batch.column(0).take(pa.array(row[i:j])), "start": pa.array(at[i:j] - sides[i:j] // 256), "at": pa.array(at[i:j]), "hot": flat.field("hot").slice(i, j - i), "context": ctx})
+            yield pa.record_batch({"g": flat.field("g").slice(i, j - i), "doc_id": batch.column(0).take(pa.array(row[i:j])), "t": batch.column(3).take(pa.array(row[i:j])), "start": pa.array(at[i:j] - sides[i:j] // 256), "at": pa.array(at[i:j]), "hot": flat.field("hot").slice(i, j - i), "context": ctx})
 
 
 def previous_factors(group: np.ndarray, doc: np.ndarray, start: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def previous_factors(group: np.ndarray, doc: np.ndarray, start: np.ndarray, buf:
     return r[later], s[later] - offs[r[later]]
 
 
-def _stretches(doc: np.ndarray, r: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _stretches(doc: np.ndarray, text: np.ndarray, r: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Strings from `place` on in rows r, united where they follow each other."""
     order = np.lexsort((place, r))
     r, place = r[order], place[order]
@@ -186,7 +187,7 @@ def _stretches(doc: np.ndarray, r: np.ndarray, place: np.ndarray) -> pa.RecordBa
     new[1:] = (r[1:] != r[:-1]) | (place[1:] != place[:-1] + 1)
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(r)) - 1 if len(r) else a
-    return pa.record_batch({"doc_id": pa.array(doc[r[a]].astype(np.int64)), "a": pa.array(place[a].astype(np.int64)), "b": pa.array((place[b] + SPAN).astype(np.int64))})
+    return pa.record_batch({"doc_id": pa.array(doc[r[a]]), "t": pa.array(text[r[a]]), "a": pa.array(place[a].astype(np.int64)), "b": pa.array((place[b] + SPAN).astype(np.int64))})
 
 
 def _suffix_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +197,9 @@ def _suffix_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def work(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         buf, offs = utf8(table["context"].combine_chunks() if table["context"].num_chunks != 1 else table["context"].chunk(0))
-        g, doc, start = (table[c].to_numpy() for c in ("g", "doc_id", "start"))
+        g, doc, text, start = (table[c].to_numpy() for c in ("g", "doc_id", "t", "start"))
         r, place = previous_factors(g, doc, start, buf, offs)
-        return _stretches(doc, r, place + start[r])
+        return _stretches(doc, text, r, place + start[r])
 
     rows = 0
     for batch in batches:
@@ -219,7 +220,7 @@ def _suffix_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, start, context, at (the anchor's place), lo and hi, each as two: strings that
+    """Rows of doc_id, start, context, at (the anchor's place), lo, hi and t, each as two: strings that
     begin lo to hi bytes before the anchor are dealt into the nearer and the farther half of that
     range, with the bytes that they reach. g is the hash of the bytes that a half's strings share."""
     for batch in batches:
@@ -241,35 +242,36 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = pa.array([buf[offs[i] + x : offs[i] + y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())
             shared = mix(hashes.of(base - low, base - high + SPAN) + (low * 256 + high).astype(np.uint64))
             whole = mix(hashes.of(a, b) + (near * 256 + far).astype(np.uint64))
-            yield pa.record_batch({"g": signed(shared), "f": signed(whole), "doc_id": pa.array(ids[i + row]), "start": pa.array(at[i + row] - far), "at": pa.array(at[i + row]), "lo": pa.array(low), "hi": pa.array(high), "context": part})
+            yield pa.record_batch({"g": signed(shared), "f": signed(whole), "doc_id": pa.array(ids[i + row]), "t": batch.column(6).take(pa.array(i + row)), "start": pa.array(at[i + row] - far), "at": pa.array(at[i + row]), "lo": pa.array(low), "hi": pa.array(high), "context": part})
 
 
 def copied(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b: stretches of bytes, maybe overlapping, that go."""
+    """doc_id, t (hash of the text), a, b: stretches of bytes, maybe overlapping, that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = docs.mapInArrow(_anchor_rows, "g long, f long, doc_id long, at int, sides int, copy boolean").repartition("g")
+    docs = docs.withColumn("t", F.xxhash64("text"))
+    rows = docs.mapInArrow(_anchor_rows, "g long, f long, doc_id long, t long, at int, sides int, copy boolean").repartition("g")
     within = Window.partitionBy("g", "f").orderBy("doc_id", "at")
     rows = rows.withColumn("nth", F.row_number().over(within)).withColumn("rank", F.rank().over(within))
     rows = rows.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("g")))
     later = F.col("copy") | (F.col("rank") > 1)
-    met = cut(rows.where(later | (F.col("kinds") > 1)).select("g", "doc_id", "at", "sides", later.alias("later"), (F.col("kinds") > HOT).alias("hot")))
+    met = cut(rows.where(later | (F.col("kinds") > 1)).select("g", "doc_id", "t", "at", "sides", later.alias("later"), (F.col("kinds") > HOT).alias("hot")))
 
     left, right = F.floor(F.col("sides") / 256).cast("long"), (F.col("sides") % 256).cast("long")
-    whole = met.where("later").select("doc_id", (F.col("at") - left).alias("a"), (F.col("at") + GRAM + right).alias("b"))
+    whole = met.where("later").select("doc_id", "t", (F.col("at") - left).alias("a"), (F.col("at") + GRAM + right).alias("b"))
 
-    asked = met.where("not later").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("g", "at", "sides", "hot")).alias("asked"))
-    contexts = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_contexts, "g long, doc_id long, start long, at long, hot boolean, context binary")
+    asked = met.where("not later").distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("g", "at", "sides", "hot")).alias("asked"))
+    contexts = docs.join(asked, ["doc_id", "t"]).select("doc_id", "text", "asked", "t").mapInArrow(_contexts, "g long, doc_id long, t long, start long, at long, hot boolean, context binary")
     contexts = cut(contexts)
     found = whole.unionByName(_in_order(contexts.where("not hot")))
-    columns = ["doc_id", "start", "context", "at", "lo", "hi"]
+    columns = ["doc_id", "start", "context", "at", "lo", "hi", "t"]
     hot = contexts.where("hot").withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(SIDE).cast("long")}).select(*columns)
     place = F.struct("doc_id", "start")
     while hot.take(1):
-        parts = cut(hot.mapInArrow(_halves, "g long, f long, doc_id long, start long, at long, lo long, hi long, context binary"))
+        parts = cut(hot.mapInArrow(_halves, "g long, f long, doc_id long, t long, start long, at long, lo long, hi long, context binary"))
         firsts = cut(parts.groupBy("g", "f").agg(F.min(place).alias("first")))
         kinds = firsts.groupBy("g").agg(F.count("*").alias("kinds"))
         parts = cut(parts.join(firsts, ["g", "f"]).join(kinds, "g").withColumn("later", place > F.col("first")).where("later or kinds > 1"))
-        later = parts.where("later").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.length("context")).alias("b"))
+        later = parts.where("later").select("doc_id", "t", F.col("start").alias("a"), (F.col("start") + F.length("context")).alias("b"))
         rest = parts.where("not later").withColumn("hot", F.col("kinds") > HOT)
         found = found.unionByName(later).unionByName(_in_order(rest.where("not hot")))
         hot = rest.where("hot").select(*columns)
@@ -277,8 +279,8 @@ def copied(docs: DataFrame) -> DataFrame:
 
 
 def _in_order(contexts: DataFrame) -> DataFrame:
-    shards = contexts.select("g", "doc_id", "start", "context").repartition("g").sortWithinPartitions("g")
-    return shards.mapInArrow(_suffix_order, "doc_id long, a long, b long")
+    shards = contexts.select("g", "doc_id", "t", "start", "context").repartition("g").sortWithinPartitions("g")
+    return shards.mapInArrow(_suffix_order, "doc_id long, t long, a long, b long")
 
 
 def _removal(keep: bool):
@@ -309,8 +311,8 @@ def _removal(keep: bool):
 
 def _joined(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = copied(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["of"], "left").select("doc_id", "text", "gone")
+    gone = copied(docs).groupBy(F.col("doc_id").alias("of"), "t").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    return docs.join(gone, (docs["doc_id"] == gone["of"]) & (F.xxhash64("text") == gone["t"]), "left").select("doc_id", "text", "gone")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

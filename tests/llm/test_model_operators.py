@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -47,6 +48,30 @@ def test_suffix_dedup(spark, monkeypatch):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(300)
+    texts = [(1, word(50) + passage), (1, "short"), (1, None), (2, passage[20:]), (2, word(900) + passage[:250] + word(10)), (2, ""), (0, word(30)), (0, word(400) + passage[100:]), (None, passage), (3, passage), (3, passage)]
+    first = {}
+    for d, t in texts:
+        b = (t or "").encode()
+        for i in range(len(b) - 99):
+            if d is not None:
+                first[b[i : i + 100]] = min(first.get(b[i : i + 100], (d, i)), (d, i))
+    want = []
+    for d, t in texts:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if d is not None and first[b[i : i + 100]] < (d, i):
+                gone[i : i + 100] = b"\1" * 100
+        want.append((d, len(b), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = [(x.doc_id, x.n_bytes, bytes(x.kept)) for x in suffix_dedup.dedup(docs).collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_anchors_agree():
     r = np.random.default_rng(1)
     passage = r.integers(97, 110, 100).astype(np.uint8)

@@ -59,6 +59,24 @@ def test_jaccard_components(spark, monkeypatch, k, num, block):
     assert sorted(map(tuple, got)) == brute_components(texts, k, num, 100)
 
 
+def test_jaccard_with_common_shingles_and_small_ranges(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RANGE", 700)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 3)
+    monkeypatch.setattr(jaccard_join, "OFTEN_SLICES", 0)
+    texts = corpus(9, 120)
+    texts = [t + " " + " ".join(f"foot{j}" for j in range(30)) if t and i % 2 else t for i, t in enumerate(texts)]
+    for k, num in ((3, 90), (5, 80)):
+        got = jaccard_join.jaccard_components(frame(spark, texts), k, num, 100).collect()
+        assert sorted(map(tuple, got)) == brute_components(texts, k, num, 100)
+
+
+def test_jaccard_query_keeps_rows_without_id(spark, tmp_path):
+    rows = [(None, "a b c d", "en", "s", "x"), (None, None, "en", "s", "x"), (3, "a b c d", "en", "s", "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in jaccard_join.query(spark, str(tmp_path)).collect()}
+    assert got == {(None, 2, None, 0), (None, 0, None, 0), (3, 2, 3, 0)}
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f", None, None, None), (7, None, None, None, None)], SCHEMA)
@@ -130,6 +148,32 @@ def test_short_lines_go_too(spark, tmp_path):
     assert got == {d: ",".join(map(str, lines)) for d, lines in want.items()}
 
 
+def repeated_ids(spark, texts):
+    """Rows whose doc_id repeats with other texts, and the place that each row counts at."""
+    rows = [(i // 2, t, "en", "s", "x") for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", "x"), (0, None, "en", "s", "x"), (0, "", "en", "s", "x")]
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def test_lines_of_repeated_ids(spark):
+    r = random.Random(6)
+    pool = [" ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(5, 12))) for _ in range(40)]
+    texts = ["\n".join(r.choice(pool) if r.random() < 0.6 else r.choice(pool) + " more" for _ in range(r.randrange(1, 5))) for _ in range(60)]
+    texts += ["only here in this one line\nand " + pool[0], pool[0] + "\nanother line that is nowhere else"]
+    rows, docs = repeated_ids(spark, texts)
+    lines = [(d, k, re.findall(r"[^\x20\x09-\x0D]+", x.lower())) for d, t, *_ in rows if d is not None and t for k, x in enumerate(t.split("\n"))]
+
+    def earlier(d, k, w):
+        return any((a, b) < (d, k) and brute_lines([" ".join(u), " ".join(w)]) for a, b, u in lines)
+
+    want = []
+    for d, t, *_ in rows:
+        kept = None if t is None else [x for k, x in enumerate(t.split("\n")) if d is None or not earlier(d, k, re.findall(r"[^\x20\x09-\x0D]+", x.lower()))]
+        want.append((d, None if kept is None else "\n".join(kept)))
+    got = [(x.doc_id, x.text) for x in line_dedup.dedup(docs).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_decontaminate(spark, monkeypatch):
     r = random.Random(3)
     word = lambda: f"v{r.randrange(3000)}"
