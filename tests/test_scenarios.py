@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,16 @@ def test_conflicts(spark):
     assert got["b", 4][0] == got["b", 2][0] != 1 and got["b", 5][0] == 1
     got = settle([("a", 1, 1, None, 1000, 1500), ("b", 2, 1, None, 1100, 1500)], *far)
     assert got["a", 1][0] == 1 and got["b", 2][0] != 1
+    # reach is judged where a track comes first after the last sighting, not where the conflict begins
+    rows = [("c", 3, 1, None, 0, 950), ("a", 1, 1, 0.9, 1000, 2500), ("b", 2, 1, 0.8, 2000, 2500)]
+    got = settle(rows, walk("c", 3, 0, 0, t0=0, t1=950), walk("a", 1, 40, 0, t0=1000, t1=2500), walk("b", 2, 1, 0, t0=2000, t1=2500))
+    assert got["b", 2][0] == 1 and got["a", 1][0] != 1
+    # both in reach: the surer one stays
+    got = settle([("c", 3, 1, None, 0, 900), ("a", 1, 1, 0.9, 1000, 1500), ("b", 2, 1, 0.82, 1000, 1500)], walk("c", 3, 10, 0, t0=0, t1=900), *far)
+    assert got["a", 1][0] == 1 and got["b", 2][0] != 1
+    # three cameras: the one that is far from the other two leaves, once
+    got = settle([("a", 1, 1, 0.9, 1000, 1500), ("b", 2, 1, 0.8, 1000, 1500), ("c", 3, 1, 0.85, 1000, 1500)], *far, walk("c", 3, 1, 0, t0=1000, t1=1500))
+    assert got["a", 1][0] == got["c", 3][0] == 1 and got["b", 2][0] != 1
 
 
 def gallery(spark, rows, **more):
@@ -247,6 +258,46 @@ def test_gallery_window_is_matched_as_a_whole(spark):
     assert data["b", 3] == data["a", 1] and data["b", 4] not in (data["b", 3],)
 
 
+def test_gallery_bars_and_strangers(spark):
+    alike = [0.8, 0.6]
+    assert len(set(gallery(spark, [at("a", 1, 0, 0, ME), at("b", 2, 2000, 5, alike)]).values())) == 1  # at the bar of 0.8
+    cols = "site_id string, session_id string, Camera string, Track_ID long, t0 long, x0 double, y0 double, t1 long, x1 double, y1 double, exemplars array<array<float>>, eligible boolean, threshold double"
+    for bar, n in ((0.75, 1), (0.85, 2)):
+        rows = [("s", "d", c, k, t, x, 0.0, t + 200, x, 0.0, [v], True, bar) for c, k, t, x, v in (("a", 1, 0, 0.0, ME), ("b", 2, 2000, 5.0, alike))]
+        assert len({r.gid for r in identities.gallery_identities(spark.createDataFrame(rows, cols)).collect()}) == n
+    # strangers at once in two cameras are two, also far apart and alike
+    assert len(set(gallery(spark, [at("a", 1, 0, 0, ME), at("b", 2, 0, 30, ME)]).values())) == 2
+    # two of one camera are never one, whoever else they look like
+    got = gallery(spark, [at("a", 1, 0, 0, ME), at("a", 2, 50, 1, ME), at("b", 3, 20, 0, ME)])
+    assert got["a", 1] != got["a", 2] and got["b", 3] in (got["a", 1], got["a", 2])
+
+
+def test_gallery_forgets_and_prunes():
+    views = np.array([[1.0, 0.0], [0.0, 1.0], [0.999, 0.0447], [0.6, 0.8]])
+    assert identities.varied(views, 4) is views
+    assert identities.varied(views, 3).tolist() == views[[1, 2, 3]].tolist()
+    assert identities.varied(views, 2).tolist() == views[[2, 3]].tolist()
+    known = identities.Known.none()
+    seen = pd.DataFrame({"ident": [0, 1], "Camera": ["a", "b"], "s1": [10.0, 400.0], "x1": [0.0, 1.0], "y1": [0.0, 1.0]})
+    known.learn(seen, [views, views[:1]], 3)
+    assert len(known.views[0]) == 3 and sorted(known.last.index) == [0, 1]
+    known.forget(350.0)
+    assert list(known.last.index) == list(known.views) == list(known.exits.ident) == [1]
+
+
+def test_gallery_in_chunks_is_the_gallery_as_a_whole(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    rows, t = [], 0
+    for k in range(60):
+        t += int(r.choice([0, 40, 300, 2000, 33_000], p=[0.3, 0.3, 0.2, 0.15, 0.05]))
+        v = r.normal(size=4)
+        who = np.eye(4)[int(r.integers(4))] + 0.2 * v
+        rows.append(at(str(r.choice(["a", "b", "c"])), k, t, float(r.integers(0, 6)), [float(x) for x in who / np.linalg.norm(who)]))
+    parted = gallery(spark, rows)
+    monkeypatch.setattr(identities, "gallery_chunks", lambda tracks, _: tracks.withColumn("chunk", F.lit(1).cast("long")))
+    assert gallery(spark, rows) == parted and len(set(parted.values())) < 60
+
+
 def test_alignment(spark):
     eye = lambda dx: [1.0, 0.0, dx, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
     s = spark.createDataFrame([("s", "d", "c", t, eye(x) if x is not None else None) for t, x in ((0, 0.0), (100, 10.0), (200, None), (2000, 50.0))], "site_id string, session_id string, Camera string, ts_cs long, H array<double>")
