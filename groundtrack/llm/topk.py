@@ -1,145 +1,198 @@
 """Exact top-k search by vector-approximation files.
 
-A component x of a vector becomes floor(64 * x); the score is the integer inner product. Vectors and
-queries are dealt over blocks of bounded size by a hash, and each block of queries meets each block
-of vectors in a task of its own. There the vectors' approximation file is built: per component a
-cell of 2**s integers, so that a cell number takes one byte at most. The scan of the cells gives a
-lower and an upper bound of each score; vectors whose upper bound is below the k-th best lower bound
-go, and the exact vectors of the rest are read in the order of their upper bounds, in steps, until
-the k-th best score is above the next bound (equal bounds are read, for ties go to the smaller
-vec_id). So each task's k best are exact, and the k best of these by query are the answer.
+A component x of a vector becomes floor(64 * x); the score is the integer inner product.
+
+1. Equal vectors are one candidate that holds the k + 1 smallest vec_ids of its rows: ties go to
+   the smaller vec_id, so the others cannot be among the k best, however many rows are equal.
+2. Candidates are dealt over blocks by a hash, and each block's approximation file is written: a
+   cell number of one byte for each component, and the grid of these cells.
+3. Each block of queries scans each file. Cells give a lower and an upper bound of each score; the
+   first scan tells each query's least score worth reading (the greatest of the files' k-th lower
+   bounds, the query's own row aside), the second the candidates whose upper bound reaches it.
+4. The exact vectors of these are read in the order of their bounds: for each query the k + 1 first
+   ones, then those whose bound reaches the k-th score that these have made certain (equal bounds
+   are read, for ties go to the smaller vec_id).
+
+Files and query blocks are of bounded size; vectors are shuffled once, to meet their equals, and
+later only those that are read. A query's best are kept by rank within tasks before the shuffle.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without
-vec_id; a vec_id that repeats counts once, with its smallest vector. Vectors of another length than
-the query's are no candidates of it. With fewer than k candidates, all are given. An empty table
-gives an empty result; columns other than vec_id and embedding are not read. Scores are exact for
-any finite input; those outside of a long's range are held at its end.
+vec_id. With `each_row`, rows that repeat a vec_id are candidates (and queries) each; else a vec_id
+counts once, with its smallest vector. Vectors of another length than the query's are no candidates
+of it. With fewer than k candidates, all are given. An empty table gives an empty result; columns
+other than vec_id and embedding are not read. Bounds allow for the rounding of doubles and exact
+scores of large components are computed as Python's integers; scores outside of a long's range are
+held at its end, and components of 2**1018 or more in size count as 2**1024 less the last place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import cut
+from groundtrack.llm.common import cut, drop_cut
+
+#: Candidates of a file and queries of a block.
+ROWS, QUERIES = 8192, 2048
+#: Queries of a block that are held against a file at once.
+STEP = 256
 
-#: Vectors and queries of a block.
-ROWS, QUERIES = 4096, 2048
-#: Bits of a cell number.
-BITS = 5
-#: Exact vectors read at once.
-STEP = 64
+_FILE = "block int, dims int, names binary, low binary, width binary, cells binary"
+_ASKS = "ask int, dims int, names binary, q binary, least binary"
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, the integer vector, of rows that take part; one row for each vec_id."""
+def quantised(vectors: DataFrame, each_row: bool = False) -> DataFrame:
+    """vec_id and v, the integer vector (as whole doubles), of rows that take part."""
     x = F.col("embedding").cast("array<double>")
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(F.coalesce(sound, F.lit(False)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 64)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-class ApproximationFile:
-    """Cells of a block of integer vectors, and the exact vectors behind them."""
-
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], v[order]
-        self.low = self.v.min(axis=0) if len(v) else np.zeros(v.shape[1])
-        spread = (self.v.max(axis=0) - self.low).max() if v.size else 0
-        self.width = 2 ** max(0, int(np.ceil(np.log2(spread + 1))) - BITS)
-        self.cells = np.floor((self.v - self.low) / self.width).astype(np.uint8)
-
-    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the query, vec_id and score of the k best for each of the queries."""
-        corner = self.cells * float(self.width) + self.low
-        floor = q @ corner.T
-        up = (self.width - 1) * np.maximum(q, 0).sum(axis=1)
-        down = (self.width - 1) * np.minimum(q, 0).sum(axis=1)
-        out_q, out_id, out_s = [], [], []
-        for i in range(len(q)):
-            bound = floor[i].copy()
-            bound[self.ids == own[i]] = -np.inf
-            n = min(k, int(np.isfinite(bound).sum()))
-            if not n:
-                continue
-            least = np.partition(bound, len(bound) - n)[len(bound) - n] + down[i]
-            at = np.flatnonzero((bound + up[i] >= least) & np.isfinite(bound))
-            at = at[np.argsort(-bound[at], kind="stable")]
-            ids, scores = np.zeros(0, np.int64), np.zeros(0)
-            for a in range(0, len(at), STEP):
-                if len(scores) == n and scores[-1] > bound[at[a]] + up[i]:
-                    break
-                part = at[a : a + STEP]
-                ids, scores = np.concatenate([ids, self.ids[part]]), np.concatenate([scores, self.v[part] @ q[i]])
-                best = np.lexsort((ids, -scores))[:n]
-                ids, scores = ids[best], scores[best]
-            out_q.append(np.full(len(ids), i))
-            out_id.append(ids)
-            out_s.append(scores.astype(np.int64))
-        if not out_q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s)
-
-
-def _exact(ids: np.ndarray, v: list, own: np.ndarray, q: list, k: int):
-    """For components too large for exact doubles: Python integers, every vector."""
-    for i, (name, x) in enumerate(zip(own, q, strict=True)):
-        scores = sorted((-sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), int(j)) for j, y in zip(ids, v, strict=True) if j != name)[:k]
-        for s, j in scores:
-            yield i, j, max(-(1 << 63), min((1 << 63) - 1, -s))
-
-
-def _block(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, asked = pdf[~pdf.asks], pdf[pdf.asks]
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if not len(data) or not len(asked):
-            return empty
-        ids, own = data.vec_id.to_numpy(), asked.vec_id.to_numpy()
-        v, q = np.stack(data.v.to_numpy()), np.stack(asked.v.to_numpy())
-        most = float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(1, v.shape[1])
-        if most * 4 < 2**53:
-            file, found = ApproximationFile(ids, v.astype(float)), []
-            for a in range(0, len(q), 256):
-                i, j, s = file.search(q[a : a + 256].astype(float), own[a : a + 256], k)
-                found.append(pd.DataFrame({"query_id": own[a : a + 256][i], "vec_id": j, "score": s}))
-            return pd.concat(found)
-        rows = list(_exact(ids, list(v), own, list(q), k))
-        return pd.DataFrame({"query_id": [own[r[0]] for r in rows], "vec_id": [r[1] for r in rows], "score": [r[2] for r in rows]}).astype("int64") if rows else empty
+    top = float(np.finfo(float).max)
+    whole = lambda c: F.when(F.abs(c * 64) < 2.0**53, F.floor(c * 64).cast("double")).otherwise(F.least(F.lit(top), F.greatest(F.lit(-top), c * 64)))
+    rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
+    return rows if each_row else rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _approximation(rows: pd.DataFrame) -> pd.DataFrame:
+    """The approximation file of a block's vectors, all of one length."""
+    v = np.stack(rows.v.to_numpy())
+    low, high = v.min(axis=0), v.max(axis=0)
+    with np.errstate(over="ignore"):
+        spread = np.minimum(high - low, np.finfo(float).max)
+    width = 2.0 ** np.maximum(0, np.ceil(np.log2(spread + 1)) - 8)
+    with np.errstate(over="ignore"):
+        cells = np.minimum(np.floor(np.minimum(v - low, np.finfo(float).max) / width), 255).astype(np.uint8)
+    one = (int(rows.block.iloc[0]), v.shape[1], rows.name_.to_numpy(np.int64).tobytes(), low.tobytes(), width.tobytes(), cells.tobytes())
+    return pd.DataFrame([one], columns=["block", "dims", "names", "low", "width", "cells"])
+
+
+def _asked(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block of queries, all of one length."""
+    one = (int(rows.ask.iloc[0]), len(rows.v.iloc[0]), rows.name_.to_numpy(np.int64).tobytes(), np.stack(rows.v.to_numpy()).tobytes(), rows.least.to_numpy(float).tobytes())
+    return pd.DataFrame([one], columns=["ask", "dims", "names", "q", "least"])
+
+
+def _bounds(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a file and a block of queries, some queries at a time: their names and least scores, the
+    candidates' names, and the lower and upper bounds of the scores."""
+    numbers = lambda x, kind=float: np.frombuffer(x, kind)
+    low, width, d = numbers(row.low), numbers(row.width), max(1, row.dims)
+    names, asked = numbers(row.names, np.int64), numbers(row.asked, np.int64)
+    cells = numbers(row.cells, np.uint8).reshape(len(names), row.dims).astype(float)
+    q, least = numbers(row.q).reshape(len(asked), row.dims), numbers(row.least)
+    for a in range(0, len(asked), STEP):
+        part = q[a : a + STEP]
+        with np.errstate(over="ignore", invalid="ignore"):
+            corner = (part * width) @ cells.T + (part @ low)[:, None]
+            off = 2.0**-50 * d * (np.abs(part) * (np.abs(low) + 256 * width)).sum(axis=1)
+            down = corner + (np.minimum(part, 0) * (width - 1)).sum(axis=1)[:, None] - off[:, None]
+            up = corner + (np.maximum(part, 0) * (width - 1)).sum(axis=1)[:, None] + off[:, None]
+        told = np.isfinite(down) & np.isfinite(up)
+        # scores are held within a long, and so are their bounds
+        down, up = np.clip(np.where(told, down, -np.inf), -(2.0**63), 2.0**63), np.clip(np.where(told, up, np.inf), -(2.0**63), 2.0**63)
+        yield asked[a : a + STEP], least[a : a + STEP], names, down, up
+
+
+def _worth(k: int):
+    """asked and least: the lower bound of the k + 1-th of a file's candidates, for each query."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for row in rows.itertuples():
+                for asked, _, names, down, _ in _bounds(row):
+                    n = len(names)
+                    if n > k:
+                        yield pd.DataFrame({"asked": asked, "least": np.partition(down, n - k - 1, axis=1)[:, n - k - 1]})
 
     return run
 
 
+def _survivors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """asked, found and bound of the candidates whose upper bound reaches the query's least score."""
+    for rows in parts:
+        for row in rows.itertuples():
+            for asked, least, names, _, up in _bounds(row):
+                i, j = np.nonzero(up >= least[:, None])
+                yield pd.DataFrame({"asked": asked[i], "found": names[j], "bound": up[i, j]})
+
+
+def inner(q: np.ndarray, v: np.ndarray) -> int:
+    """Inner product of whole numbers, held within a long."""
+    with np.errstate(over="ignore"):
+        small = float(np.abs(q) @ np.abs(v)) < 2.0**53
+    exact = int(q @ v) if small else sum(int(a) * int(b) for a, b in zip(q, v, strict=True))
+    return max(-(1 << 63), min((1 << 63) - 1, exact))
+
+
+def _scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """asked, query_id, vec_id and score of each candidate's rows but the query's own one."""
+    for rows in parts:
+        scores = [inner(q, v) for q, v in zip(rows.q, rows.v, strict=True)]
+        ids = []
+        for x, own, q, v in zip(rows.ids, rows.query_id, rows.q, rows.v, strict=True):
+            ids.append(np.delete(x, np.flatnonzero(x == own)[:1]) if np.array_equal(q, v) else x)
+        n = [len(x) for x in ids]
+        yield pd.DataFrame(
+            {"asked": np.repeat(rows.asked.to_numpy(), n), "query_id": np.repeat(rows.query_id.to_numpy(), n), "vec_id": np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), "score": np.repeat(np.array(scores, np.int64), n)}
+        )
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: both tables as quantised() gives them."""
-    n_rows, n_queries = vectors.count(), queries.count()
-    rows, asks = max(1, -(-n_rows // ROWS)), max(1, -(-n_queries // QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    data = vectors.select("vec_id", "v", F.lit(False).alias("asks"), place(rows, 1).alias("block"), every(asks).alias("ask"))
-    asked = queries.select("vec_id", "v", F.lit(True).alias("asks"), every(rows).alias("block"), place(asks, 2).alias("ask"))
-    met = data.unionByName(asked).groupBy("block", "ask", F.size("v")).applyInPandas(_block(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    equal = vectors.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    groups = cut(equal.withColumn("found", F.monotonically_increasing_id()))
+    asks = cut(queries.select("vec_id", "v").withColumn("asked", F.monotonically_increasing_id()))
+    n_blocks, n_asks = (max(1, -(-df.count() // n)) for df, n in ((groups, ROWS), (asks, QUERIES)))
+
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    files = groups.select(F.col("found").alias("name_"), "v", place("found", n_blocks).alias("block"))
+    files = cut(files.groupBy("block", F.size("v").alias("dims")).applyInPandas(_approximation, _FILE))
+
+    def met(least: DataFrame) -> DataFrame:
+        """Each file with each block of queries; least holds asked and the least score worth reading."""
+        rows = asks.join(least, "asked", "left").select(F.col("asked").alias("name_"), "v", place("asked", n_asks).alias("ask"), F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        blocks = rows.groupBy("ask", F.size("v").alias("dims")).applyInPandas(_asked, _ASKS).withColumnRenamed("names", "asked")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return files.withColumn("ask", every(n_asks)).join(blocks.withColumn("block", every(n_blocks)), ["block", "ask", "dims"])
+
+    none = asks.select("asked", F.lit(None).cast("double").alias("least"))
+    least = cut(met(none).mapInPandas(_worth(k), "asked long, least double").groupBy("asked").agg(F.max("least").alias("least")))
+    best = Window.partitionBy("asked").orderBy(F.col("bound").desc(), "found")
+    reached = met(least).mapInPandas(_survivors, "asked long, found long, bound double")
+    reached = cut(reached.withColumn("nth", F.row_number().over(best)))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.select("asked", "found").join(groups, "found").join(asks.select("asked", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "asked")
+        return rows.mapInPandas(_scored, "asked long, query_id long, vec_id long, score long")
+
+    order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = cut(ranked(scored(reached.where(F.col("nth") <= k + 1))))
+    sure = first.where(F.col("rank") == k).select("asked", F.col("score").alias("sure"))
+    rest = reached.where(F.col("nth") > k + 1).join(sure, "asked", "left").where(F.col("sure").isNull() | (F.col("bound") >= F.col("sure")))
+    out = cut(ranked(first.drop("rank").unionByName(scored(rest))))
+    for df in (files, reached, first, groups, asks, least):
+        drop_cut(df)
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op5: the 20 best for each vec_id divisible by 20."""
-    vectors = cut(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    """op5: the 20 best for each row whose vec_id is divisible by 20."""
+    vectors = cut(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), each_row=True))
     return search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+  SELECT q.r, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.r <> d.r AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM t WHERE rank <= 20
 """
