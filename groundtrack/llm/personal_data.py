@@ -1,16 +1,18 @@
 """Personal data: fixed patterns, and spans that a character-level BiLSTM-CRF adds to them.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its test. The
-network reads characters in windows of WINDOW that overlap by half, around every digit and every @
-(a span of these kinds has one), gives each character scores for the tags O, B-kind and I-kind, and
+network reads characters in windows of WINDOW that overlap by half, around every word that holds a
+digit, @ or a written-out (at) (a span of these kinds has one), gives each character scores for the tags O, B-kind and I-kind, and
 is trained in numpy, on the driver, from labelled spans: base spans in at most about SAMPLE
-documents, four windows of each, and copies of these windows in which spans are written in other
-ways (cards with dots, phones without plus, and so on). The scores of overlapping windows are
+documents, four windows of each (spread over the whole text), and copies of these windows in which
+spans are written in other ways (cards with dots, phones without plus, (at) and [dot], and so on). The scores of overlapping windows are
 averaged, each weighing by the distance from the window's edge, and one Viterbi pass with the CRF's
 transitions over the whole stretch settles the tags, so a span that crosses windows comes out once.
+Windows go through the network BATCH at a time; a stretch that goes on in the next batch hands over
+its open scores and Viterbi's state, so a very long text needs a few bytes a character.
 
 A decoded span is added if it overlaps no base span and holds what its kind needs (an address with
-@ and a dotted host; four numbers up to 255; 13 to 19 digits passing Luhn; 9 to 15 digits with
+@ or (at) and a dotted host; four numbers up to 255; 13 to 19 digits passing Luhn; 9 to 15 digits with
 separators). Null text counts as empty and has no spans. Rows that repeat a doc_id each give a row;
 columns other than doc_id and text are not read. Without spans to learn from nothing is added.
 """
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtrack.llm.common import share_of
+from groundtrack.llm.common import share_of, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 #: O, then B and I of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, MARGIN, HIDDEN = 64, 24, 16
+#: Windows in the network at once.
+BATCH = 512
 SAMPLE = 1200
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,7 +43,10 @@ _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
+_ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_WORD = re.compile(r"\S+")
+_AT = re.compile(r"\s*[(\[](?:at|@)[)\]]\s*")
+_DOT = re.compile(r"\s*[(\[](?:dot|\.)[)\]]\s*")
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -88,8 +95,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def plausible(kind: str, s: str) -> bool:
     """Whether a decoded span holds what its kind needs."""
     if kind == "email":
-        local, _, host = s.partition("@")
-        return bool(local.strip()) and "." in host.strip(".") and not re.search(r"\s", s)
+        local, _, host = _DOT.sub(".", _AT.sub("@", s)).partition("@")
+        return bool(local) and "." in host.strip(".") and not re.search(r"\s", local + host) and "@" not in host
     d = _digits(s)
     if kind == "ip":
         parts = _DIGITS.findall(s)
@@ -227,30 +234,43 @@ class Network:
                 self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
         return self
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best tags of one stretch of scores."""
-        a = self.p["t"] + _BAN
-        now, back = e[0] + _BAN[0], np.zeros(e.shape, np.int8)
-        for t in range(1, len(e)):
+    def viterbi(self, e: np.ndarray, now: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Best score of each tag at the end of one more piece of a stretch, and the way back."""
+        a, back = self.p["t"] + _BAN, np.zeros(e.shape, np.int8)
+        for t in range(len(e)):
+            if now is None:
+                now = e[0] + _BAN[0]
+                continue
             step = now[:, None] + a
             back[t] = step.argmax(axis=0)
             now = step.max(axis=0) + e[t]
-        tags = np.empty(len(e), np.int64)
-        tags[-1] = now.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
-        return tags
+        return now, back
+
+
+def way_back(now: np.ndarray, backs: list[np.ndarray]) -> np.ndarray:
+    """Best tags of a whole stretch, from its last scores and the ways back of its pieces."""
+    tags, tag = [], int(now.argmax())
+    for back in reversed(backs):
+        own = np.empty(len(back), np.int8)
+        for t in range(len(back) - 1, -1, -1):
+            own[t] = tag
+            tag = int(back[t, tag])
+        tags.append(own)
+    return np.concatenate(tags[::-1])
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around digits and @."""
+    """Stretches of text around words with a digit, @ or (at)."""
     out: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.start() + MARGIN + 1)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
+    if not _ANCHOR.search(text):
+        return []
+    for m in _WORD.finditer(text):
+        if _ANCHOR.search(m.group()):
+            a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
     return [tuple(x) for x in out]
 
 
@@ -270,27 +290,41 @@ def _tags_to_spans(tags: np.ndarray, at: int) -> list[tuple[str, int, int]]:
 
 def decode(network: Network, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans that the network sees in each text, before they are held against the base spans."""
+    half, out = WINDOW // 2, [[] for _ in texts]
     parts = [(d, a, b) for d, t in enumerate(texts) for a, b in stretches(t)]
-    windows = [(k, s) for k, (_, a, b) in enumerate(parts) for s in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2)]
-    if not windows:
-        return [[] for _ in texts]
-    ids = np.zeros((len(windows), WINDOW), np.int64)
-    for w, (k, s) in enumerate(windows):
-        d, _, b = parts[k]
-        x = codes(texts[d][s : min(b, s + WINDOW)])
-        ids[w, : len(x)] = x
-    scores = np.concatenate([network.scores(ids[i : i + 512])[0] for i in range(0, len(ids), 512)])
-    weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(float)
-    total = [np.zeros((b - a, TAGS)) for _, a, b in parts]
-    mass = [np.zeros((b - a, 1)) for _, a, b in parts]
-    for w, (k, s) in enumerate(windows):
-        _, a, b = parts[k]
-        n = min(WINDOW, b - s)
-        total[k][s - a : s - a + n] += scores[w, :n] * weight[:n, None]
-        mass[k][s - a : s - a + n] += weight[:n, None]
-    out: list[list] = [[] for _ in texts]
-    for (d, a, _), e, m in zip(parts, total, mass, strict=True):
-        out[d] += _tags_to_spans(network.viterbi(e / m), a)
+    counts = np.array([max(1, -(-(b - half - a) // half)) for _, a, b in parts], np.int64)
+    upto = np.cumsum(counts)
+    weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(float)[:, None]
+    open_sum, open_mass = np.zeros((half, TAGS)), np.zeros((half, 1))  # of places that the next window reaches as well
+    now, backs = None, []
+    for i in range(0, int(upto[-1]) if len(parts) else 0, BATCH):
+        index = np.arange(i, min(i + BATCH, int(upto[-1])))
+        part = np.searchsorted(upto, index, "right")
+        nth = index - (upto[part] - counts[part])
+        ids = np.zeros((len(index), WINDOW), np.int64)
+        for w, (k, x) in enumerate(zip(part, nth, strict=True)):
+            d, a, b = parts[k]
+            seen = codes(texts[d][a + x * half : min(b, a + x * half + WINDOW)])
+            ids[w, : len(seen)] = seen
+        scores = network.scores(ids)[0]
+        for k in np.unique(part):
+            d, a, b = parts[k]
+            own = np.flatnonzero(part == k)
+            total, mass = np.zeros((half * (len(own) + 1), TAGS)), np.zeros((half * (len(own) + 1), 1))
+            if nth[own[0]]:
+                total[:half], mass[:half] = open_sum, open_mass
+            for n, w in enumerate(own):
+                total[n * half : n * half + WINDOW] += scores[w] * weight
+                mass[n * half : n * half + WINDOW] += weight
+            begin = int(nth[own[0]]) * half
+            done = nth[own[-1]] + 1 == counts[k]
+            size = b - a - begin if done else half * len(own)
+            open_sum, open_mass = total[-half:], mass[-half:]
+            now, back = network.viterbi(total[:size] / mass[:size], now)
+            backs.append(back)
+            if done:
+                out[d] += _tags_to_spans(way_back(now, backs), a)
+                now, backs = None, []
     return out
 
 
@@ -310,9 +344,10 @@ def added_spans(network: Network | None, texts: list[str], base: list[list[tuple
 
 
 def windows_of(text: str, most: int = 4) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Up to `most` windows around base spans or other digits, with the spans that lie in them."""
-    spans, out = base_spans(text), []
-    for a, b in stretches(text)[: 8 * most]:
+    """Up to `most` windows around base spans or other digits, with the spans that lie in them, from
+    stretches spread evenly over the whole text; the beginning of a stretch longer than a window."""
+    spans, out, found = base_spans(text), [], stretches(text)
+    for a, _ in found[:: max(1, len(found) // (8 * most))]:
         s = max(0, min(a, len(text) - WINDOW))
         e = s + WINDOW
         inside = [(k, x - s, y - s) for k, x, y in spans if s <= x and y <= e]
@@ -338,7 +373,12 @@ def rewritten(window: str, spans: list, r: np.random.Generator) -> tuple[str, li
     elif k == "ip":
         new = window[a:b].replace(".", str(r.choice(["[.]", "(.)", " . "])))
     else:
-        new = window[a:b].replace("@", "@", 1) if r.random() < 0.5 else "".join(chr(97 + int(x)) for x in r.integers(0, 26, 8)) + window[a:b][window[a:b].find("@") :]
+        local, _, host = window[a:b].partition("@")
+        sign = str(r.choice(["(at)", "[at]", " (at) ", " [at] ", "@"]))
+        dot = str(r.choice([".", "(dot)", "[dot]", " [dot] "]))
+        if sign == "@":
+            local, dot = local.translate({ord(x): y for x, y in zip("aeou", "áèöü", strict=True)}), "."
+        new = local + sign + host.replace(".", dot)
     text = (window[:a] + new + window[b:])[:WINDOW]
     if a + len(new) > WINDOW:
         return None
@@ -373,7 +413,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(_ANCHOR.pattern))
     n = some.count()
     if not n:
         return None
@@ -389,12 +429,18 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in order)
 
 
+def _few(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of about a slice's bytes, of at most 256 rows."""
+    for a, b in slices(offs):
+        yield from ((x, min(x + 256, b)) for x in range(a, b, 256))
+
+
 def _found(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, end in _few(utf8(batch.column(1))[1]):
+                part = batch.slice(at, end - at)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 more = added_spans(network, texts, base)
