@@ -11,8 +11,11 @@ BLOCK_WORDS words, one pass over the documents for each block, so what is sent h
 and no document moves. Words are runs of ASCII letters and digits and other characters; A-Z are
 lowered.
 
-Null or empty text: nothing is found. Items with fewer words than a mask spans, or without id, take
-no part. Rows that repeat a doc_id each give their pairs. An empty table gives an empty result;
+Items of fewer words than the shortest mask spans are looked for as a whole: all their words, in
+order. Hits are laid over each other a bounded number at a time, whatever a phrase's frequency.
+
+Null or empty text: nothing is found. Items without id or words take no part. A very long text is one
+slice. Rows that repeat a doc_id each give their pairs. An empty table gives an empty result;
 further columns of either table are passed over (find) or kept (clean).
 """
 
@@ -29,6 +32,8 @@ from groundtrack.llm.common import PUNCTUATION, mix, slices, utf8, words
 
 #: 1: the word counts; 0: it may differ.
 MASKS = ("11111111", "1110110111", "110110101101", "1101110011011")
+#: Hits that are laid over each other at once.
+HITS = 1 << 17
 #: Words of the benchmark that are sent at once.
 BLOCK_WORDS = 1 << 18
 
@@ -46,7 +51,7 @@ def _seeds(h: np.ndarray, offs: np.ndarray, mask: str) -> tuple[np.ndarray, np.n
             acc = acc * _STEP + h[j : j + n]
     text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     fits = np.flatnonzero(text[:n] == text[len(mask) - 1 :])
-    return mix(acc[fits] + np.uint64(MASKS.index(mask))), fits
+    return mix(acc[fits] + np.uint64(int(mask, 2))), fits
 
 
 class Items:
@@ -61,6 +66,12 @@ class Items:
         self.need = np.ceil(self.window * share - 1e-9).astype(np.int64)
         self.item = np.repeat(np.arange(len(rows)), self.n)
         found = [_seeds(self.h, self.offs, m) for m in MASKS]
+        short = np.unique(self.n[(self.n > 0) & (self.n < min(map(len, MASKS)))])
+        self.masks = [*MASKS, *("1" * int(k) for k in short)]
+        for mask in self.masks[len(MASKS) :]:  # whole items of so many words
+            x, p = _seeds(self.h, self.offs, mask)
+            own = self.n[self.item[p]] == len(mask)
+            found.append((x[own], p[own]))
         hashes, at = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at = hashes[order], at[order]
@@ -69,23 +80,45 @@ class Items:
 
     def matches(self, h: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, item and the number of the item's words that hold, for each pair of them."""
-        hits_p, hits_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for mask in MASKS:
+        seeds = []
+        for mask in self.masks:
             x, p = _seeds(h, offs, mask)
             ok = self.maybe[(x >> np.uint64(42)).astype(np.int64)]
             x, p = x[ok], p[ok]
-            lo, hi = np.searchsorted(self.hashes, x, "left"), np.searchsorted(self.hashes, x, "right")
-            m = hi - lo
-            start = np.repeat(lo - np.concatenate([[0], np.cumsum(m)[:-1]]), m)
+            lo = np.searchsorted(self.hashes, x, "left")
+            seeds.append((p, lo, np.searchsorted(self.hashes, x, "right") - lo))
+        # stretches of positions with at most about HITS hits, all masks together
+        upto = np.cumsum(sum(np.bincount(p, m, minlength=len(h)) for p, _, m in seeds)) if len(h) else np.zeros(0)
+        ends = np.unique(np.append(np.searchsorted(upto, np.arange(HITS, (upto[-1] if len(h) else 0) + HITS, HITS)) + 1, len(h)))
+        found, a = [np.zeros((3, 0), np.int64)], 0
+        for b in ends:
+            found.append(self._laid(h, offs, least, *self._hits(seeds, a, b)))
+            a = b
+        found = np.unique(np.concatenate(found, axis=1), axis=1)
+        if not found.shape[1]:
+            return found
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(found[:2], axis=1) != 0).any(axis=0)]))
+        return np.stack([found[0, first], found[1, first], np.diff(np.concatenate([first, [found.shape[1]]]))])
+
+    def _hits(self, seeds: list, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of a position from a to b and a position of the items."""
+        hits_p, hits_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p, lo, m in seeds:
+            i, j = np.searchsorted(p, (a, b))
+            p, lo, m = p[i:j], lo[i:j], m[i:j]
+            start = np.repeat(lo - (np.cumsum(m) - m), m)
             hits_p.append(np.repeat(p, m))
             hits_q.append(self.at[np.arange(m.sum()) + start])
-        p, q = np.concatenate(hits_p), np.concatenate(hits_q)
-        pairs = np.unique(np.stack([p, q]), axis=1) if len(p) else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.concatenate(hits_p) * len(self.h) + np.concatenate(hits_q))
+        return pairs // max(1, len(self.h)), pairs % max(1, len(self.h))
+
+    def _laid(self, h: np.ndarray, offs: np.ndarray, least: int, hits_p: np.ndarray, hits_q: np.ndarray) -> np.ndarray:
+        """Text, item and place in the item of the words that hold around the hits."""
         text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
         reach = np.arange(1 - least, max(map(len, MASKS)) + least - 1)
         out = [np.zeros((3, 0), np.int64)]
-        for a in range(0, pairs.shape[1], 1 << 15):
-            p, q = pairs[:, a : a + (1 << 15)]
+        for a in range(0, len(hits_p), 1 << 15):
+            p, q = hits_p[a : a + (1 << 15)], hits_q[a : a + (1 << 15)]
             d, i = text[p], self.item[q]
             pp, qq = p[:, None] + reach, q[:, None] + reach
             inside = (pp >= offs[d][:, None]) & (pp < offs[d + 1][:, None]) & (qq >= self.offs[i][:, None]) & (qq < self.offs[i + 1][:, None])
@@ -103,11 +136,7 @@ class Items:
             held = same & (ahead[:, 1:] - ahead[rows, since] > 0)
             r, c = np.nonzero(held)
             out.append(np.unique(np.stack([d[r], i[r], qq[r, c]]), axis=1))
-        found = np.unique(np.concatenate(out, axis=1), axis=1)
-        if not found.shape[1]:
-            return found
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(found[:2], axis=1) != 0).any(axis=0)]))
-        return np.stack([found[0, first], found[1, first], np.diff(np.concatenate([first, [found.shape[1]]]))])
+        return np.unique(np.concatenate(out, axis=1), axis=1)
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, least: int, share: float) -> Iterator:
