@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, source_mix
+from groundtrack.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, extra string"
 
@@ -205,6 +206,33 @@ def test_decontaminate(spark, monkeypatch):
     assert decontaminate.find(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_bounded_hits(spark, monkeypatch):
+    phrase = "the same eight words of a common phrase"
+    items = [(i, f"{phrase} number{i} item{i}") for i in range(40)] + [(90, "Lone word-pair"), (91, "seven words are all of this item"), (92, "")]
+    texts = [f"x {phrase} y " * 5, "a lone WORD pair, here", "lone pair", "seven words are all of this", "so: seven words are all of this item!", None, phrase + " number3 item3"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = None
+    for hits in (1 << 17, 7):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        again = sorted(map(tuple, decontaminate.find(frame(spark, texts), bench).collect()))
+        assert got is None or again == got
+        got = again
+    # eight of ten words are 80 % of an item, so each item of the phrase is found where it stands
+    assert {(d, i) for d, i, *_ in got} == {(d, i) for d in (0, 6) for i in range(40)} | {(1, 90), (4, 91)}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
 def test_source_mix(spark):
     r = random.Random(8)
     texts = [" ".join(["w"] * r.randrange(0, 900)) for _ in range(400)] + [None, "", "word " * 20_000]
@@ -259,6 +287,16 @@ def test_language_id(spark, sf_dir):
     assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
+def test_long_texts_are_counted_without_a_seam(monkeypatch):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abc dé1. ,  \nΣX") for _ in range(r.randrange(400))) for _ in range(60)] + [""]
+    want = language_id.features(texts)
+    for piece in (1, 2, 3, 50):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        got = language_id.features(texts)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
 def test_language_machines_are_whole_and_make_no_copy():
     assert language_id.SAMPLE >= 2400
     x, has = language_id.features(["A text of some words", "", "1 2 3"])
