@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import components, cut, drop_cut, fresh, join_back, mix, prefix_sums, shingles, signed, slices, stars, utf8, words
+from groundtrack.llm.common import SLICE_BYTES, components, cut, drop_cut, fresh, join_back, mix, prefix_sums, shingles, signed, slices, stars, utf8, words
 
 #: Shingles in one block of an inverted index.
 BLOCK = 1 << 20
 #: Shingles in a range of their hashes, and of the sets in a range of these.
-RANGE = 1 << 21
+RANGE = 1 << 20
 #: At most so many shingles are taken as common ones: 1 MB of hashes in each task.
 COMMON = 1 << 17
 #: Common ones are in so many distinct sets of a slice, in more slices than this: they would fill an eighth of a range.
@@ -71,7 +71,7 @@ def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = utf8(batch.column(1))
-            for a, b in slices(offs):
+            for a, b in slices(offs, SLICE_BYTES // 2):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
                 h1, h2 = _set_hashes(s, soffs)
@@ -135,7 +135,7 @@ def _deal(k: int, num: int, den: int, common: np.ndarray, parts: int):
     """Packed rows of all shingles but common ones, by range. room is how many of the shingles that
     other sets hold as well come first at most, once all of them but the common ones are ahead:
     the length of the beginning less the shingles that are not common. Where room is left for
-    common ones, these follow as rows of part -1."""
+    common ones, these follow as rows of parts from the number of ranges on."""
 
     def flush(sets: list[np.ndarray], h1: list[np.uint64]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets], np.int64)
@@ -152,7 +152,7 @@ def _deal(k: int, num: int, den: int, common: np.ndarray, parts: int):
         last, who = last[order], who[order]
         nth = np.arange(len(who)) - np.searchsorted(who, who)
         first = nth < room[who]
-        rows += _packed(np.full(int(first.sum()), -1), last[first], who[first], hashes, room)
+        rows += _packed(np.full(int(first.sum()), parts + int(hashes[0] % np.uint64(parts))), last[first], who[first], hashes, room)
         return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64())] + [(c, pa.binary()) for c in ("low", "high", "who", "h1", "room")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _deal(k: int, num: int, den: int, common: np.ndarray, parts: int):
         size = 0
         for batch in batches:
             buf, offs = utf8(batch.column(0))
-            for a, b in slices(offs):
+            for a, b in slices(offs, SLICE_BYTES // 2):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
                 h1, _ = _set_hashes(s, soffs)
@@ -178,10 +178,17 @@ def _deal(k: int, num: int, den: int, common: np.ndarray, parts: int):
 
 
 def _count(parts: int):
-    """Entries of a range of shingles that two or more sets hold, packed by range of the sets."""
+    """Entries of a range of shingles that two or more sets hold, packed by range of the sets. Common
+    shingles go on as they are, under negative parts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows.part.iloc[0] >= parts:
+            return rows.assign(part=parts - 1 - rows.part, times=b"")
         ids, h1, room = _unpacked(rows)
+        ids, owners, times = np.unique(ids, return_inverse=True, return_counts=True)
+        some = times[owners] > 1  # the same set twice is not told apart yet
+        ids, h1, room = ids[owners[some]], h1[some], room[some]
+        del owners, times, some
         order = np.lexsort((h1, ids))
         ids, h1, room = ids[order], h1[order], room[order]
         new = np.ones(len(ids), bool)
@@ -208,6 +215,8 @@ def _count(parts: int):
 def _first_ones(rows: pd.DataFrame) -> pd.DataFrame:
     """g and h1: shingles at the beginning of each set of a range that other sets hold as well."""
     ids, h1, room = _unpacked(rows)
+    if rows.part.iloc[0] < 0:
+        return pd.DataFrame({"g": ids.view(np.int64), "h1": h1.view(np.int64)}).drop_duplicates()
     times = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.times])
     order = np.lexsort((ids, times, h1))
     ids, h1, room = ids[order], h1[order], room[order]
@@ -218,23 +227,16 @@ def _first_ones(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": ids[first].view(np.int64), "h1": h1[first].view(np.int64)})
 
 
-def _common_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, h1, _ = _unpacked(batch.to_pandas()) if batch.num_rows else (np.zeros(0, np.uint64),) * 3
-        yield pa.record_batch({"g": signed(ids), "h1": signed(h1)})
-
-
 def _shards(texts: DataFrame, often: DataFrame, total: int, k: int, num: int, den: int) -> DataFrame:
     """node (the hash of a set) and component, for sets that share a shingle of their beginnings."""
     ranges = max(1, -(-total // RANGE))
     common = often.groupBy("id").agg(F.count("*").alias("slices")).where(f"slices > {OFTEN_SLICES}")
     common = common.orderBy(F.desc("slices"), "id").limit(COMMON).collect()
     common = np.sort(np.array([r.id for r in common], np.int64).view(np.uint64))
-    dealt = cut(texts.mapInArrow(_deal(k, num, den, common, ranges), _PACKED))
-    counted = dealt.where("part >= 0").groupBy("part").applyInPandas(_count(ranges), _PACKED + ", times binary")
-    first = counted.groupBy("part").applyInPandas(_first_ones, "g long, h1 long")
-    first = cut(first.unionByName(dealt.where("part < 0").mapInArrow(_common_ones, "g long, h1 long").distinct()))
-    drop_cut(dealt)
+    # entries name their sets, so a part that is made again by another task is the same
+    dealt = texts.mapInArrow(_deal(k, num, den, common, ranges), _PACKED)
+    counted = dealt.groupBy("part").applyInPandas(_count(ranges), _PACKED + ", times binary")
+    first = cut(counted.groupBy("part").applyInPandas(_first_ones, "g long, h1 long"))
     found = components(stars(first, "g", "h1"))
     drop_cut(first)
     return found
@@ -247,7 +249,7 @@ def _sets(k: int):
         for batch in batches:
             buf, offs = utf8(batch.column(0))
             asked = batch.column(1).to_numpy()
-            for a, b in slices(offs):
+            for a, b in slices(offs, SLICE_BYTES // 2):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
                 ok = np.flatnonzero(_set_hashes(s, soffs)[0].view(np.int64) == asked[a:b])

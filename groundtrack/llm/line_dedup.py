@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import _powers, cut, fresh, join_back, mix, prefix_sums, signed, slices, utf8, words
+from groundtrack.llm.common import _powers, cut, drop_cut, fresh, join_back, mix, prefix_sums, signed, slices, utf8, words
 
 #: Of the query: all equal lines go; near copies from where one replaced word leaves 80 % equal.
 LEAST, NEAR = 1, 5
@@ -159,7 +159,10 @@ def repeated_lines(docs: DataFrame, least: int = 5, near: int = 8) -> DataFrame:
     marks = again.unionByName(near_gone.select("h", F.lit(None).cast("struct<doc_id: bigint, line: bigint>").alias("first"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("all")))
     marks = cut(marks.groupBy("h").agg(F.first("first", ignorenulls=True).alias("first"), F.max("times").alias("times"), F.max("all").alias("all")))
     gone = join_back(lines.select("h", "doc_id", "t", "line"), marks, "h", "times").where(F.col("all") | (at > F.col("first")))
-    return gone.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    gone = cut(gone.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    for df in (lines, firsts, marks):
+        drop_cut(df)
+    return gone
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
