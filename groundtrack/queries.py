@@ -78,31 +78,19 @@ g AS (SELECT {KEYS}, Camera, unnest(range(0, CAST(floor(top / 600) AS BIGINT) +
 s AS (SELECT *, segment * 600.0 + 5 AS from_s, segment * 1000.0 - 20 AS start_s,
   lead(segment * 600.0 + 5) OVER (PARTITION BY {KEYS}, Camera ORDER BY segment) AS nxt FROM g)
 SELECT {KEYS}, Camera, o.Track_ID + segment * 1000000 AS Track_ID, ts_cs, round(start_s + (Timestamp - from_s), 6) AS session_s
-FROM obs o JOIN s USING ({KEYS}, Camera) WHERE (segment = 0 OR Timestamp >= from_s) AND (nxt IS NULL OR Timestamp < nxt) AND Class = 'car'"""
+FROM obs o JOIN s USING ({KEYS}, Camera) WHERE (segment = 0 OR Timestamp >= from_s) AND (nxt IS NULL OR Timestamp < nxt)"""
 
 
-def _on_session_clock(rows: DataFrame, some: DataFrame) -> DataFrame:
-    """`some` of the rows on the session's clock; the segments are those of all rows."""
+@query(CLOCK)
+def session_clock_asof(spark, sf_dir):
+    rows = observations(spark, sf_dir)
     top = rows.groupBy(*S.KEYS, "Camera").agg(F.max("Timestamp").alias("top"))
     segments = top.select(*S.KEYS, "Camera", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / 600))).alias("segment"))
     segments = segments.withColumns({"from_s": F.col("segment") * 600.0 + 5, "start_s": F.col("segment") * 1000.0 - 20})
-    out = detections.on_session_clock(some.withColumn("video_s", F.col("Timestamp")), segments)
+    out = detections.on_session_clock(rows.withColumn("video_s", F.col("Timestamp")), segments)
     return out.select(*S.TRACK, "ts_cs", six("session_s").alias("session_s"))
 
 
-@query(CLOCK)
-def session_clock_asof(spark, sf_dir):
-    """Of cars alone; session_clock_all has every observation."""
-    rows = observations(spark, sf_dir)
-    return _on_session_clock(rows, rows.where("Class = 'car'"))
-
-
-@query(CLOCK.replace(" AND Class = 'car'", ""))
-def session_clock_all(spark, sf_dir):
-    rows = observations(spark, sf_dir)
-    return _on_session_clock(rows, rows)
-
-
 @query(f"""
 x AS (SELECT {TRACK}, ts_cs, Foot_X - 20 AS x1, Foot_Y - 2 * (Foot_Y - Center_Y) AS y1, Foot_X + 20 AS x2, Foot_Y AS y2 FROM obs WHERE Class = 'person'),
 c AS (SELECT a.site_id, a.session_id, a.Camera, a.ts_cs, a.Track_ID, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) AS s
@@ -144,16 +132,29 @@ def horizon_report(spark, sf_dir):
     return georeference.position_report(georeference.georeferenced(rows, camera_table(spark, sf_dir)))
 
 
-@query("SELECT event_id, true AS within_a_millimetre FROM events")
+# fixed values: of the Krüger series for WGS84, the scaled radius, the eccentricity and four coefficients
+KRUEGER = (6364902.166165086, 0.0818191908426215, 8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201359e-12)
+
+
+def _series(outer: str, inner: str) -> str:
+    return " + ".join(f"{a!r}::DOUBLE * {outer}({2 * k} * xi) * {inner}({2 * k} * eta)" for k, a in enumerate(KRUEGER[2:], 1))
+
+
+@query(f"""
+pt AS (SELECT event_id, CAST(user_id * 37 % 360 - 180 AS DOUBLE) + 0.25 AS lon, CAST(event_id * 13 % 160 - 80 AS DOUBLE) + 0.5 AS lat FROM events),
+zn AS (SELECT *, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS z, sin(radians(lat)) AS s FROM pt),
+cf AS (SELECT *, sinh(atanh(s) - {KRUEGER[1]!r}::DOUBLE * atanh({KRUEGER[1]!r}::DOUBLE * s)) AS t, radians(lon - (z * 6 - 183)) AS dl FROM zn),
+xe AS (SELECT *, atan2(t, cos(dl)) AS xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) AS eta FROM cf)
+SELECT event_id, CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + z AS zone, round(500000 + {KRUEGER[0]!r}::DOUBLE * (eta + {_series("cos", "sinh")}), 2) AS east,
+  round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + {KRUEGER[0]!r}::DOUBLE * (xi + {_series("sin", "cosh")}), 2) AS north, lon, lat FROM xe""")
 def utm_roundtrip(spark, sf_dir):
-    """Each event's point to its zone and back: the series must come home within a millimetre."""
+    """Each event's point in its zone, and back again from there."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ((F.col("user_id") * 37 % 360) - 180 + 0.25).alias("lon"), ((F.col("event_id") * 13 % 160) - 80 + 0.5).alias("lat"))
     zone = geo.zone_of(F.col("lon"), F.col("lat"))
     east, north = geo.to_utm(F.col("lon"), F.col("lat"), zone)
-    e = e.withColumns({"east": east, "north": north, "zone": zone})
+    e = e.select("event_id", zone.alias("zone"), east.alias("east"), north.alias("north"))
     lon, lat = geo.to_lonlat(F.col("east"), F.col("north"), F.col("zone"))
-    metres = F.hypot((lon - F.col("lon")) * 111320 * F.cos(F.radians("lat")), (lat - F.col("lat")) * 110574)
-    return e.select("event_id", (metres < 0.001).alias("within_a_millimetre"))
+    return e.select("event_id", "zone", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"), six(lon).alias("lon"), six(lat).alias("lat"))
 
 
 def _samples(rows: DataFrame) -> DataFrame:
@@ -165,13 +166,9 @@ def _samples(rows: DataFrame) -> DataFrame:
 
 
 ALIGN = f"""
-a AS (SELECT DISTINCT {KEYS}, Camera, (ts_cs // 200) * 200 + 5 AS t, ts_cs // 200 AS k FROM obs WHERE Class = 'car'),
+a AS (SELECT DISTINCT {KEYS}, Camera, (ts_cs // 200) * 200 + 5 AS t, ts_cs // 200 AS k FROM obs),
 m AS (SELECT {KEYS}, Camera, t, CAST(k % 7 AS DOUBLE) AS dx, CAST(k % 5 AS DOUBLE) AS dy FROM a WHERE k % 3 <> 1),
-o AS (SELECT {TRACK}, ts_cs, Foot_X, Foot_Y, ts_cs - 1 AS before FROM obs WHERE Class = 'car')"""
-
-
-#: The same samples and rows of every class.
-ALIGN_ALL = ALIGN.replace(" WHERE Class = 'car'", "")
+o AS (SELECT {TRACK}, ts_cs, Foot_X, Foot_Y, ts_cs - 1 AS before FROM obs)"""
 
 BLEND = f""",
 l AS (SELECT o.*, m.t AS ta, m.dx AS xa, m.dy AS ya FROM o ASOF LEFT JOIN m ON o.site_id = m.site_id AND o.session_id = m.session_id AND o.Camera = m.Camera AND o.before >= m.t),
@@ -192,36 +189,17 @@ SELECT {KEYS}, m.Camera, any_value(f.t) AS reference_cs, round(median(sqrt((m.dx
 FROM m JOIN f USING ({KEYS}, Camera) WHERE f.nth = 1 GROUP BY ALL"""
 
 
-def _blended(rows: DataFrame) -> DataFrame:
-    out = alignment.bracketed(rows, _samples(rows))
-    return out.select(*S.TRACK, "ts_cs", six(F.col("H")[2]).alias("dx"), six(F.col("H")[5]).alias("dy"))
-
-
-def _reference(rows: DataFrame) -> DataFrame:
-    out = alignment.reference_frames(_samples(rows), 960.0, 540.0)
-    return out.select(*S.KEYS, "Camera", "reference_cs", six("median_shift").alias("median_shift"), six("max_shift").alias("max_shift"), "n_samples")
-
-
 @query(ALIGN + BLEND)
 def alignment_asof_blend(spark, sf_dir):
-    """Of cars alone, sampled where a car is; alignment_blend_all has every observation."""
-    return _blended(observations(spark, sf_dir).where("Class = 'car'"))
-
-
-@query(ALIGN_ALL + BLEND)
-def alignment_blend_all(spark, sf_dir):
-    return _blended(observations(spark, sf_dir))
+    rows = observations(spark, sf_dir)
+    out = alignment.bracketed(rows, _samples(rows))
+    return out.select(*S.TRACK, "ts_cs", six(F.col("H")[2]).alias("dx"), six(F.col("H")[5]).alias("dy"))
 
 
 @query(ALIGN + REFERENCE)
 def alignment_reference(spark, sf_dir):
-    """Of samples where a car is; alignment_reference_all has those of all busy time."""
-    return _reference(observations(spark, sf_dir).where("Class = 'car'"))
-
-
-@query(ALIGN_ALL + REFERENCE)
-def alignment_reference_all(spark, sf_dir):
-    return _reference(observations(spark, sf_dir))
+    out = alignment.reference_frames(_samples(observations(spark, sf_dir)), 960.0, 540.0)
+    return out.select(*S.KEYS, "Camera", "reference_cs", six("median_shift").alias("median_shift"), six("max_shift").alias("max_shift"), "n_samples")
 
 
 @query()
@@ -288,11 +266,11 @@ def four_point_frames(spark, sf_dir):
 
 @query(f"""
 g AS (SELECT {TRACK}, ts_cs, CASE WHEN ts_cs - lag(ts_cs) OVER (PARTITION BY {KEYS}, Camera, w ORDER BY ts_cs) > 50 THEN 1 ELSE 0 END AS new, w FROM
-  (SELECT *, Track_ID % 1000000 AS w FROM obs WHERE Class = 'person' AND Track_ID // 1000000 IN (0, 3)))
+  (SELECT *, Track_ID % 1000000 AS w FROM obs WHERE Class = 'person'))
 SELECT {KEYS}, Camera, w AS Track_ID, ts_cs, CAST(sum(new) OVER (PARTITION BY {KEYS}, Camera, w ORDER BY ts_cs ROWS UNBOUNDED PRECEDING) AS BIGINT) AS view_set FROM g""")
 def view_sessions(spark, sf_dir):
     """A walker's track and the one found again after half a second, as one track with a gap."""
-    rows = people(spark, sf_dir).where(F.floor(F.col("Track_ID") / 1000000).isin(0, 3)).withColumn("Track_ID", F.col("Track_ID") % 1000000)
+    rows = people(spark, sf_dir).withColumn("Track_ID", F.col("Track_ID") % 1000000)
     return views.view_sets(rows, 0.5).select(*S.TRACK, "ts_cs", "view_set")
 
 
@@ -504,7 +482,13 @@ def travel_mode(spark, sf_dir):
     return movement.travel_mode(observations(spark, sf_dir)).select(*S.TRACK, "Class", "ts_cs", "Mode")
 
 
-@query(RIDES + f" SELECT {TRACK}, ts_cs FROM ve WHERE Class = 'bicycle' AND sqrt(vx ** 2 + vy ** 2) >= 0.5 AND NOT EXISTS (SELECT 1 FROM rp WHERE rp.site_id = ve.site_id AND rp.session_id = ve.session_id AND rp.Camera = ve.Camera AND rp.r = ve.Track_ID)")
+@query(
+    RIDES
+    + f""",
+rr AS (SELECT DISTINCT {KEYS}, Camera, r AS Track_ID, true AS ridden FROM rp),
+fast AS (SELECT {TRACK}, ts_cs FROM ve WHERE Class = 'bicycle' AND sqrt(vx ** 2 + vy ** 2) >= 0.5)
+SELECT {TRACK}, ts_cs FROM fast LEFT JOIN rr USING ({KEYS}, Camera, Track_ID) WHERE ridden IS NULL"""
+)
 def riderless_rows(spark, sf_dir):
     return movement.riderless(observations(spark, sf_dir)).select(*S.TRACK, "ts_cs")
 
@@ -579,7 +563,7 @@ def vehicles_dedup(spark, sf_dir):
 COUNTS = (
     FILLED
     + f""",
-vh AS (SELECT DISTINCT {KEYS}, bucket, Class, Track_ID FROM pc WHERE Class = 'bicycle'),
+vh AS (SELECT DISTINCT {KEYS}, bucket, Class, Track_ID FROM pc WHERE Class <> 'person'),
 ps AS (SELECT {KEYS}, bucket, 'person (on foot)' AS category, count(DISTINCT Global_ID) AS n FROM cp GROUP BY ALL
   UNION ALL SELECT {KEYS}, bucket, Class, count(*) FROM vh GROUP BY ALL),
 sn AS (SELECT {KEYS}, min(bucket) AS b0, max(bucket) AS b1 FROM pc GROUP BY ALL),
@@ -593,11 +577,11 @@ FROM gn JOIN (SELECT DISTINCT {KEYS}, category FROM sm) USING ({KEYS}) LEFT JOIN
 
 @query(COUNTS)
 def counts_over_time(spark, sf_dir):
-    """People on foot, and bicycles by track, present in each minute."""
+    """People on foot, and vehicles of each class by track, present in each minute."""
     rows = precise(spark, sf_dir)
     composite = presence.gaps_filled(presence.best_views(rows.where("Class = 'person'").withColumn("Mode", F.lit("on foot"))))
-    bikes = presence.vehicle_rows(rows.where("Class = 'bicycle'")).select(*S.KEYS, "bucket", "Class", "Track_ID").distinct()
-    return presence.counts_over_time(composite, bikes, rows)
+    others = presence.vehicle_rows(rows).select(*S.KEYS, "bucket", "Class", "Track_ID").distinct()
+    return presence.counts_over_time(composite, others, rows)
 
 
 # ---------------------------------------------------------------- coverage and clocks
@@ -659,17 +643,19 @@ def clock_lag_curve(spark, sf_dir):
     + f""",
 cv AS (SELECT {KEYS}, a.bin - b.bin AS lag, count(*) AS score FROM oc a JOIN oc b USING ({KEYS}, cx, cy) WHERE a.side = 'ref' AND b.side = 'other' GROUP BY ALL),
 en AS (SELECT {KEYS}, min(ts_cs) FILTER (ref) AS r0, max(ts_cs) FILTER (ref) AS r1, min(ts_cs) FILTER (NOT ref) AS o0, max(ts_cs) FILTER (NOT ref) AS o1 FROM ok GROUP BY ALL),
-gd AS (SELECT {KEYS}, r0, o0, unnest(range(-((o1 - o0) // 25), (r1 - r0) // 25 + 1)) AS lag FROM en JOIN (SELECT DISTINCT {KEYS} FROM cv) USING ({KEYS})),
+gd AS (SELECT {KEYS}, r0, o0, unnest(range(-((o1 - o0 + 24) // 25), (r1 - r0 + 24) // 25 + 2)) AS lag FROM en JOIN (SELECT DISTINCT {KEYS} FROM cv) USING ({KEYS})),
 fu AS (SELECT gd.*, coalesce(score, 0) AS score FROM gd LEFT JOIN cv USING ({KEYS}, lag)),
 fw AS (SELECT *, lag(score) OVER w AS y0, lead(score) OVER w AS y2, row_number() OVER (PARTITION BY {KEYS} ORDER BY score DESC, lag) AS nth FROM fu WINDOW w AS (PARTITION BY {KEYS} ORDER BY lag)),
 pk AS (SELECT *, coalesce(CASE WHEN y0 - 2 * score + y2 < 0 THEN (y0 - y2) / (2 * (y0 - 2 * score + y2)) ELSE 0 END, 0) AS fine FROM fw WHERE nth = 1),
-aw AS (SELECT {KEYS}, f.score AS s FROM fu f JOIN pk p USING ({KEYS}) WHERE abs(f.lag - p.lag) * 25 > 1000),
+aw AS (SELECT {KEYS}, f.lag AS away_lag, f.score AS s FROM fu f JOIN pk p USING ({KEYS}) WHERE abs(f.lag - p.lag) * 25 > 1000),
 md AS (SELECT {KEYS}, median(s) AS m, max(s) AS runner_up FROM aw GROUP BY ALL),
-ma AS (SELECT {KEYS}, median(abs(s - m)) AS mad FROM aw JOIN md USING ({KEYS}) GROUP BY ALL)
+ma AS (SELECT {KEYS}, median(abs(s - m)) AS mad, min(away_lag) FILTER (s = runner_up) AS second FROM aw JOIN md USING ({KEYS}) GROUP BY ALL),
+ce AS (SELECT {KEYS}, count(*) AS shared_cells FROM (SELECT DISTINCT {KEYS}, cx, cy FROM oc) GROUP BY ALL)
 SELECT {KEYS}, round((r0 + (lag + fine) * 25 - o0) / 100, 3) AS offset_s, score AS peak_score, CAST(coalesce(m, 0) AS DOUBLE) AS background,
   round((score - coalesce(m, 0)) / (CASE WHEN coalesce(mad, 0) > 0 THEN mad ELSE 1e-9 END * 1.4826), 1) AS peak_sigmas, runner_up,
+  round((r0 + second * 25 - o0) / 100, 3) AS runner_up_offset_s, shared_cells, shared_cells * 4.0::DOUBLE AS shared_area_m2,
   score >= 3 * greatest(coalesce(m, 0), 1) AND score > 1.5 * coalesce(runner_up, 0) AS reliable
-FROM pk LEFT JOIN md USING ({KEYS}) LEFT JOIN ma USING ({KEYS})"""
+FROM pk JOIN ce USING ({KEYS}) LEFT JOIN md USING ({KEYS}) LEFT JOIN ma USING ({KEYS})"""
 )
 def clock_offset(spark, sf_dir):
     return clocksync.offset(observations(spark, sf_dir), "cam0", "cam1")
@@ -697,9 +683,10 @@ def soft_empty_frames(spark, sf_dir):
 
 
 @query(FRAMES + f""",
-rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, Camera ORDER BY ts_cs) - 1 AS k, count(*) OVER (PARTITION BY {KEYS}, Camera) AS c FROM fr),
-pick AS (SELECT DISTINCT {KEYS}, Camera, (i * c) // 50 AS k FROM rk, range(50) t(i))
-SELECT {KEYS}, Camera, ts_cs FROM rk WHERE c <= 50 OR (site_id, session_id, Camera, k) IN (SELECT (site_id, session_id, Camera, k) FROM pick)""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, Camera ORDER BY ts_cs) - 1 AS k FROM fr),
+ct AS (SELECT {KEYS}, Camera, count(*) AS c FROM fr GROUP BY ALL),
+pick AS (SELECT DISTINCT {KEYS}, Camera, (i * c) // 50 AS k FROM ct, range(50) t(i))
+SELECT {KEYS}, Camera, ts_cs FROM rk JOIN pick USING ({KEYS}, Camera, k)""")
 def even_sample(spark, sf_dir):
     return mining.evenly(frames_of(observations(spark, sf_dir)), 50)
 
