@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundtrack import schema as S
 from groundtrack.functions import geo
+from groundtrack.sources.calibrations import objects
 
 CAMERA = ["site_id", "Camera"]
 
@@ -18,7 +19,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
     Without a site entry the origin is the first point of the first global camera of the file."""
     entry = "mode string, cam_pixels array<array<double>>, utm_coords array<array<double>>, site_coords array<array<double>>, utm_epsg int, last_calibrated string, point_count int, error_m map<string, double>, origin_utm array<double>"
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.json$", 1).alias("site_id"), F.from_json("value", f"map<string, struct<{entry.replace(' ', ':').replace(',:', ', ').replace('map<string, :', 'map<string, ')}>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.json$", 1).alias("site_id"), objects("value", entry).alias("m"))
     rows = raw.select("site_id", F.col("m")["_site"].alias("site"), F.posexplode("m").alias("place", "Camera", "c")).where(~F.col("Camera").startswith("_"))
     world = F.coalesce("c.utm_coords", "c.site_coords")
     first = rows.where("c.mode = 'global'").groupBy("site_id").agg(F.min_by(F.col("c.utm_coords")[0], "place").alias("first_point"), F.min_by("c.utm_epsg", "place").alias("first_zone"))
@@ -26,9 +27,33 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("site_id", "Camera", "c.mode", "c.cam_pixels", world.alias("world_coords"), F.coalesce("site.utm_epsg", "c.utm_epsg", "first_zone").alias("utm_epsg"), F.coalesce("site.origin_utm", "first_point").alias("origin"), F.to_date("c.last_calibrated").alias("last_calibrated"), "c.error_m")
 
 
+def registry_points(registry: DataFrame) -> DataFrame:
+    """CAMERA, idx, px, py, gx, gy of a registry's points; global cameras' from the site's origin."""
+    rows = registry.select(*CAMERA, "mode", "origin", F.posexplode(F.arrays_zip("cam_pixels", "world_coords")).alias("idx", "p"))
+    ground = lambda i: F.col("p.world_coords")[i] - F.when(F.col("mode") == "global", F.col("origin")[i]).otherwise(0.0)
+    return rows.select(*CAMERA, F.col("idx").cast("long").alias("idx"), F.col("p.cam_pixels")[0].alias("px"), F.col("p.cam_pixels")[1].alias("py"), ground(0).alias("gx"), ground(1).alias("gy"))
+
+
+def grounded(points: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """gx, gy, utm_epsg and origin of points with lon and lat, all cameras of a site in one zone.
+
+    sites: site_id, utm_epsg, origin where they are fixed; a new site's come from the first point of
+    its first camera."""
+    at = points.groupBy("site_id").agg(F.min_by(F.struct("lon", "lat"), F.struct("Camera", "idx")).alias("_f"))
+    at = at.join(sites.select("site_id", F.col("utm_epsg").alias("_z"), F.col("origin").alias("_o")), "site_id", "left") if sites is not None else at.withColumns({"_z": F.lit(None).cast("int"), "_o": F.lit(None).cast("array<double>")})
+    at = at.withColumn("utm_epsg", F.coalesce("_z", geo.zone_of(F.col("_f.lon"), F.col("_f.lat"))))
+    first = F.array(*geo.to_utm(F.col("_f.lon"), F.col("_f.lat"), F.col("utm_epsg")))
+    rows = points.join(at.select("site_id", "utm_epsg", F.coalesce("_o", first).alias("origin")), "site_id")
+    east, north = geo.to_utm(F.col("lon"), F.col("lat"), F.col("utm_epsg"))
+    return rows.withColumns({"gx": east - F.col("origin")[0], "gy": north - F.col("origin")[1]})
+
+
 def upsert(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """A camera's entry is replaced; a site's origin and zone, once there, never move."""
-    fixed = registry.where("origin is not null").groupBy("site_id").agg(F.first("origin").alias("_o"), F.first("utm_epsg").alias("_z"))
+    """A camera's entry is replaced; a site's origin and zone, once there, never move. Several new
+    cameras of a new site take those of the first by name."""
+    top = lambda df: df.where("origin is not null").groupBy("site_id").agg(F.min_by(F.struct("origin", "utm_epsg"), "Camera").alias("s"))
+    old, own = top(registry).withColumnRenamed("s", "o"), top(new).withColumnRenamed("s", "n")
+    fixed = old.join(own, "site_id", "full").select("site_id", F.coalesce("o", "n").alias("s")).select("site_id", F.col("s.origin").alias("_o"), F.col("s.utm_epsg").alias("_z"))
     new = new.join(fixed, "site_id", "left").withColumns({"origin": F.coalesce("_o", "origin"), "utm_epsg": F.coalesce("_z", "utm_epsg")}).drop("_o", "_z")
     return registry.join(new.select(*CAMERA), CAMERA, "left_anti").unionByName(new.select(*registry.columns))
 

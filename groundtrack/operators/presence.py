@@ -72,7 +72,8 @@ def vehicles(rows: DataFrame) -> DataFrame:
     Groups seen by one camera need no matching and stay out of Python; the rest is matched by
     (bucket, class), many buckets in a call."""
     keys = [*S.KEYS, "bucket", "Class"]
-    out = [*S.KEYS, "bucket", "Class", "Local_X_Meters", "Local_Y_Meters", "Camera"]
+    place = [c for c in ("Local_X_Meters", "Local_Y_Meters", "Longitude", "Latitude") if c in rows.columns]
+    out = [*S.KEYS, "bucket", "Class", *place, "Camera"]
     cameras = rows.groupBy(*keys).agg(F.min("Camera").alias("_a"), F.max("Camera").alias("_b"))
     rows = rows.join(cameras, keys)
     alone = rows.where("_a = _b").select(*out)
@@ -99,7 +100,7 @@ def vehicles(rows: DataFrame) -> DataFrame:
 
     found = met.groupBy(*S.KEYS, "_block", "Class").applyInPandas(match, met.select(*out).schema)
     both = alone.unionByName(found)
-    return both.select(*S.KEYS, (F.col("bucket") * BUCKET / 100).alias("Timestamp"), "bucket", "Class", "Local_X_Meters", "Local_Y_Meters", F.col("Camera").alias("Source_Camera"))
+    return both.select(*S.KEYS, (F.col("bucket") * BUCKET / 100).alias("Timestamp"), "bucket", "Class", *place, F.col("Camera").alias("Source_Camera"))
 
 
 def counts_over_time(composite: DataFrame, found: DataFrame, times: DataFrame, interval_s: int = S.INTERVAL_S) -> DataFrame:

@@ -23,18 +23,22 @@ def read_positions(spark: SparkSession, paths: list[str], fmt: str = "parquet")
     missing = [p for p, t in zip(paths, tables, strict=True) if not {"Local_X_Meters", "Local_Y_Meters"} <= set(t.columns)]
     if missing:
         raise ValueError(f"no positions in {missing}: georeference them first")
-    out = tables[0]
-    for t in tables[1:]:
+    # before the union, which would make numbers of all cameras where one table has numbers
+    out, *rest = (t.withColumn("Camera", F.col("Camera").cast("string")) for t in tables)
+    for t in rest:
         out = out.unionByName(t, allowMissingColumns=True)
-    return out.withColumn("Camera", F.col("Camera").cast("string"))
+    return out
+
+
+def in_time_order(df: DataFrame) -> DataFrame:
+    """Rows dealt by camera and ten minutes, so that a busy camera has many tasks, each in time order."""
+    keys = [*S.KEYS, "Camera"]
+    return df.withColumn("_block", F.floor(F.col("Timestamp") / 600)).repartition(*keys, "_block").sortWithinPartitions(*keys, "Timestamp").drop("_block")
 
 
 def write_observations(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder for each camera of a session, rows in time order inside its files."""
-    keys = [*S.KEYS, "Camera"]
-    # the time block spreads a busy camera over tasks; ranges keep each file's rows in time order
-    out = df.withColumn("_block", F.floor(F.col("Timestamp") / 600)).repartition(*keys, "_block").sortWithinPartitions(*keys, "Timestamp").drop("_block")
-    out.write.partitionBy(*keys).mode("errorifexists").format(fmt).option("header", True).save(path)
+    in_time_order(df).write.partitionBy(*S.KEYS, "Camera").mode("errorifexists").format(fmt).option("header", True).save(path)
 
 
 def from_events(events: DataFrame) -> DataFrame:

@@ -1,13 +1,29 @@
 """The whole job twice, and counts as a stream."""
 
+import glob
+import json
+
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from groundtrack.jobs.fuse import fuse
+from groundtrack.operators import georeference, presence
+from groundtrack.sources import calibrations
 from groundtrack.sources import observations as source
 from groundtrack.streaming.counts import presence_stream
 
 
+def in_order(pattern, folder, order, across=False):
+    """Rows of each file, or of a folder's files one after another, are in order."""
+    folders = [f for f in glob.glob(str(folder / pattern)) if "=" in f.rsplit("/", 1)[-1]]
+    assert folders
+    for f in folders:
+        files = [[tuple(r.values()) for r in pq.ParquetFile(p).read(order).select(order).to_pylist()] for p in sorted(glob.glob(f + "/*.parquet"))]
+        for part in [sum(files, [])] if across else files:
+            assert part == sorted(part)
+
+
 def test_fuse_twice(spark, sf_dir, tmp_path):
     rows = source.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).drop("ts_cs")
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("Track_ID"), F.col("embedding").alias("Vector"))
@@ -19,7 +35,15 @@ def test_fuse_twice(spark, sf_dir, tmp_path):
     assert a == b and all(g for *_, g in a)
     assert out[0]["fused"].count() == rows.count()
     assert sorted(map(tuple, out[0]["counts"].collect())) == sorted(map(tuple, out[1]["counts"].collect()))
-    assert spark.read.text(str(tmp_path / "3" / "manifest")).count() >= 1
+    folder = tmp_path / "3"
+    found = {(m["site_id"], m["session_id"]): m["results"] for m in map(json.loads, (r.value for r in spark.read.text(str(folder / "manifest")).collect()))}
+    assert set(found) == {tuple(r) for r in rows.select("site_id", "session_id").distinct().collect()}
+    same = {(r.site_id, r.session_id): r["count"] for r in out[0]["vehicles"].groupBy("site_id", "session_id").count().collect()}
+    assert all(m["vehicle_rows"] == same[k] and m["n_tracks"] >= m["n_identities"] > 0 and any(n.startswith("area_m2:") for n in m) for k, m in found.items())
+    assert any(n.startswith("breaks_closed:") for m in found.values() for n in m)
+    in_order("fused/*/*/*", folder, ["Timestamp"])
+    for name, order in (("composite", ["Global_ID", "Timestamp"]), ("vehicles", ["Timestamp", "Class"]), ("counts", ["Interval_Start_s", "Category"])):
+        in_order(f"{name}/*/*", folder, order, True)
     assert out[0]["composite"].groupBy("site_id", "session_id", "Global_ID", "bucket").count().where("count > 1").count() == 0
 
 
@@ -49,3 +73,52 @@ def test_readers(spark, tmp_path):
     assert len(got) == 3 and got[1].Height_Px is None and got[3].Timestamp == 1.5 and list(got[2].Vector) == [0.0, 1.0]
     source.write_observations(source.read_positions(spark, [str(csv)], "csv"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_positions_with_differing_columns(spark, tmp_path):
+    one = "site_id string, session_id string, Camera string, Class string, Track_ID long, Timestamp double, Local_X_Meters double, Local_Y_Meters double"
+    spark.createDataFrame([("s", "d", "a", "person", 1, 0.5, 1.0, 2.0)], one).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([("s", "d", 7, "car", 2, 0.5, 1.0, 2.0, -86.9)], one.replace("Camera string", "Camera long") + ", Longitude double").write.parquet(str(tmp_path / "b"))
+    got = {r.Camera: r.Longitude for r in source.read_positions(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()}
+    assert got == {"a": None, "7": -86.9}
+
+
+def test_vehicles_keep_their_place_on_earth(spark):
+    row = ("s", "d", "a", 1, "car", 50, 1.0, 2.0, -86.9, 40.4, 5.0)
+    rows = spark.createDataFrame([row, (*row[:2], "b", *row[3:6], 1.5, *row[7:10], 4.0)], "site_id string, session_id string, Camera string, Track_ID long, Class string, ts_cs long, Local_X_Meters double, Local_Y_Meters double, Longitude double, Latitude double, precision double")
+    got = presence.vehicles(presence.vehicle_rows(rows)).collect()
+    assert [(r.Source_Camera, r.Longitude, r.Latitude) for r in got] == [("a", -86.9, 40.4)]
+
+
+def test_calibration_files(spark, tmp_path):
+    lons, lats = [-86.9, -86.8999, -86.8998, -86.9, -86.8999], [40.4, 40.4, 40.4001, 40.4002, 40.4001]
+    points = [{"video_xy": [100 * i, 50 + 70 * (i % 3)], "lat": lat, "lon": lon} for i, (lon, lat) in enumerate(zip(lons, lats))]
+    (tmp_path / "p.json").write_text(json.dumps({"site_id": "s", "camera_id": "c", "points": points}, indent=1))
+    read = calibrations.read_points(spark, str(tmp_path / "p.json"))
+    got = georeference.grounded(read).orderBy("idx").collect()
+    assert (got[0].gx, got[0].gy, got[0].utm_epsg) == (0.0, 0.0, 32616) and abs(got[1].gx - 8.49) < 0.02 and got[3].px == 300.0
+    fixed = spark.createDataFrame([("s", 32616, [500000.0, 4470000.0])], "site_id string, utm_epsg int, origin array<double>")
+    moved = georeference.grounded(read, fixed).orderBy("idx").collect()
+    assert abs((moved[1].gx - moved[0].gx) - got[1].gx) < 1e-6 and moved[0].origin == [500000.0, 4470000.0]
+
+    world = [[500010.0 + r.gx, 4470020.0 + r.gy] for r in got]
+    entry = {"mode": "global", "cam_pixels": [p["video_xy"] for p in points], "utm_coords": world, "utm_epsg": 32616, "last_calibrated": "2026-01-02", "error_m": {"loo_median": 0.4}}
+    local = {"mode": "local", "cam_pixels": [[1, 2]], "site_coords": [[3.0, 4.0]]}
+    (tmp_path / "site7.json").write_text(json.dumps({"c": entry, "_note": {"mode": "none"}, "_by": "hand", "l": local}))
+    registry = georeference.read_registry(spark, str(tmp_path / "site7.json"))
+    assert {(r.site_id, r.Camera, tuple(r.origin)) for r in registry.collect()} == {("site7", "c", tuple(world[0])), ("site7", "l", tuple(world[0]))}
+    back = {(r.Camera, r.idx): (r.px, r.gx, r.gy) for r in georeference.registry_points(registry).collect()}
+    assert back["l", 0] == (1.0, 3.0, 4.0) and abs(back["c", 2][1] - got[2].gx) < 1e-6 and len(back) == 6
+
+    video = {"v1": {"camera_id": "c", "start_timestamp": 5.5}, "v2": {"segments": [{"from_video_s": 60.0, "start_timestamp": 100.0}, {"from_video_s": 0.0, "start_timestamp": 7.0}]}, "v3": {}, "_about": "text"}
+    (tmp_path / "map.json").write_text(json.dumps(video))
+    got = {tuple(r) for r in calibrations.read_camera_map(spark, str(tmp_path / "map.json")).drop("reference_frame").collect()}
+    assert got == {("v1", "c", 0, 0.0, 5.5), ("v2", "v2", 0, 0.0, 7.0), ("v2", "v2", 1, 60.0, 100.0), ("v3", "v3", 0, 0.0, 0.0)}
+
+
+def test_new_cameras_of_a_new_site_share_an_origin(spark):
+    schema = "site_id string, Camera string, mode string, utm_epsg int, origin array<double>"
+    new = spark.createDataFrame([("n", "b", "global", 32617, [5.0, 6.0]), ("n", "a", "global", 32616, [1.0, 2.0]), ("o", "z", "global", 32616, [9.0, 9.0])], schema)
+    old = spark.createDataFrame([("o", "y", "global", 32616, [7.0, 7.0])], schema)
+    got = {(r.site_id, r.Camera): (r.utm_epsg, tuple(r.origin)) for r in georeference.upsert(old, new).collect()}
+    assert got == {("n", "a"): (32616, (1.0, 2.0)), ("n", "b"): (32616, (1.0, 2.0)), ("o", "y"): (32616, (7.0, 7.0)), ("o", "z"): (32616, (7.0, 7.0))}
