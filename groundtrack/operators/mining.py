@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundtrack import schema as S
+from groundtrack.operators.detections import thinned
 
 FRAME = [*S.KEYS, "Camera", "ts_cs"]
 
@@ -47,6 +48,16 @@ def evenly(frames: DataFrame, n: int) -> DataFrame:
     return rows.where(hit).drop("_block", "_n", "_before", "_all", "_k")
 
 
+def mined(frames: DataFrame, detections: DataFrame, videos: DataFrame, fps: float, least: float, n: int, name: str | None = None, bar: float | None = None) -> DataFrame:
+    """n frames of each camera, evenly in time, of those that are sharp and without a detection (of a
+    class), or without one of `bar` or more, among some `fps` a second.
+
+    frames: FRAME, frame_idx, sharpness; videos: keys, Camera, fps."""
+    some = sharp(thinned(frames, videos, fps), least).select(*frames.columns)
+    free = empty_frames(some, detections, name) if bar is None else soft_empty_frames(some, detections, bar)
+    return evenly(free, n)
+
+
 def label(path: str, name: str, most: int = 24):
     """File stem, cut, with a short hash of the whole name."""
     stem = F.regexp_extract(F.col(path), r"([^/]+?)(\.[^./]*)?$", 1)

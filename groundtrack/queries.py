@@ -31,7 +31,10 @@ def query(sql: str | None = None):
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return obs_source.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """A file of one row group is one task, and an event gives some 45 rows: where the scan has fewer
+    tasks than there are cores, the events are dealt first."""
+    events, cores = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value"), spark.sparkContext.defaultParallelism
+    return obs_source.from_events(events.repartition(cores, "event_id") if events.rdd.getNumPartitions() < cores else events)
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -578,10 +581,11 @@ FROM gn JOIN (SELECT DISTINCT {KEYS}, category FROM sm) USING ({KEYS}) LEFT JOIN
 @query(COUNTS)
 def counts_over_time(spark, sf_dir):
     """People on foot, and vehicles of each class by track, present in each minute."""
-    rows = precise(spark, sf_dir)
-    composite = presence.gaps_filled(presence.best_views(rows.where("Class = 'person'").withColumn("Mode", F.lit("on foot"))))
-    others = presence.vehicle_rows(rows).select(*S.KEYS, "bucket", "Class", "Track_ID").distinct()
-    return presence.counts_over_time(composite, others, rows)
+    rows, seen = precise(spark, sf_dir).where("Class = 'person'"), observations(spark, sf_dir)
+    path = rows.select(*S.TRACK, "Global_ID", "ts_cs", "Timestamp", "precision", "Local_X_Meters", F.lit("on foot").alias("Mode"))
+    composite = presence.gaps_filled(presence.best_views(path))
+    others = presence.vehicle_rows(seen).select(*S.KEYS, "bucket", "Class", "Track_ID").distinct()
+    return presence.counts_over_time(composite, others, seen)
 
 
 # ---------------------------------------------------------------- coverage and clocks
@@ -691,6 +695,23 @@ def even_sample(spark, sf_dir):
     return mining.evenly(frames_of(observations(spark, sf_dir)), 50)
 
 
+@query(f"""
+fr AS (SELECT DISTINCT {KEYS}, Camera, ts_cs, 10 * (CAST(substr(Camera, 4) AS BIGINT) + 1) AS fps FROM obs),
+pe AS (SELECT DISTINCT {KEYS}, Camera, ts_cs, true AS seen FROM obs WHERE Class = 'person'),
+fe AS (SELECT {KEYS}, Camera, ts_cs FROM fr LEFT JOIN pe USING ({KEYS}, Camera, ts_cs) WHERE seen IS NULL AND ts_cs * 7 % 100 >= 30
+  AND ts_cs // 10 % CAST(greatest(1, round_even(CAST(fps AS DOUBLE) / 4, 0)) AS BIGINT) = 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, Camera ORDER BY ts_cs) - 1 AS k FROM fe),
+ct AS (SELECT {KEYS}, Camera, count(*) AS c FROM fe GROUP BY ALL),
+pick AS (SELECT DISTINCT {KEYS}, Camera, (i * c) // 50 AS k FROM ct, range(50) t(i))
+SELECT {KEYS}, Camera, ts_cs FROM rk JOIN pick USING ({KEYS}, Camera, k)""")
+def mined_frames(spark, sf_dir):
+    """Sharp frames without a person, some four a second of each camera, fifty of them."""
+    rows = observations(spark, sf_dir)
+    videos = rows.select(*S.KEYS, "Camera").distinct().withColumn("fps", (camera_number() + 1) * 10)
+    frames = frames_of(rows).withColumns({"frame_idx": F.floor(F.col("ts_cs") / 10), "sharpness": (F.col("ts_cs") * 7 % 100).cast("double")})
+    return mining.mined(frames, rows, videos, 4, 30.0, 50, "person").select(*mining.FRAME)
+
+
 @query(f" SELECT {KEYS}, Camera, ts_cs, printf('Global_ID_%04d', (Track_ID % 1000000) // 12) AS Global_ID, count(DISTINCT Track_ID) AS tracks FROM obs WHERE Class = 'person' GROUP BY ALL HAVING count(DISTINCT Track_ID) > 1")
 def duplicate_identity_audit(spark, sf_dir):
     """With twelve events to an identity, cameras show some on several tracks at once."""
