@@ -15,7 +15,8 @@ Features are made in the tasks from whole texts: bigrams and trigrams of the tex
 figures on words, repeats and lines. At most about POSITIVES and UNLABELLED rows, chosen by a hash
 of doc_id from those whose crc32(doc_id) mod 5 is not 0, reach the driver; the fit is numpy.
 
-Null or empty text has the features of no characters, and a score like any other. Without labelled
+A text of any length is one row of features; its characters are counted in pieces and take some ten
+bytes a byte of text. Null or empty text has the features of no characters, and a score like any other. Without labelled
 positives every score is the prior 0.5. Rows that repeat a doc_id each give a row; labels that
 repeat count once; a doc_id with both labels counts as a positive.
 """
@@ -34,6 +35,8 @@ from groundtrack.llm.common import held_out, share_of, shingles, slices, utf8, w
 
 POSITIVES, UNLABELLED = 1500, 3000
 BINS, FIGURES = 2048, 13
+#: Bytes whose shapes are counted at once.
+PIECE = 1 << 19
 
 _SHAPE = np.zeros(256, np.int64)
 _SHAPE[97:123] = _SHAPE[128:] = 1
@@ -42,6 +45,7 @@ _SHAPE[48:58] = 3
 _SHAPE[10] = 4
 _SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
 _SHAPE[_SIGNS] = np.arange(5, 5 + len(_SIGNS))
+KINDS = 5 + len(_SIGNS)
 
 
 def _distinct(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +62,26 @@ def _distinct(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(d[at], minlength=n).astype(float), most
 
 
+def _shape_counts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each text's character shapes, and of its hashed bigrams and trigrams of them. Bytes are
+    counted a piece at a time, each with the two bytes before it, so that no text is too long."""
+    n = len(offs) - 1
+    shapes, two, three = np.zeros((n, KINDS), np.int64), np.zeros((n, BINS // 4), np.int64), np.zeros((n, BINS - BINS // 4), np.int64)
+    for end in range(0, len(buf), PIECE):
+        at = max(0, end - 2)
+        shape = _SHAPE[buf[at : end + PIECE]]
+        doc = np.searchsorted(offs, np.arange(at, at + len(shape)), "right") - 1
+        first, last = doc[0], doc[-1] + 1
+        grams = shape[:-1] * 41 + shape[1:]
+        for x, k, into in ((shape, 0, shapes), (grams, 1, two), ((grams[:-1] * 41 + shape[2:]) * 2654435761 >> 7, 2, three)):
+            begin = max(0, end - at - k)  # grams that end before this piece were counted with the last one
+            x, d = x[begin:], doc[begin + k :]
+            ok = d == doc[begin : begin + len(d)]
+            cell = (d[ok] - first) * into.shape[1] + x[ok] % into.shape[1]
+            into[first:last] += np.bincount(cell, minlength=(last - first) * into.shape[1]).reshape(last - first, -1)
+    return shapes, two, three
+
+
 def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """A row of BINS scaled counts and FIGURES figures for each text."""
     n, size = len(offs) - 1, np.diff(offs)
@@ -65,24 +89,18 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     nw = np.diff(woffs).astype(float)
     _, soffs = shingles(h, woffs, 3)
     kinds, top = _distinct(h, woffs)
-    shape = _SHAPE[buf]
-    doc = np.repeat(np.arange(n), size)
+    shapes, two, three = _shape_counts(buf, offs)
     out = np.zeros((n, BINS + FIGURES), np.float32)
-    two = shape[:-1] * 41 + shape[1:]
-    three = (two[:-1] * 41 + shape[2:]) * 2654435761 >> 7
-    for x, low, high, k in ((two, 0, BINS // 4, 1), (three, BINS // 4, BINS, 2)):
-        if len(x) > 0:
-            ok = doc[: len(x)] == doc[k:]
-            cell = doc[: len(x)][ok] * (high - low) + x[ok] % (high - low)
-            c = np.sqrt(np.bincount(cell, minlength=n * (high - low)).reshape(n, -1))
-            out[:, low:high] = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1)
+    for counts, low in ((two, 0), (three, BINS // 4)):
+        c = np.sqrt(counts)
+        out[:, low : low + c.shape[1]] = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1)
     some = np.maximum(size, 1)
-    per = lambda kind: np.bincount(doc[kind], minlength=n)[:n] / some
+    per = lambda low, high: shapes[:, low:high].sum(axis=1) / some
     word_doc = np.repeat(np.arange(n), np.diff(woffs))
     twice = np.bincount(word_doc[1:][(h[1:] == h[:-1]) & (word_doc[1:] == word_doc[:-1])], minlength=n) if len(h) else np.zeros(n)
     figures = [
         np.log1p(nw), np.log1p(size), size / np.maximum(nw, 1) / 10, kinds / np.maximum(nw, 1), top / np.maximum(nw, 1),
-        np.diff(soffs) / np.maximum(nw - 2, 1), per(shape == 2), per(shape == 3), per(shape >= 5), per(shape == 4) * 10, per(shape == 0), (size == 0).astype(float), twice / np.maximum(nw, 1),
+        np.diff(soffs) / np.maximum(nw - 2, 1), per(2, 3), per(3, 4), per(5, KINDS), per(4, 5) * 10, per(0, 1), (size == 0).astype(float), twice / np.maximum(nw, 1),
     ]
     out[:, BINS:] = np.clip(np.stack(figures, axis=1), 0, 20)
     return out
@@ -137,6 +155,17 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, ridge: float = 1e-3) -> float:
     return float(np.clip(np.mean(rates), 0.05, 0.95)) if rates else 0.5
 
 
+def risk_step(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, bool]:
+    """Gradient of the risk, or, where the estimate of the negatives' risk is below zero, of that term
+    alone with its sign turned; and which of them it is."""
+    zp, zu = p @ w, u @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    of_negative = u.T @ (_sigmoid(zu) / len(zu)) - prior * (p.T @ (_sigmoid(zp) / len(zp)))
+    if negative < 0:
+        return -of_negative, True
+    return of_negative - prior * (p.T @ (_sigmoid(-zp) / len(zp))), False
+
+
 def fit(p: np.ndarray, u: np.ndarray, prior: float | None = None, ridge: float = 1e-3, steps: int = 400) -> Model:
     middle, spread = np.zeros(p.shape[1]), np.full(p.shape[1], 0.05)
     middle[:BINS] = u[:, :BINS].mean(axis=0)
@@ -146,12 +175,8 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None = None, ridge: float =
     prior = estimate_prior(p, u) if prior is None else prior
 
     def gradient(w):
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = u.T @ (_sigmoid(zu) / len(zu)) - prior * (p.T @ (_sigmoid(zp) / len(zp)))
-        if negative < 0:
-            return -of_negative
-        return of_negative - prior * (p.T @ (_sigmoid(-zp) / len(zp))) + ridge * np.append(w[:-1], 0)
+        step, turned = risk_step(w, p, u, prior)
+        return step if turned else step + ridge * np.append(w[:-1], 0)
 
     w = _descend(gradient, p.shape[1], steps, 0.02)
     return Model(w[:-1], float(w[-1]), middle, spread, prior)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -223,6 +224,45 @@ def test_quality_step_lowers_the_risk():
     assert np.mean(model.score(u[300:]) < 0.5) > 0.85 and np.mean(model.score(p) > 0.5) > 0.85
 
 
+def test_quality_gradient_is_that_of_the_risk():
+    r = np.random.default_rng(4)
+    p, u = r.normal(1, 1, (40, 5)), r.normal(-1, 1, (60, 5))
+    loss = lambda z: np.log1p(np.exp(-z)).mean()
+    signs = set()
+    for scale, prior in ((0.1, 0.3), (1.0, 0.6), (6.0, 0.9)):
+        for _ in range(4):
+            w = r.normal(0, scale, 5)
+            negative = lambda w, prior=prior: loss(-(u @ w)) - prior * loss(-(p @ w))
+            turned = negative(w) < 0
+            goal = (lambda w: -negative(w)) if turned else (lambda w, prior=prior: prior * loss(p @ w) + negative(w))  # noqa: B023
+            numeric = [(goal(w + e) - goal(w - e)) / 2e-6 for e in np.eye(5) * 1e-6]
+            step, said = quality.risk_step(w, p, u, prior)
+            assert said == turned and np.allclose(step, numeric, atol=1e-6)
+            signs.add(turned)
+    assert signs == {True, False}
+
+
+def test_quality_features_of_long_texts(monkeypatch):
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab cD1\n.,é") for _ in range(r.randrange(0, 90))).encode() for _ in range(60)] + [b"", b"", b"a", b"ab", b"abc"]
+    texts[7] *= 200
+    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = np.concatenate([quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts])
+    for piece in (1, 2, 50, 4096):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert np.array_equal(quality.features(buf, offs), want)
+    monkeypatch.undo()
+    # of the plain counts: a bigram of shapes for each two bytes of a text, square roots of unit length
+    shapes, two, three = quality._shape_counts(buf, offs)
+    assert [int(x.sum()) for x in (shapes, two, three)] == [sum(max(0, len(t) - k) for t in texts) for k in (0, 1, 2)]
+    long = np.frombuffer(b"Some words, again and again 12. " * (1 << 18), np.uint8)
+    tracemalloc.start()
+    quality.features(long, np.array([0, len(long)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(long)
+
+
 def test_quality(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
