@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundtrack import schema as S
+from groundtrack.operators import detections
 
 
 def height(floored: bool = False):
@@ -52,15 +53,26 @@ def spaced_views(df: DataFrame, apart_s: float = 0.2, most: int = 60) -> DataFra
     return rows.groupBy(*S.KEYS, "Camera", "_block").applyInPandas(walk, rows.drop("_block").schema)
 
 
-def tallest_of_stretches(df: DataFrame, k: int = 5, by: str = "Height_Px") -> DataFrame:
-    """The tallest view of each of k stretches of a track's views, of nearly equal counts, larger
-    ones first; the earliest of equally tall ones. Adds stretch from 1."""
-    w = Window.partitionBy(*S.TRACK).orderBy("ts_cs")
+def tallest_of_stretches(df: DataFrame, k: int = 5, by: str = "Height_Px", of: tuple = S.TRACK) -> DataFrame:
+    """The tallest view of each of k stretches of a track's views (of the views that are alike in `of`),
+    of nearly equal counts, larger ones first; the earliest of equally tall ones. Adds stretch from 1."""
+    w = Window.partitionBy(*of).orderBy("ts_cs")
     df = df.withColumn("stretch", F.ntile(k).over(w))
-    best = Window.partitionBy(*S.TRACK, "stretch").orderBy(F.col(by).desc(), "ts_cs")
+    best = Window.partitionBy(*of, "stretch").orderBy(F.col(by).desc(), "ts_cs")
     return df.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth")
 
 
+def fingerprint_views(boxes: DataFrame, width: float, height: float, k: int = 20, gap_s: float = 6.0, apart_s: float = 0.2, most: int = 60) -> DataFrame:
+    """The boxes whose pictures become a track's fingerprints: TRACK, view_set, stretch, ts_cs, Height_Px.
+
+    boxes: person boxes with x1, y1, x2, y2 and Detection_Conf. Sets follow from all boxes of a track;
+    clear ones some time apart are its views, and of each of k stretches of a set the tallest stays."""
+    sets = view_sets(boxes, gap_s)
+    clear = detections.clear_views(sets, width, height).select(*S.TRACK, "view_set", "ts_cs", (F.col("y2") - F.col("y1")).alias("Height_Px"))
+    spaced = spaced_views(clear, apart_s, most).join(clear, [*S.TRACK, "view_set", "ts_cs"])
+    return tallest_of_stretches(spaced, k, of=(*S.TRACK, "view_set")).select(*S.TRACK, "view_set", "stretch", "ts_cs", "Height_Px")
+
+
 def set_similarity(pairs: DataFrame, a: str = "views_a", b: str = "views_b") -> DataFrame:
     """Adds similarity: the largest inner product over all pairs of views of two sets."""
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from groundtrack import schema as S
 from groundtrack.functions import geo
+from groundtrack.jobs import observe
 from groundtrack.operators import alignment, audit, clocksync, coverage, detections, georeference, identities, mining, movement, presence, stitch, strangers, views
 from groundtrack.sources import observations as obs_source
 
@@ -18,13 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Registers a query by its function's name; sql follows the common table expression obs."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {obs_source.SQL.strip()}{',' if not sql.lstrip().upper().startswith('SELECT') else ''} {sql.strip()}"
+            SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{obs_source.SQL.strip()}{',' if not sql.lstrip().upper().startswith('SELECT') else ''} {sql.strip()}"
         return f
 
     return add
@@ -107,6 +108,72 @@ def box_overlap_filter(spark, sf_dir):
 # ---------------------------------------------------------------- ground
 
 
+def boxes_of(rows: DataFrame) -> DataFrame:
+    """Boxes of 40 pixels' width, in videos named by their cameras, at ten frames a second."""
+    frame = {"Video": F.col("Camera"), "frame_idx": F.floor(F.col("ts_cs") / 10), "video_s": F.col("Timestamp"), "score": F.col("Detection_Conf") - 0.1004}
+    return rows.withColumns(frame | {"x1": F.col("Foot_X") - 20, "x2": F.col("Foot_X") + 20, "y2": F.col("Foot_Y"), "y1": F.col("Foot_Y") - views.height()}).drop("Detection_Conf", "Timestamp")
+
+
+BOXES = f"""
+bx AS (SELECT {TRACK}, Class, ts_cs, Timestamp AS video_s, Detection_Conf - CAST(0.1004 AS DOUBLE) AS score, Foot_X - 20 AS x1, Foot_X + 20 AS x2, Foot_Y AS y2, Foot_Y - 2 * (Foot_Y - Center_Y) AS y1 FROM obs)"""
+
+
+@query(BOXES + f""",
+pt AS (SELECT *, round_even((x1 + x2) / 2 * 10, 0) / 10 AS cx, round_even((y1 + y2) / 2 * 10, 0) / 10 AS cy, round_even(y2 * 10, 0) / 10 AS fy, round_even(score * 1000, 0) / 1000 AS c FROM bx),
+tl AS (SELECT *, max(CASE WHEN c >= 0.1 THEN c END) OVER (PARTITION BY {TRACK} ORDER BY ts_cs RANGE UNBOUNDED PRECEDING) AS best FROM pt),
+cm AS (SELECT * FROM (VALUES ('cam0', 'gate', 0, 0.0, 30.0), ('cam0', 'gate', 1, 100.0, 500.0), ('cam1', 'cam1', 0, 0.0, 12.5)) t(video, name, segment, from_s, start_s)),
+sg AS (SELECT *, lead(from_s) OVER (PARTITION BY video ORDER BY segment) AS nxt FROM cm),
+jn AS (SELECT tl.*, coalesce(name, Camera) AS named, coalesce(segment, 0) AS sgm, coalesce(start_s + (video_s - from_s), video_s) AS s
+  FROM tl LEFT JOIN sg ON video = Camera AND (segment = 0 OR video_s >= from_s) AND (nxt IS NULL OR video_s < nxt) WHERE c >= 0.1 AND best >= 0.35)
+SELECT {KEYS}, named AS Camera, Track_ID + sgm * 1000000 AS Track_ID, Class, round(CAST(s AS DOUBLE), 2) AS Timestamp, cx AS Center_X, cy AS Center_Y, cx AS Foot_X, fy AS Foot_Y, c AS Detection_Conf FROM jn""")
+def boxes_to_observations(spark, sf_dir):
+    """Boxes of three videos, one with two recordings, one that the camera map does not name."""
+    cameras = spark.createDataFrame([("cam0", "gate", 0, 0.0, 30.0), ("cam0", "gate", 1, 100.0, 500.0), ("cam1", "cam1", 0, 0.0, 12.5)], "Video string, Camera string, segment long, from_s double, start_s double")
+    return observe.observed(boxes_of(observations(spark, sf_dir)), cameras).drop("ts_cs", *observe.BOX)
+
+
+CLEAR = BOXES + f""",
+pb AS (SELECT *, Track_ID % 1000000 AS w FROM bx WHERE Class = 'person'),
+st AS (SELECT *, CASE WHEN ts_cs - lag(ts_cs) OVER (PARTITION BY {KEYS}, Camera, w ORDER BY ts_cs) > 50 THEN 1 ELSE 0 END AS new FROM pb),
+se AS (SELECT *, CAST(sum(new) OVER (PARTITION BY {KEYS}, Camera, w ORDER BY ts_cs ROWS UNBOUNDED PRECEDING) AS BIGINT) AS view_set FROM st),
+cl AS (SELECT {KEYS}, Camera, w, view_set, ts_cs, y2 - y1 AS h FROM se a WHERE score + CAST(0.1004 AS DOUBLE) >= 0.35 AND x1 > 2 AND y1 > 2 AND x2 < 958 AND y2 < 1998),
+co AS (SELECT DISTINCT a.site_id, a.session_id, a.Camera, a.w, a.ts_cs FROM pb a JOIN pb b ON a.site_id = b.site_id AND a.session_id = b.session_id AND a.Camera = b.Camera AND a.ts_cs = b.ts_cs AND a.w <> b.w
+  WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > greatest(1, (a.x2 - a.x1) * (a.y2 - a.y1)) * CAST(0.2 AS DOUBLE)),
+ok AS (SELECT cl.* FROM cl ANTI JOIN co USING ({KEYS}, Camera, w, ts_cs))"""
+
+
+def _walkers(spark, sf_dir) -> DataFrame:
+    """Person boxes; a walker's track and the one found again after half a second are one track."""
+    return boxes_of(people(spark, sf_dir)).withColumns({"Detection_Conf": F.col("score") + 0.1004, "Track_ID": F.col("Track_ID") % 1000000})
+
+
+@query(CLEAR + f" SELECT {KEYS}, Camera, w AS Track_ID, ts_cs FROM ok")
+def clear_views(spark, sf_dir):
+    return detections.clear_views(_walkers(spark, sf_dir), 960.0, 2000.0).select(*S.TRACK, "ts_cs")
+
+
+@query(
+    CLEAR
+    + f""",
+nx AS (SELECT *, min(ts_cs) OVER (PARTITION BY {KEYS}, Camera, w, view_set ORDER BY ts_cs RANGE BETWEEN 20 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM ok),
+ac AS (SELECT {KEYS}, Camera, w, view_set, min(ts_cs) AS ts_cs FROM ok GROUP BY ALL
+  UNION ALL SELECT n.site_id, n.session_id, n.Camera, n.w, n.view_set, n.nxt FROM ac JOIN nx n USING ({KEYS}, Camera, w, view_set, ts_cs) WHERE n.nxt IS NOT NULL),
+nt AS (SELECT ac.*, h, ntile(4) OVER (PARTITION BY {KEYS}, Camera, w, view_set ORDER BY ts_cs) AS stretch FROM ac JOIN ok USING ({KEYS}, Camera, w, view_set, ts_cs)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, Camera, w, view_set, stretch ORDER BY h DESC, ts_cs) AS nth FROM nt)
+SELECT {KEYS}, Camera, w AS Track_ID, view_set, CAST(stretch AS INTEGER) AS stretch, ts_cs, h AS Height_Px FROM rk WHERE nth = 1""",
+    recursive=True,
+)
+def fingerprint_views(spark, sf_dir):
+    """Views for fingerprints: clear boxes 0.2 s apart, the tallest of four stretches of each set."""
+    return views.fingerprint_views(_walkers(spark, sf_dir), 960.0, 2000.0, 4, 0.5)
+
+
+@query(f" SELECT {TRACK}, ts_cs FROM obs WHERE ts_cs // 10 < 3000")
+def first_frames(spark, sf_dir):
+    """Rows of the first 3,000 frames of each camera."""
+    return detections.first_frames(boxes_of(observations(spark, sf_dir)), 3000).select(*S.TRACK, "ts_cs")
+
+
 def camera_table(spark, sf_dir) -> DataFrame:
     """A calibration of each camera: a tilted view whose numbers follow from the camera's."""
     n = camera_number()

@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from groundtrack.jobs import observe
 from groundtrack.jobs.fuse import fuse
-from groundtrack.operators import georeference, presence
+from groundtrack.operators import detections, georeference, presence, views
 from groundtrack.sources import calibrations
 from groundtrack.sources import observations as source
 from groundtrack.streaming.counts import presence_stream
@@ -122,3 +123,24 @@ def test_new_cameras_of_a_new_site_share_an_origin(spark):
     old = spark.createDataFrame([("o", "y", "global", 32616, [7.0, 7.0])], schema)
     got = {(r.site_id, r.Camera): (r.utm_epsg, tuple(r.origin)) for r in georeference.upsert(old, new).collect()}
     assert got == {("n", "a"): (32616, (1.0, 2.0)), ("n", "b"): (32616, (1.0, 2.0)), ("o", "y"): (32616, (7.0, 7.0)), ("o", "z"): (32616, (7.0, 7.0))}
+
+
+def test_boxes_to_observations_and_views(spark, tmp_path):
+    schema = "site_id string, session_id string, Video string, frame_idx long, video_s double, Track_ID long, Class string, score double, x1 double, y1 double, x2 double, y2 double"
+    box = lambda v, f, k, score, x=100.0, cls="person", h=80.0: ("s", "d", v, f, f / 10, k, cls, score, x, 50.0, x + 30.25, 50.0 + h)
+    rows = [box("v1", f, 1, 0.9 if f == 2 else 0.2, h=80.0 + f % 7) for f in range(40)]  # weak until its third frame
+    rows += [box("v1", f, 2, 0.95, x=110.0) for f in (10, 11)] + [box("v1", 0, 3, 0.9, cls="dog"), box("v2", 5, 1, 0.8), box("other", 5, 1, 0.8)]
+    (tmp_path / "m.json").write_text(json.dumps({"v1": {"camera_id": "c", "segments": [{"from_video_s": 0.0, "start_timestamp": 7.0}, {"from_video_s": 3.0, "start_timestamp": 90.0}]}, "v2": {"camera_id": "c", "start_timestamp": 60.0}}))
+    cameras = calibrations.read_camera_map(spark, str(tmp_path / "m.json"))
+    got = observe.observed(spark.createDataFrame(rows, schema), cameras).collect()
+    assert {(r.Camera, r.Track_ID, r.Timestamp) for r in got if r.Track_ID % 1000000 == 1} == {("c", 1, round(7 + f / 10, 2)) for f in range(2, 30)} | {("c", 1000001, round(90 + f / 10 - 3, 2)) for f in range(30, 40)} | {("c", 1, 60.5), ("other", 1, 0.5)}
+    assert {r.Class for r in got} == {"person"} and {(r.Foot_X, r.Center_X) for r in got if r.Track_ID == 1} == {(115.1, 115.1)}
+    assert len(observe.observed(spark.createDataFrame(rows, schema), cameras, 6).collect()) == 6
+
+    sure = spark.createDataFrame([("s", "d", "c", k, t * 10, 0.9, x, 50.0, x + 30.0, 50.0 + h) for k, t, x, h in [(1, t, 100.0, 80.0 + t % 3) for t in range(30)] + [(2, 4, 100.0, 84.0), (2, 20, 1.0, 80.0), (3, 6, 128.0, 80.0)]], "site_id string, session_id string, Camera string, Track_ID long, ts_cs long, Detection_Conf double, x1 double, y1 double, x2 double, y2 double")
+    clear = {(r.Track_ID, r.ts_cs) for r in detections.clear_views(sure, 640.0, 480.0).collect()}
+    assert clear == {(1, t * 10) for t in range(30) if t != 4} | {(3, 60)}  # one box lies on another of its size, one at the edge; a sliver does not matter
+    views_of = sorted((r.ts_cs, r.stretch, r.Height_Px) for r in views.fingerprint_views(sure, 640.0, 480.0, k=3).collect() if r.Track_ID == 1)
+    taken = [0, 20] + [50 + 20 * n for n in range(13) if 50 + 20 * n < 300]
+    tall = lambda ts: max(ts, key=lambda t: ((t // 10) % 3, -t))
+    assert [t for t, _, _ in views_of] == [tall(list(part)) for part in np.array_split(taken, 3)]
