@@ -399,3 +399,36 @@ def test_spacing_thins_when_full(spark):
     assert 30 <= len(out) <= 60
     gap = frame(spark, walk("c", 1, 0, 0, t1=100), walk("c", 1, 0, 0, t0=800, t1=900))
     assert {r.view_set for r in views.view_sets(gap).collect()} == {0, 1}
+
+
+def test_merges_by_part_are_those_of_the_session(spark):
+    """Random tracks and edges of two sessions, walked through as a whole in plain Python."""
+    r = np.random.default_rng(21)
+    rows, breaks, pairs = [], [], []
+    for day in ("d", "e"):
+        for k in range(60):
+            t0 = int(r.integers(0, 4000))
+            rows.append(("s", day, "abc"[k % 3], k, int(r.integers(1, 50)) if k % 5 else k + 100, None, t0, t0 + int(r.integers(100, 900))))
+        one, two = r.integers(0, 60, 90), r.integers(0, 60, 90)
+        breaks += [("s", day, "abc"[a % 3], int(a), int(b), float(r.random())) for a, b in zip(one, two) if a % 3 == b % 3 and a != b]
+        pairs += [("s", day, "abc"[a % 3], int(a), "abc"[b % 3], int(b), int(r.integers(4, 9)), float(r.integers(0, 9)) / 6) for a, b in zip(one, two) if a % 3 < b % 3]
+    t = spark.createDataFrame(rows, "site_id string, session_id string, Camera string, Track_ID long, gid long, Confidence double, t0 long, t1 long")
+    found = identities.stitched(t, spark.createDataFrame(breaks, "site_id string, session_id string, Camera string, a long, b long, error double"))
+    handed = identities.handed_off(t, spark.createDataFrame(pairs, "site_id string, session_id string, camera_a string, a long, camera_b string, b long, n long, d double"))
+    for name, got in (("stitched", found), ("handed", handed)):
+        want, moved = {}, 0
+        for day in ("d", "e"):
+            own = [x for x in rows if x[1] == day]
+            ids = Identities([x[4] for x in own], [(x[2], x[3]) for x in own], [x[6] for x in own], [x[7] for x in own])
+            if name == "stitched":
+                for x in sorted((x for x in breaks if x[1] == day), key=lambda x: (x[2], x[5], x[3], x[4])):
+                    moved += ids.merge((x[2], x[3]), (x[2], x[4]))
+            else:
+                taken = set()
+                for x in sorted((x for x in pairs if x[1] == day), key=lambda x: (x[7], -x[6], *x[2:6])):
+                    p, q = (x[2], x[3]), (x[4], x[5])
+                    if (p, q[0]) not in taken and (q, p[0]) not in taken:
+                        taken |= {(p, q[0]), (q, p[0])}
+                        moved += ids.merge(p, q)
+            want |= {(day, *k): g for k, g in ids.of.items()}
+        assert {(x.session_id, x.Camera, x.Track_ID): x.gid for x in got.collect()} == want and moved > 5
