@@ -1,54 +1,23 @@
-"""What the corpus operators share: shared-storage cuts, Arrow text access and word hashes."""
+"""What the corpus operators share: shared-storage cuts and components of the library, Arrow text access and word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from groundtrack.operators.components import components, cut, drop_cut, shared_dir  # noqa: F401
+
 #: Text bytes handled at once inside a task; bounds the size of the numpy temporaries.
 SLICE_BYTES = 1 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-# ---------------------------------------------------------------- shared storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where none is set, a fresh local one with a local
-    master, which is one machine; an error on a cluster, whose executors do not share such a folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to shared storage and read back, so lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Remove the files of a cut that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with as many underscores as it takes to clash with no column."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -220,30 +189,3 @@ def stars(rows: DataFrame, key: str, node: str, salts: int = 64) -> DataFrame:
     inner = rows.withColumn("b", F.min("a").over(Window.partitionBy(key, "salt"))).select("a", "b")
     outer = rows.groupBy(key, "salt").agg(F.min("a").alias("a")).withColumn("b", F.min("a").over(Window.partitionBy(key))).select("a", "b")
     return inner.unionByName(outer).where("a <> b")
-
-
-# ---------------------------------------------------------------- connected components
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Columns a, b (long) are links; returns node and the smallest node it reaches, as component.
-
-    Alternates large-star and small-star steps, each an aggregate and a join on the node, until the
-    links no longer change; then every link leads to the smallest node. Each round is cut.
-    """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        star = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = star.groupBy("a").agg(F.min("b").alias("m"))
-        star = star.join(least, "a")
-        star = star.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        after = cut(star)
-        state = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        drop_cut(now)
-        now = after
-        if tuple(state) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = tuple(state)
