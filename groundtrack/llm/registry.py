@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, quality, secrets, source_mix, suffix_dedup, topk
+from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, quality, secrets, source_mix, suffix_dedup, topk, vector_codes
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
+    "op12_vector_codes": vector_codes.query,
 }
 
 SQL = {
     "op5_topk": topk.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
