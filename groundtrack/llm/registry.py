@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, quality, secrets, source_mix, suffix_dedup, topk, vector_codes
+from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, phrases, quality, secrets, source_mix, suffix_dedup, topk, vector_codes
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_phrases": phrases.query,
 }
 
 SQL = {
     "op5_topk": topk.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op12_vector_codes": vector_codes.SQL,
+    "op13_phrases": phrases.SQL,
 }
