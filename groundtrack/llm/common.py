@@ -125,6 +125,54 @@ def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[
     return h, at, np.searchsorted(at, offs)
 
 
+def regions(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about `size` bytes that end where a text does or, in a longer text, before a gap."""
+    a = 0
+    while a < len(buf):
+        b = int(offs[max(0, int(np.searchsorted(offs, a + size, "right")) - 1)])
+        if b <= a:
+            end, b = int(offs[np.searchsorted(offs, a, "right")]), a + size
+            while b < end:
+                at = np.flatnonzero(gap[buf[b : min(end, b + SLICE_BYTES)]])
+                if len(at):
+                    b += int(at[0])
+                    break
+                b += SLICE_BYTES
+            b = min(b, end)
+        yield a, b
+        a = b
+
+
+def run_hashes(buf: np.ndarray, at: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None, block: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes at to end of each run, folded by a table, in blocks: a run may be longer than one."""
+    block = block or SLICE_BYTES
+    powers, out = _powers(block + 1), np.zeros(len(at), np.uint64)
+    table = _BYTE if fold is None else _BYTE[fold]
+    upto = np.concatenate([[0], np.cumsum(end - at)])
+    i = 0
+    while i < len(at):
+        j = int(np.searchsorted(upto, upto[i] + block, "right")) - 1
+        if j <= i:
+            power = np.uint64(1)
+            with np.errstate(over="ignore"):
+                for a in range(int(at[i]), int(end[i]), block):
+                    part = table[buf[a : min(a + block, int(end[i]))]]
+                    out[i] += (part * powers[: len(part)]).sum(dtype=np.uint64) * power
+                    power = power * powers[block]
+            i += 1
+            continue
+        first, size = upto[i:j] - upto[i], np.diff(upto[i : j + 1])
+        inside = np.arange(upto[j] - upto[i]) - np.repeat(first, size)
+        out[i:j] = np.add.reduceat(table[buf[np.repeat(at[i:j], size) + inside]] * powers[inside], first)
+        i = j
+    return mix(out)
+
+
+def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run of `size`, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def shingles(h: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text, sorted, as hashes, and the offsets of the texts.
 

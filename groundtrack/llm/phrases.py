@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import _BYTE, _LOWER, _MULT, _powers, cut, drop_cut, mix, utf8
+from groundtrack.llm.common import _LOWER, _MULT, cut, drop_cut, mix, regions, run_hashes, utf8
 
 #: Most cells of a sketch's row, rows of a sketch, cells of a chunk, bytes of text for which there is one cell.
 CELLS, DEPTH, CHUNK, SHARE = 1 << 26, 2, 1 << 14, 32
-#: Bytes of text that are worked on at once, and of these hashed at once.
-REGION, BLOCK = 1 << 22, 1 << 20
+#: Bytes of text that are worked on at once.
+REGION = 1 << 22
 #: Candidates of a part of a lang that are ranked together before the parts meet.
 RANKED = 1 << 17
 
@@ -50,49 +50,6 @@ _SEP = np.zeros(256, bool)
 _SEP[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _GAP = _SEP.copy()
 _GAP[[9, 32]] = True
-_POWERS = _powers(BLOCK + 1)
-
-
-def hashes(buf: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word of buf, in lower case, in blocks: a word may be longer than a block."""
-    out = np.zeros(len(at), np.uint64)
-    upto = np.concatenate([[0], np.cumsum(end - at)])
-    i = 0
-    while i < len(at):
-        j = int(np.searchsorted(upto, upto[i] + BLOCK, "right")) - 1
-        if j <= i:
-            power = np.uint64(1)
-            with np.errstate(over="ignore"):
-                for a in range(int(at[i]), int(end[i]), BLOCK):
-                    part = _BYTE[_LOWER[buf[a : min(a + BLOCK, end[i])]]]
-                    out[i] += (part * _POWERS[: len(part)]).sum(dtype=np.uint64) * power
-                    power = power * _POWERS[BLOCK]
-            i += 1
-            continue
-        first = upto[i:j] - upto[i]
-        inside = np.arange(upto[j] - upto[i]) - np.repeat(first, np.diff(upto[i : j + 1]))
-        bytes_ = buf[np.repeat(at[i:j], np.diff(upto[i : j + 1])) + inside]
-        out[i:j] = np.add.reduceat(_BYTE[_LOWER[bytes_]] * _POWERS[inside], first)
-        i = j
-    return mix(out)
-
-
-def regions(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about REGION bytes that end where a text does or before a gap."""
-    a = 0
-    while a < len(buf):
-        b = int(offs[max(0, int(np.searchsorted(offs, a + REGION, "right")) - 1)])
-        if b <= a:
-            end, b = int(offs[np.searchsorted(offs, a, "right")]), a + REGION
-            while b < end:
-                gap = np.flatnonzero(_GAP[buf[b : min(end, b + BLOCK)]])
-                if len(gap):
-                    b += int(gap[0])
-                    break
-                b += BLOCK
-            b = min(b, end)
-        yield a, b
-        a = b
 
 
 class Grams:
@@ -107,7 +64,7 @@ class Grams:
         keep = self.longest - 1
         at, end, h, part = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         seps = 0
-        for a, b in regions(self.buf, self.offs):
+        for a, b in regions(self.buf, self.offs, _GAP, REGION):
             piece = self.buf[a:b]
             word = ~_GAP[piece]
             edge = np.concatenate([[True], ~word[:-1]])
@@ -123,7 +80,7 @@ class Grams:
             self.old = len(at[-keep:]) if keep else 0
             tail = slice(len(at) - self.old, None)
             at, end, part = (np.concatenate([x[tail], y]) for x, y in ((at, starts + a), (end, ends + a), (part, new_part)))
-            h = np.concatenate([h[tail], hashes(self.buf, starts + a, ends + a)])
+            h = np.concatenate([h[tail], run_hashes(self.buf, starts + a, ends + a, _LOWER)])
             self.at, self.end = at, end
             self.doc = np.searchsorted(self.offs, at, "right") - 1
             same = (part[1:] == part[:-1]) & (self.doc[1:] == self.doc[:-1])

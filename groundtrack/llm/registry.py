@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, personal_data, phrases, quality, secrets, source_mix, suffix_dedup, topk, vector_codes
+from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, personal_data, phrases, quality, secrets, source_mix, suffix_dedup, topk, vector_codes
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
+    "op11_packing": packing.query,
     "op12_vector_codes": vector_codes.query,
     "op13_phrases": phrases.query,
 }

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from groundtrack.llm import phrases
+from groundtrack.llm import common, phrases
 from groundtrack.llm.common import utf8
 
 
@@ -92,7 +92,7 @@ def test_regions_have_no_seam(monkeypatch):
     assert Counter({(d, k, t): n for (d, k, t, _), n in whole.items()}) == plain
     for region, block in ((64, 16), (500, 128), (37, 1 << 20)):
         monkeypatch.setattr(phrases, "REGION", region)
-        monkeypatch.setattr(phrases, "BLOCK", block)
+        monkeypatch.setattr(common, "SLICE_BYTES", block)
         assert found() == whole
 
 
