@@ -21,7 +21,7 @@ core, so that the sketches are a small part of the input.
 
 Null and empty texts, and texts without words, add nothing; a lang without frequent phrases has no
 rows. Rows that repeat a doc_id each count. Texts of any length are read in regions cut between
-words, with no seam. Equal 64-bit hashes within one region of 4 MB count as equal phrases; across
+words, with no seam. Equal 64-bit hashes within one region of 2 MB count as equal phrases; across
 regions texts are compared. Columns other than text and lang are not read. An empty table gives an
 empty result.
 """
@@ -42,7 +42,7 @@ from groundtrack.llm.common import _LOWER, _MULT, cut, drop_cut, mix, regions, r
 #: Most cells of a sketch's row, rows of a sketch, cells of a chunk, bytes of text for which there is one cell.
 CELLS, DEPTH, CHUNK, SHARE = 1 << 26, 2, 1 << 14, 32
 #: Bytes of text that are worked on at once.
-REGION = 1 << 22
+REGION = 1 << 21
 #: Candidates of a part of a lang that are ranked together before the parts meet.
 RANKED = 1 << 17
 
