@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundtrack import schema as S
-from groundtrack.operators.matching import assign
+from groundtrack.operators.components import components, cut
+from groundtrack.operators.matching import sparse_assign
 
 CAMERA = [*S.KEYS, "Camera"]
 
@@ -65,15 +65,32 @@ def islands(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def matched(edges: DataFrame) -> DataFrame:
-    """The edges of a largest one-to-one matching of each island, of least total error."""
+def parts(edges: DataFrame, most: int = 20_000) -> DataFrame:
+    """Adds part: edges that share no track directly or through others are in different parts.
+
+    Islands in time are such parts already, and cheap. Where cameras are so busy that an island has
+    more than `most` edges, it is parted further, by the connected parts of its graph of ends and
+    starts, in rounds of joins."""
+    rows = cut(islands(edges))
+    per = [*CAMERA, "island"]
+    large = rows.groupBy(*per).count().where(F.col("count") > most).drop("count")
+    name = F.xxhash64(*per)
+    if large.isEmpty():
+        return rows.withColumn("part", name).drop("island")
+    busy = rows.join(large, per, "left_semi").select("*", F.xxhash64(*CAMERA, F.lit(0), "a").alias("_end"), F.xxhash64(*CAMERA, F.lit(1), "b").alias("_start"))
+    found = components(busy.select(F.col("_end").alias("a"), F.col("_start").alias("b")))
+    busy = busy.join(found.select(F.col("node").alias("_end"), F.col("component").alias("part")), "_end").drop("_end", "_start")
+    return rows.join(large, per, "left_anti").withColumn("part", name).unionByName(busy).drop("island")
+
+
+def matched(edges: DataFrame, most: int = 20_000) -> DataFrame:
+    """The edges of a largest one-to-one matching of each camera's ends and starts, of least total error.
+
+    A part's edges are matched in one task, in memory that follows their number."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(pdf.a), np.unique(pdf.b)
-        cost = np.full((len(rows), len(cols)), 1e9)
-        cost[np.searchsorted(rows, pdf.a), np.searchsorted(cols, pdf.b)] = pdf.error
-        chosen = {(rows[i], cols[j]) for i, j in assign(cost) if cost[i, j] < 1e9}
-        return pdf[[(a, b) in chosen for a, b in zip(pdf.a, pdf.b, strict=True)]]
-
-    rows = islands(edges)
-    return rows.groupBy(*CAMERA, "island").applyInPandas(solve, rows.schema)
+        pdf = pdf.sort_values(["a", "b"])
+        return pdf.iloc[sparse_assign(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.error.to_numpy())]
+
+    rows = parts(edges, most)
+    return rows.groupBy(*CAMERA, "part").applyInPandas(solve, rows.schema).drop("part")
