@@ -13,6 +13,7 @@ from groundtrack import schema as S
 from groundtrack.functions import geo
 from groundtrack.jobs import observe
 from groundtrack.operators import alignment, audit, clocksync, coverage, detections, georeference, identities, mining, movement, presence, stitch, strangers, views
+from groundtrack.operators.components import cut
 from groundtrack.sources import observations as obs_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,6 +380,14 @@ def fingerprints(spark, sf_dir) -> DataFrame:
     return v.join(tracks, "Track_ID").select(*S.TRACK, (F.col("t0") + F.col("k") * 10).alias("ts_cs"), (50.0 + F.col("Track_ID") * 7 % 40 + F.col("k")).alias("Height_Px"), "Vector")
 
 
+def fingerprints_of_all(spark, sf_dir) -> DataFrame:
+    """Views of every track: sets of five vectors, dealt over the tracks by their ids."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 5).alias("set"), (F.col("vec_id") % 5).alias("k"), F.col("embedding").alias("Vector"))
+    sets = max(1, v.agg(F.max("set") + 1).first()[0] or 0)
+    tracks = people(spark, sf_dir).groupBy(*S.TRACK).agg(F.min("ts_cs").alias("t0")).withColumn("set", F.pmod("Track_ID", F.lit(sets)))
+    return tracks.join(v, "set").select(*S.TRACK, (F.col("t0") + F.col("k") * 10).alias("ts_cs"), (50.0 + F.col("Track_ID") * 7 % 40 + F.col("k")).alias("Height_Px"), "Vector")
+
+
 @query("""
 v AS (SELECT vec_id // 5 AS t, embedding AS e FROM embeddings)
 SELECT a.t AS a, b.t AS b, round(max(list_dot_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[]))), 6) AS similarity FROM v a JOIN v b ON b.t BETWEEN a.t + 1 AND a.t + 3 GROUP BY ALL""")
@@ -516,9 +525,9 @@ def settled_identities(spark, sf_dir):
 
 @query()
 def gallery_identities(spark, sf_dir):
-    """Tracks with fingerprints through the gallery; those without get numbers of their own."""
-    tracks = views.candidates(people(spark, sf_dir), fingerprints(spark, sf_dir)).withColumn("threshold", F.lit(S.FALLBACK_BAR))
-    out = identities.gallery_identities(tracks)
+    """Every track through the gallery; those without a tall view get numbers of their own."""
+    tracks = cut(views.candidates(people(spark, sf_dir), fingerprints_of_all(spark, sf_dir)))
+    out = identities.gallery_identities(tracks.withColumn("threshold", F.lit(S.FALLBACK_BAR)))
     return out.select(*S.TRACK, identities.gid_name(F.col("gid")).alias("Global_ID"), "Confidence")
 
 
