@@ -3,16 +3,20 @@
 Fixed masks over a span of words say which positions count; the others may differ. Each position of
 each benchmark item and of each document is hashed once per mask, equal hashes are joined, and
 around each hit the two texts are laid over each other: a hit holds if some window of `least`
-aligned words (the whole item, if shorter) around it has at least `share` equal words. So copies
-with substituted words are found, wherever a mask skips the changed words.
+aligned words (the whole item, if shorter) around it has at least `share` equal words.
+
+The masks leave no tolerated substitution out: a window in which t words may differ is cut into
+t + 2 parts, and each mask counts two of these, so that some mask misses every changed word,
+wherever they stand. Windows of 13 words at 80 % tolerate two: four parts of three or four words, of which
+three masks remain, as others fit wherever these do. The same rule makes the masks of items shorter
+than a window, down to one word (of which none may differ).
 
 The benchmark is the stated query set. Its hashes are sent to the tasks in blocks of at most
 BLOCK_WORDS words, one pass over the documents for each block, so what is sent has a fixed bound
 and no document moves. Words are runs of ASCII letters and digits and other characters; A-Z are
 lowered.
 
-Items of fewer words than the shortest mask spans are looked for as a whole: all their words, in
-order. Hits are laid over each other a bounded number at a time, whatever a phrase's frequency.
+Hits are laid over each other a bounded number at a time, whatever a phrase's frequency.
 
 Null or empty text: nothing is found. Items without id or words take no part. A very long text is one
 slice. Rows that repeat a doc_id each give their pairs. An empty table gives an empty result;
@@ -22,6 +26,7 @@ further columns of either table are passed over (find) or kept (clean).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,6 @@ from pyspark.sql import functions as F
 
 from groundtrack.llm.common import PUNCTUATION, mix, slices, utf8, words
 
-#: 1: the word counts; 0: it may differ.
-MASKS = ("11111111", "1110110111", "110110101101", "1101110011011")
 #: Hits that are laid over each other at once.
 HITS = 1 << 17
 #: Words of the benchmark that are sent at once.
@@ -40,6 +43,28 @@ BLOCK_WORDS = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def masks(words: int, changes: int) -> list[str]:
+    """Masks over a window of words (1: the word counts; 0: it may differ), of which one fits wherever
+    at most so many words differ."""
+    parts = min(changes + 2, words)
+    edges = [words * k // parts for k in range(parts + 1)]
+    out = []
+    for chosen in combinations(range(parts), max(1, parts - changes)):
+        out.append("".join("1" if any(edges[k] <= i < edges[k + 1] for k in chosen) else "0" for i in range(words)))
+    return out
+
+
+def sliding(masks: list[str]) -> list[str]:
+    """The masks that are needed where each is tried at every place: none in which another one fits."""
+    shapes = sorted({m.strip("0") for m in masks}, key=lambda m: (m.count("1"), len(m), m))
+    fits = lambda small, big: any(all(b == "1" for a, b in zip(small, big[k:], strict=False) if a == "1") for k in range(len(big) - len(small) + 1))
+    kept: list[str] = []
+    for shape in shapes:
+        if not any(fits(k, shape) for k in kept):
+            kept.append(shape)
+    return kept
+
+
 def _seeds(h: np.ndarray, offs: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the counted words at each position where the mask fits into a text."""
     n = len(h) - len(mask) + 1
@@ -65,13 +90,20 @@ class Items:
         self.window = np.minimum(self.n, least)
         self.need = np.ceil(self.window * share - 1e-9).astype(np.int64)
         self.item = np.repeat(np.arange(len(rows)), self.n)
-        found = [_seeds(self.h, self.offs, m) for m in MASKS]
-        short = np.unique(self.n[(self.n > 0) & (self.n < min(map(len, MASKS)))])
-        self.masks = [*MASKS, *("1" * int(k) for k in short)]
-        for mask in self.masks[len(MASKS) :]:  # whole items of so many words
-            x, p = _seeds(self.h, self.offs, mask)
-            own = self.n[self.item[p]] == len(mask)
-            found.append((x[own], p[own]))
+        self.masks, found = [], [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for n in np.unique(self.window[self.n > 0]).tolist():
+            changes = n - int(np.ceil(n * share - 1e-9))
+            own = (self.window == n) & (self.n == n) if n < least else self.window == n
+            for mask in sliding(masks(n, changes)) if n == least else masks(n, changes):
+                shape = mask.strip("0")
+                x, p = _seeds(self.h, self.offs, shape)
+                mine = own[self.item[p]]
+                if n < least:  # the whole item is the window
+                    mine &= p - self.offs[self.item[p]] == mask.index("1")
+                found.append((x[mine], p[mine]))
+                self.masks.append(shape)
+        self.masks = sorted(set(self.masks))
+        self.span = max(map(len, self.masks), default=1)
         hashes, at = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at = hashes[order], at[order]
@@ -88,7 +120,7 @@ class Items:
             lo = np.searchsorted(self.hashes, x, "left")
             seeds.append((p, lo, np.searchsorted(self.hashes, x, "right") - lo))
         # stretches of positions with at most about HITS hits, all masks together
-        upto = np.cumsum(sum(np.bincount(p, m, minlength=len(h)) for p, _, m in seeds)) if len(h) else np.zeros(0)
+        upto = np.cumsum(sum((np.bincount(p, m, minlength=len(h)) for p, _, m in seeds), np.zeros(len(h)))) if len(h) else np.zeros(0)
         ends = np.unique(np.append(np.searchsorted(upto, np.arange(HITS, (upto[-1] if len(h) else 0) + HITS, HITS)) + 1, len(h)))
         found, a = [np.zeros((3, 0), np.int64)], 0
         for b in ends:
@@ -115,7 +147,7 @@ class Items:
     def _laid(self, h: np.ndarray, offs: np.ndarray, least: int, hits_p: np.ndarray, hits_q: np.ndarray) -> np.ndarray:
         """Text, item and place in the item of the words that hold around the hits."""
         text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-        reach = np.arange(1 - least, max(map(len, MASKS)) + least - 1)
+        reach = np.arange(1 - least, self.span + least - 1)
         out = [np.zeros((3, 0), np.int64)]
         for a in range(0, len(hits_p), 1 << 15):
             p, q = hits_p[a : a + (1 << 15)], hits_q[a : a + (1 << 15)]

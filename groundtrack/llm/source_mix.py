@@ -123,11 +123,11 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, all their columns, with mix_size and mix_taken (words that
-    it takes, repeats counted). Rows of one doc_id share what the first takes; those without go."""
+    it takes, repeats counted). Rows of one doc_id, null among them, share the most that one takes."""
     key = fresh(docs, "_doc_id")
     taken = mixed(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")).where("mix_taken > 0")
     docs = docs.drop("mix_size", "mix_taken")
-    return docs.join(taken, docs["doc_id"] == F.col(key)).drop(key)
+    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
