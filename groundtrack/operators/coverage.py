@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundtrack import schema as S
+from groundtrack.operators.quantiles import quantiles
 
 
 def extent(df: DataFrame, pad: float = 10.0, least_half: float = 20.0) -> DataFrame:
     """x0, x1, y0, y1 of each site and session: the cameras' 1st and 99th percentiles, padded, and
     widened about the middle to twice the least half size."""
-    placed = df.where("Local_X_Meters is not null")
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    cams = placed.groupBy(*S.KEYS, "Camera").agg(q("Local_X_Meters", 0.01).alias("x0"), q("Local_X_Meters", 0.99).alias("x1"), q("Local_Y_Meters", 0.01).alias("y0"), q("Local_Y_Meters", 0.99).alias("y1"))
-    box = cams.groupBy(*S.KEYS).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    axes = F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("Local_X_Meters").alias("at")), F.struct(F.lit("y").alias("axis"), F.col("Local_Y_Meters").alias("at"))))
+    rows = df.where("Local_X_Meters is not null").select(*S.KEYS, "Camera", axes.alias("p")).select(*S.KEYS, "Camera", "p.*")
+    cams = quantiles(rows, [*S.KEYS, "Camera", "axis"], "at", [0.01, 0.99])
+    end = lambda axis, i, f: f(F.when(F.col("axis") == axis, F.col("q")[i])).alias(f"{axis}{i}")
+    box = cams.groupBy(*S.KEYS).agg(*[end(axis, i, f) for axis in "xy" for i, f in ((0, F.min), (1, F.max))])
     out = {}
     for c in "xy":
         mid, half = (F.col(c + "0") + F.col(c + "1")) / 2, F.greatest((F.col(c + "1") - F.col(c + "0")) / 2 + pad, F.lit(least_half))

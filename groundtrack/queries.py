@@ -681,7 +681,7 @@ def map_extent(spark, sf_dir):
 
 def _covered(spark, sf_dir) -> DataFrame:
     rows = people(spark, sf_dir)
-    return coverage.cells(rows, coverage.extent(rows))
+    return cut(coverage.cells(rows, coverage.extent(rows)))  # few, and read several times
 
 
 @query(COVER + f" SELECT {KEYS}, Camera, ix, iy, hits FROM cc")
