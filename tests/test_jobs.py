@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from groundtrack.jobs import observe
-from groundtrack.jobs.fuse import fuse
+from groundtrack.jobs.fuse import fuse, replaced
 from groundtrack.operators import detections, georeference, presence, views
 from groundtrack.sources import calibrations
 from groundtrack.sources import observations as source
@@ -48,6 +48,44 @@ def test_fuse_twice(spark, sf_dir, tmp_path):
     assert out[0]["composite"].groupBy("site_id", "session_id", "Global_ID", "bucket").count().where("count > 1").count() == 0
 
 
+def test_a_run_replaces_its_own_sessions_only(spark, tmp_path):
+    schema = "site_id string, session_id string, Camera string, n long"
+    by, path = ["site_id", "session_id", "Camera"], str(tmp_path / "fused")
+
+    def run(*rows, of=None):
+        df = spark.createDataFrame(rows, schema)
+        sessions = spark.createDataFrame(of, "site_id string, session_id string") if of else df.select("site_id", "session_id").distinct()
+        return sorted(map(tuple, replaced(df, path, by, sessions).select("site_id", "session_id", "Camera", "n").collect()))
+
+    everything = lambda: sorted(map(tuple, spark.read.schema(schema).parquet(path).select("site_id", "session_id", "Camera", "n").collect()))
+    one = [("s", "d", "a", 1), ("s", "d", "b/1 =x", 2), ("s", "e", "a", 3)]
+    assert run(*one) == one
+    other = [("t", "d", "a", 4), ("t", "d", "a", 5)]
+    assert run(*other) == other and everything() == one + other  # another site's run leaves the first
+    assert run(*other) == other and everything() == one + other  # so does a rerun
+    again = [("s", "d", "c", 6)]  # a session again, with other cameras: its old folders go, all else stays
+    assert run(*again) == again and everything() == again + one[2:] + other
+    assert run(of=[("t", "d")]) == [] and everything() == again + one[2:]  # nothing is left of a session
+    assert not list((tmp_path / "fused" / "site_id=t").rglob("*.parquet"))
+
+
+def test_two_sites_in_one_output(spark, sf_dir, tmp_path):
+    rows = source.from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).drop("ts_cs").where("Timestamp < 60")
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") % 40).alias("Track_ID"), F.col("embedding").alias("Vector")).limit(40)
+    prints = rows.where("Class = 'person'").groupBy("site_id", "session_id", "Camera", "Track_ID").agg(F.min("Timestamp").alias("Timestamp")).join(v, "Track_ID").withColumn("Height_Px", F.lit(80.0))
+    sites = sorted(r.site_id for r in rows.select("site_id").distinct().collect())[:2]
+    assert len(sites) == 2
+    names = ("fused", "composite", "vehicles", "counts", "manifest")
+    files = lambda site: {str(p): p.stat().st_mtime_ns for n in names for p in (tmp_path / n / f"site_id={site}").rglob("part-*")}
+    fuse(rows.where(F.col("site_id") == sites[0]), prints, str(tmp_path))
+    first = files(sites[0])
+    assert len({p.split("/site_id=")[0] for p in first}) == len(names)
+    out = fuse(rows.where(F.col("site_id") == sites[1]), prints, str(tmp_path))
+    assert files(sites[0]) == first and files(sites[1])
+    assert {r.site_id for r in out["fused"].select("site_id").distinct().collect()} == {sites[1]}
+    assert not list((tmp_path / "work").iterdir())
+
+
 def test_counts_as_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([("s", "d", 60.0 + t / 10, "person (on foot)", f"g{i}") for t in range(1200) for i in range(2)] + [("s", "d", 900.0, "person (on foot)", "late")], "site_id string, session_id string, t double, Category string, Global_ID string")
     rows.select("site_id", "session_id", F.timestamp_seconds("t").alias("at"), "Category", "Global_ID").write.parquet(str(tmp_path / "in"))
