@@ -551,12 +551,16 @@ RIDES = (
 nr AS (SELECT {KEYS}, Camera, ts_cs, p.Track_ID AS p, r.Track_ID AS r, r.Class AS rc, sqrt((p.Local_X_Meters - r.Local_X_Meters) ** 2 + (p.Local_Y_Meters - r.Local_Y_Meters) ** 2) AS d,
   (sqrt(p.vx ** 2 + p.vy ** 2) >= 0.5 AND sqrt(r.vx ** 2 + r.vy ** 2) >= 0.5 AND sqrt((p.vx - r.vx) ** 2 + (p.vy - r.vy) ** 2) <= 1) AS tg
   FROM ve p JOIN ve r USING ({KEYS}, Camera, ts_cs) WHERE p.Class = 'person' AND r.Class = 'bicycle' AND sqrt((p.Local_X_Meters - r.Local_X_Meters) ** 2 + (p.Local_Y_Meters - r.Local_Y_Meters) ** 2) <= 2),
-rp AS (SELECT {KEYS}, Camera, p, r FROM nr WHERE tg GROUP BY ALL HAVING max(ts_cs) - min(ts_cs) >= 50),
+rp AS (SELECT {KEYS}, Camera, p, r FROM nr WHERE tg GROUP BY ALL HAVING max(ts_cs) - min(ts_cs) >= 50)"""
+)
+MODES = (
+    RIDES
+    + f""",
 rd AS (SELECT {KEYS}, Camera, ts_cs, p, arg_min(rc, struct_pack(d := d, r := r)) AS rc FROM nr JOIN rp USING ({KEYS}, Camera, p, r) GROUP BY ALL)"""
 )
 
 
-@query(RIDES + f" SELECT o.site_id, o.session_id, o.Camera, o.Track_ID, o.Class, o.ts_cs, CASE WHEN o.Class = 'person' THEN coalesce(rc, 'on foot') END AS Mode FROM obs o LEFT JOIN rd ON o.site_id = rd.site_id AND o.session_id = rd.session_id AND o.Camera = rd.Camera AND o.ts_cs = rd.ts_cs AND o.Track_ID = rd.p AND o.Class = 'person'")
+@query(MODES + f" SELECT o.site_id, o.session_id, o.Camera, o.Track_ID, o.Class, o.ts_cs, CASE WHEN o.Class = 'person' THEN coalesce(rc, 'on foot') END AS Mode FROM obs o LEFT JOIN rd ON o.site_id = rd.site_id AND o.session_id = rd.session_id AND o.Camera = rd.Camera AND o.ts_cs = rd.ts_cs AND o.Track_ID = rd.p AND o.Class = 'person'")
 def travel_mode(spark, sf_dir):
     return movement.travel_mode(observations(spark, sf_dir)).select(*S.TRACK, "Class", "ts_cs", "Mode")
 
@@ -564,8 +568,8 @@ def travel_mode(spark, sf_dir):
 @query(
     RIDES
     + f""",
-rr AS (SELECT DISTINCT {KEYS}, Camera, r AS Track_ID, true AS ridden FROM rp),
-fast AS (SELECT {TRACK}, ts_cs FROM ve WHERE Class = 'bicycle' AND sqrt(vx ** 2 + vy ** 2) >= 0.5)
+rr AS MATERIALIZED (SELECT DISTINCT {KEYS}, Camera, r AS Track_ID, true AS ridden FROM rp),
+fast AS MATERIALIZED (SELECT {TRACK}, ts_cs FROM ve WHERE Class = 'bicycle' AND sqrt(vx ** 2 + vy ** 2) >= 0.5)
 SELECT {TRACK}, ts_cs FROM fast LEFT JOIN rr USING ({KEYS}, Camera, Track_ID) WHERE ridden IS NULL"""
 )
 def riderless_rows(spark, sf_dir):
