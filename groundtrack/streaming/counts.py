@@ -15,6 +15,8 @@ def presence_stream(rows: DataFrame, late: str = "10 seconds", bucket: str = "50
     """rows: KEYS, at (timestamp), Category, Global_ID. Identities are counted approximately, as
     exact distinct counts would keep every identity in the state."""
     per = rows.withWatermark("at", late).groupBy(F.window("at", bucket), *S.KEYS, "Category").agg(F.approx_count_distinct("Global_ID", 0.01).alias("n"))
-    out = per.groupBy(F.window(F.window_time("window"), interval), *S.KEYS, "Category").agg(F.sum("n").alias("total"), F.max("n").alias("Peak_Present"))
-    seconds = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
-    return out.select(*S.KEYS, "Category", F.col("window.start").alias("Interval_Start"), (F.col("total") / (seconds * 2)).alias("Mean_Present"), "Peak_Present")
+    length = lambda: F.unix_millis("window.end") - F.unix_millis("window.start")
+    per = per.withColumn("ms", length())
+    out = per.groupBy(F.window(F.window_time("window"), interval), *S.KEYS, "Category").agg(F.sum("n").alias("total"), F.max("n").alias("Peak_Present"), F.max("ms").alias("ms"))
+    mean = F.col("total") * F.col("ms") / length()  # an interval's buckets, empty ones too
+    return out.select(*S.KEYS, "Category", F.col("window.start").alias("Interval_Start"), mean.alias("Mean_Present"), "Peak_Present")

@@ -97,6 +97,19 @@ def test_counts_as_a_stream(spark, tmp_path):
     assert len(got) == 2 and all(r.Peak_Present == 2 and abs(r.Mean_Present - 2) < 0.1 for r in got)
 
 
+def test_buckets_of_a_stream_may_be_of_any_length(spark, tmp_path):
+    """Two people in every bucket of one second: two on average, whatever the length of a bucket."""
+    rows = spark.createDataFrame([("s", "d", 60.0 + t / 2, "person (on foot)", f"g{i}") for t in range(240) for i in range(2)] + [("s", "d", 900.0, "person (on foot)", "late")], "site_id string, session_id string, t double, Category string, Global_ID string")
+    rows.select("site_id", "session_id", F.timestamp_seconds("t").alias("at"), "Category", "Global_ID").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    q = presence_stream(stream, bucket="1 second").writeStream.format("memory").queryName("by_second").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("by_second").orderBy("Interval_Start").collect()
+    assert [(r.Mean_Present, r.Peak_Present) for r in got][:2] == [(2.0, 2), (2.0, 2)]
+
+
+
 def test_readers(spark, tmp_path):
     csv = tmp_path / "c.csv"
     from groundtrack import schema as S
