@@ -35,6 +35,21 @@ def share_of(key: Column, share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
+def unseen(keys: pa.Array, seen: set[int]) -> np.ndarray:
+    """The rows whose key has not come up in this task; their keys join `seen`, which holds sampled keys only."""
+    keys, out = keys.to_pylist(), []
+    for i, key in enumerate(keys):
+        if key not in seen:
+            seen.add(key)
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """One row of each `key`, and the `most` with the least keys: a sample that a driver may hold, whatever repeats."""
+    return rows.dropDuplicates(["key"]).orderBy("key").limit(most)
+
+
 # ---------------------------------------------------------------- text in Arrow batches
 
 

@@ -7,12 +7,14 @@ Families of languages outside FAMILIES hold that language alone.
 Features: hashed n-grams (1 to 4) of the lowered text in which each run of characters other than
 letters is one space; square roots of counts, scaled to length 1; over whole texts, of which long
 ones are counted piece by piece without a seam. The machines
-(squared hinge loss, by accelerated gradient steps) are fitted on the driver on at most about SAMPLE labelled
-documents, shared equally by the languages and chosen by a hash of doc_id; features are made in
+(squared hinge loss, by accelerated gradient steps) are fitted on the driver on about SAMPLE labelled documents
+(never more than twice as many), shared equally by the LANGUAGES most frequent labels and chosen by a hash of
+doc_id and text, so that rows of one id are drawn one by one; equal ones count once. Features are made in
 the tasks. Labels are read from rows whose crc32(doc_id) mod 5 is not 0 only.
 
 Text that is null or has no letter: `und`, score 0. Score: a logistic function of the least margin
-on the way, above 0.5 where all machines agree. Without labelled rows, all is `und`. Rows that
+on the way, above 0.5 where all machines agree. Without labelled rows, all is `und`; an empty table gives
+no rows. Equal votes go to the larger sum of margins, then to the first language by name. Rows that
 repeat a doc_id each give a row; further columns are kept by `keep` and not read elsewhere.
 """
 
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtrack.llm.common import held_out, slices, utf8
+from groundtrack.llm.common import few, held_out, slices, unseen, utf8
 
 #: Labelled documents to learn from, over all languages.
 SAMPLE = 2400
+#: Labels that are learned, the most frequent ones.
+LANGUAGES = 400
 BINS = 1 << 13
 PIECE = 1 << 20
 
@@ -152,30 +156,33 @@ class Model:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
+            part = part.take(pa.array(unseen(part.column(2), seen)))
             x, has = features(part.column(1).to_pylist())
-            keep = np.flatnonzero(has)
-            yield pa.record_batch({"lang": part.column(0).take(pa.array(keep)), "x": pa.array([x[k].astype(np.float16).tobytes() for k in keep], pa.binary())})
+            part = part.filter(pa.array(has))
+            yield pa.record_batch({"lang": part.column(0), "key": part.column(2), "x": pa.array([v.tobytes() for v in x[has].astype(np.float16)], pa.binary())})
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row for each language
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     share = sample / len(counts)
     rate = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))]), F.col("lang"))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < rate * F.lit(1 << 30))
-    rows = sorted(chosen.select("lang", "text").mapInArrow(_sample, "lang string, x binary").collect(), key=lambda r: (r[0], bytes(r[1])))
-    if not rows:
+    chosen = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("key")).where(F.pmod("key", F.lit(1 << 30)) < rate * F.lit(1 << 30))
+    # as Arrow, since rows as objects would be on the driver several times over
+    rows = few(chosen.mapInArrow(_sample, "lang string, key long, x binary"), 2 * sample).toArrow().sort_by("key")
+    if not rows.num_rows:
         return None
-    x = np.empty((len(rows), BINS), np.float32)
-    for k, r in enumerate(rows):
-        x[k] = np.frombuffer(r[1], np.float16)
-    lang = np.array([r[0] for r in rows])
+    x = np.empty((rows.num_rows, BINS), np.float32)
+    for k, v in enumerate(rows.column("x")):
+        x[k] = np.frombuffer(v.as_buffer(), np.float16)
+    lang = np.array(rows.column("lang").to_pylist())
     del rows
     family = np.array([FAMILY.get(k, "only " + k) for k in lang])
     families = sorted(set(family))

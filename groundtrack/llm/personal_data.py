@@ -3,8 +3,8 @@
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its test. The
 network reads characters in windows of WINDOW that overlap by half, around every word that holds a
 digit, @ or a written-out (at) (a span of these kinds has one), gives each character scores for the tags O, B-kind and I-kind, and
-is trained in numpy, on the driver, from labelled spans: base spans in at most about SAMPLE
-documents, four windows of each (spread over the whole text), and copies of these windows in which
+is trained in numpy, on the driver, from labelled spans: base spans in about SAMPLE documents (never more than
+twice as many, drawn by a hash of doc_id and text; equal ones count once), four windows of each (spread over the whole text), and copies of these windows in which
 spans are written in other ways (cards with dots, phones without plus, (at) and [dot], and so on). The scores of overlapping windows are
 averaged, each weighing by the distance from the window's edge, and one Viterbi pass with the CRF's
 transitions over the whole stretch settles the tags, so a span that crosses windows comes out once.
@@ -14,7 +14,8 @@ its open scores and Viterbi's state, so a very long text needs a few bytes a cha
 A decoded span is added if it overlaps no base span and holds what its kind needs (an address with
 @ or (at) and a dotted host; four numbers up to 255; 13 to 19 digits passing Luhn; 9 to 15 digits with
 separators). Null text counts as empty and has no spans. Rows that repeat a doc_id each give a row;
-columns other than doc_id and text are not read. Without spans to learn from nothing is added.
+columns other than doc_id and text are not read. An empty table gives no rows; of matches that begin at one
+place the pattern takes the longest. Without spans to learn from nothing is added.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtrack.llm.common import share_of, slices, utf8
+from groundtrack.llm.common import few, share_of, slices, unseen, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 #: O, then B and I of each kind.
@@ -407,9 +408,12 @@ def examples(windows: list[tuple[str, list]], seed: int = 3) -> tuple[np.ndarray
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
-        rows = [w for t in batch.column(0).to_pylist() for w in windows_of(t)]
-        yield pa.record_batch({"window": pa.array([w for w, _ in rows], pa.string()), "spans": pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in s) for _, s in rows], pa.string())})
+        batch = batch.take(pa.array(unseen(batch.column(1), seen)))
+        cuts = [windows_of(t) for t in batch.column(0).to_pylist()]
+        made = [[{"window": w, "spans": ",".join(f"{k}:{a}:{b}" for k, a, b in s)} for w, s in x] for x in cuts]
+        yield pa.record_batch({"key": batch.column(1), "windows": pa.array(made, pa.list_(pa.struct([("window", pa.string()), ("spans", pa.string())])))})
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
@@ -417,8 +421,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     n = some.count()
     if not n:
         return None
-    rows = some.where(share_of(F.col("doc_id"), sample / n, 13)).select("text").mapInArrow(_sampled, "window string, spans string").collect()
-    windows = [(w, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(",") if x)]) for w, s in sorted(map(tuple, rows))]
+    key = F.xxhash64("doc_id", "text")
+    drawn = some.where(share_of(key, sample / n, 13)).select("text", key.alias("key"))
+    rows = few(drawn.mapInArrow(_sampled, "key long, windows array<struct<window string, spans string>>"), 2 * sample).collect()
+    found = sorted((w, s) for r in rows for w, s in r.windows)
+    windows = [(w, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(",") if x)]) for w, s in found]
     if not any(s for _, s in windows):
         return None
     return Network.start().fit(*examples(windows))

@@ -12,13 +12,15 @@ least ratio of the two tails above its score bounds the prior from above.
 
 Features are made in the tasks from whole texts: bigrams and trigrams of the texts' character shapes
 (upper, lower, digit, space, line feed, each ASCII sign) as scaled square roots of counts, and a few
-figures on words, repeats and lines. At most about POSITIVES and UNLABELLED rows, chosen by a hash
-of doc_id from those whose crc32(doc_id) mod 5 is not 0, reach the driver; the fit is numpy.
+figures on words, repeats and lines. About POSITIVES and UNLABELLED rows (never more than twice as many),
+chosen by a hash of doc_id and text from those whose crc32(doc_id) mod 5 is not 0, reach the driver; rows of one
+id are drawn one by one, equal ones count once. The fit is numpy. The unlabelled rows are of any source.
 
 A text of any length is one row of features; its characters are counted in pieces and take some ten
 bytes a byte of text. Null or empty text has the features of no characters, and a score like any other. Without labelled
 positives every score is the prior 0.5. Rows that repeat a doc_id each give a row; labels that
-repeat count once; a doc_id with both labels counts as a positive.
+repeat count once; a doc_id with both labels counts as a positive. An empty table gives no rows; further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundtrack.llm.common import held_out, share_of, shingles, slices, utf8, words
+from groundtrack.llm.common import few, held_out, share_of, shingles, slices, unseen, utf8, words
 
 POSITIVES, UNLABELLED = 1500, 3000
 BINS, FIGURES = 2048, 13
@@ -183,11 +185,13 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None = None, ridge: float =
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
+        batch = batch.take(pa.array(unseen(batch.column(2), seen)))
         buf, offs = utf8(batch.column(0))
         for a, b in slices(offs, 1 << 18):
             x = features(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-            yield pa.record_batch({"positive": batch.column(1).slice(a, b - a), "x": pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())})
+            yield pa.record_batch({"positive": batch.column(1).slice(a, b - a), "key": batch.column(2).slice(a, b - a), "x": pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
@@ -197,15 +201,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     n_good, n_all = good.count(), texts.count()
     if not n_good or not n_all:
         return None
-    # both samples are bounded by the parameters, and small beside the texts that they are joined with
-    good = good.where(share_of(F.col("doc_id"), positives / n_good, 11))
-    some = texts.where(share_of(F.col("doc_id"), min(1.0, 1.6 * unlabelled / n_all), 12)).join(labels.select("doc_id"), "doc_id", "left_anti")
-    chosen = texts.join(F.broadcast(good), "doc_id", "left_semi").select("text", F.lit(True).alias("positive")).unionByName(some.select("text", F.lit(False).alias("positive")))
-    rows = sorted((r[0], bytes(r[1])) for r in chosen.mapInArrow(_rows, "positive boolean, x binary").collect())
-    x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BINS + FIGURES), np.float32)
-    positive = np.array([r[0] for r in rows], bool)
-    shuffled = np.random.default_rng(1).permutation(len(rows))
-    p, u = x[shuffled][positive[shuffled]], x[shuffled][~positive[shuffled]]
+    # the ids of the positives are bounded by the parameter, so they are broadcast; an id may have any number of
+    # rows, so the rows of these ids are counted, and drawn again by id and text
+    good = F.broadcast(good.where(share_of(F.col("doc_id"), positives / n_good, 11)))
+    n_rows = texts.join(good, "doc_id", "left_semi").count()
+    key = F.xxhash64("doc_id", "text")
+    best = texts.join(good, "doc_id", "left_semi").where(share_of(key, positives / max(1, n_rows), 14))
+    some = texts.where(share_of(key, min(1.0, 1.6 * unlabelled / n_all), 12)).join(labels.select("doc_id"), "doc_id", "left_anti")
+    drawn = lambda rows, known, most: few(rows.select("text", F.lit(known).alias("positive"), key.alias("key")).mapInArrow(_rows, "positive boolean, key long, x binary"), most)
+    rows = drawn(best, True, 2 * positives).unionByName(drawn(some, False, 2 * unlabelled)).toArrow().sort_by("key")
+    x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in rows.column("x")]).astype(np.float32) if rows.num_rows else np.zeros((0, BINS + FIGURES), np.float32)
+    positive = rows.column("positive").to_numpy().astype(bool)
+    p, u = x[positive], x[~positive]
     if not len(p):
         return None
     # where every row is labelled, the positives are all that is known: nothing to tell apart
