@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundtrack import schema as S
+from groundtrack.operators.components import cut, drop_cut
 from groundtrack.operators.identities import BUCKET, bucket_of
 from groundtrack.operators.views import height
 
@@ -65,42 +66,53 @@ def vehicle_rows(df: DataFrame, one_per_track: bool = False) -> DataFrame:
     return rows
 
 
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Later row i and earlier row k of a group, of different cameras and within the class's radius d: rows
+    meet in neighbouring cells of that size, so a pair is made once and far rows never meet."""
+    radius = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in S.VEHICLE_RADIUS.items() for v in pair]), F.col("Class")), F.lit(S.OTHER_RADIUS))
+    cell = lambda c: F.floor(F.col(c) / F.col("radius"))
+    side = rows.withColumn("radius", radius).select(*keys, "n", "radius", "Camera", F.col("Local_X_Meters").alias("x"), F.col("Local_Y_Meters").alias("y"))
+    near = lambda c: F.explode(F.array(*[c + F.lit(step) for step in (-1, 0, 1)]))
+    left = side.withColumn("cx", near(F.floor(F.col("x") / F.col("radius")))).withColumn("cy", near(F.floor(F.col("y") / F.col("radius"))))
+    right = side.select(*keys, F.col("n").alias("k"), F.col("Camera").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
+    met = left.join(right, [*keys, "cx", "cy"]).where("k < n and other <> Camera")
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    return met.withColumn("d", F.sqrt(dx * dx + dy * dy)).where("d <= radius").select(*keys, F.col("n").alias("i"), "Camera", "k", "d")
+
+
 def vehicles(rows: DataFrame) -> DataFrame:
     """Vehicles in each bucket: rows of one class from different cameras within the class's radius
     are one vehicle, the most precise of them stays, and absorbs one row of each other camera.
 
-    Groups seen by one camera need no matching and stay out of Python; the rest is matched by
-    (bucket, class), many buckets in a call."""
+    Settled in rounds over the pairs that are still open, all buckets at once. A row stays for sure when no open
+    pair is left in which it is the later one. A pair is settled when its earlier row stays for sure, it is the
+    later row's nearest open pair, and no more precise row of that camera has an open pair with the earlier one:
+    nothing that comes before could still take either side. Then the pairs of the absorbed row, and those of its
+    camera with the row that took it, close. The first open row of a bucket can always be settled, so it ends."""
     keys = [*S.KEYS, "bucket", "Class"]
     place = [c for c in ("Local_X_Meters", "Local_Y_Meters", "Longitude", "Latitude") if c in rows.columns]
-    out = [*S.KEYS, "bucket", "Class", *place, "Camera"]
-    cameras = rows.groupBy(*keys).agg(F.min("Camera").alias("_a"), F.max("Camera").alias("_b"))
-    rows = rows.join(cameras, keys)
-    alone = rows.where("_a = _b").select(*out)
-    met = rows.where("_a <> _b").select(*out, "Track_ID", "ts_cs", "precision", F.floor(F.col("bucket") / 120).alias("_block"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bucket", "Class", "precision", "Camera", "Track_ID", "ts_cs"], ascending=[True, True, False, True, True, True])
-        keep = np.zeros(len(pdf), bool)
-        xs, ys, cams = pdf.Local_X_Meters.to_numpy(), pdf.Local_Y_Meters.to_numpy(), pdf.Camera.to_numpy()
-        start = 0
-        for (_, name), n in pdf.groupby(["bucket", "Class"], sort=False).size().items():
-            radius, kept, took = S.VEHICLE_RADIUS.get(name, S.OTHER_RADIUS), [], []
-            for i in range(start, start + n):
-                d = np.hypot(xs[kept] - xs[i], ys[kept] - ys[i]) if kept else np.zeros(0)
-                free = [(d[k], k) for k in np.flatnonzero(d <= radius) if cams[kept[k]] != cams[i] and cams[i] not in took[k]]
-                if free:
-                    took[min(free)[1]].add(cams[i])
-                else:
-                    keep[i] = True
-                    kept.append(i)
-                    took.append(set())
-            start += n
-        return pdf[keep][out]
-
-    found = met.groupBy(*S.KEYS, "_block", "Class").applyInPandas(match, met.select(*out).schema)
-    both = alone.unionByName(found)
-    return both.select(*S.KEYS, (F.col("bucket") * BUCKET / 100).alias("Timestamp"), "bucket", "Class", *place, F.col("Camera").alias("Source_Camera"))
+    group = lambda *more: Window.partitionBy(*keys, *more)
+    order = [F.desc("precision"), "Camera", "Track_ID", "ts_cs", "Local_X_Meters", "Local_Y_Meters"]
+    rows = cut(rows.withColumn("n", F.row_number().over(group().orderBy(*order))).select(*keys, *place, "Camera", "n"))
+    still, gone = cut(_pairs(rows, keys)), []
+    while True:
+        later = still.select(*keys, F.col("i").alias("k")).distinct()
+        ready = still.withColumns({
+            "_nearest": F.row_number().over(group("i").orderBy("d", "k")) == 1,
+            "_first": F.min("i").over(group("k", "Camera")) == F.col("i"),
+        })
+        settled = cut(ready.where("_nearest and _first").join(later, [*keys, "k"], "left_anti").select(*keys, "i", "k", "Camera"))
+        if settled.isEmpty():
+            break
+        gone.append(settled.select(*keys, F.col("i").alias("n")))
+        taken = gone[-1]
+        before, still = still, still.join(taken.withColumnRenamed("n", "i"), [*keys, "i"], "left_anti")
+        still = still.join(taken.withColumnRenamed("n", "k"), [*keys, "k"], "left_anti")
+        still = cut(still.join(settled.select(*keys, "k", "Camera"), [*keys, "k", "Camera"], "left_anti"))
+        drop_cut(before)
+    if gone:
+        rows = rows.join(reduce(DataFrame.unionByName, gone), [*keys, "n"], "left_anti")
+    return rows.select(*S.KEYS, (F.col("bucket") * BUCKET / 100).alias("Timestamp"), "bucket", "Class", *place, F.col("Camera").alias("Source_Camera"))
 
 
 def counts_over_time(composite: DataFrame, found: DataFrame, times: DataFrame, interval_s: int = S.INTERVAL_S) -> DataFrame:

@@ -638,9 +638,40 @@ def vehicles_single_camera(spark, sf_dir):
     return rows.groupBy(*S.KEYS, "bucket", "Class").agg(F.count("*").alias("n"), F.min("Camera").alias("Camera"), F.max("Camera").alias("_c")).where("Camera = _c").drop("_c")
 
 
-@query()
+def _vehicles_sql(rows: str) -> str:
+    """One row after the other by precision, with the kept ones and what each took as a list: no rounds, no pairs."""
+    group = f"{KEYS}, bucket, Class"
+    dist = "sqrt((v.x - r.Local_X_Meters) ** 2 + (v.y - r.Local_Y_Meters) ** 2)"
+    radius = " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.VEHICLE_RADIUS.items())
+    return f"""{PRECISE},
+vr AS MATERIALIZED ({rows}),
+vn AS MATERIALIZED (SELECT {group}, Camera, Local_X_Meters, Local_Y_Meters, CASE Class {radius} ELSE {S.OTHER_RADIUS} END AS radius,
+  row_number() OVER (PARTITION BY {group} ORDER BY precision DESC, Camera, Track_ID, ts_cs, Local_X_Meters, Local_Y_Meters) AS n FROM vr),
+st AS (SELECT {group}, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k BIGINT, x DOUBLE, y DOUBLE, cam VARCHAR, took VARCHAR[])[]) AS kept FROM (SELECT DISTINCT {group} FROM vn)
+  UNION ALL
+  SELECT {group}, n, CASE WHEN pick IS NULL THEN list_append(kept, {{'k': n, 'x': Local_X_Meters, 'y': Local_Y_Meters, 'cam': Camera, 'took': CAST([] AS VARCHAR[])}})
+    ELSE list_transform(kept, lambda v: {{'k': v.k, 'x': v.x, 'y': v.y, 'cam': v.cam, 'took': CASE WHEN v.k = pick THEN list_append(v.took, Camera) ELSE v.took END}}) END
+  FROM (SELECT r.*, s.kept, list_sort(list_transform(list_filter(s.kept, lambda v: v.cam <> r.Camera AND NOT list_contains(v.took, r.Camera) AND {dist} <= r.radius), lambda v: {{'d': {dist}, 'k': v.k}}))[1].k AS pick
+    FROM st s JOIN vn r ON {" AND ".join(f"s.{c} = r.{c}" for c in [*S.KEYS, "bucket", "Class"])} AND r.n = s.n + 1)),
+lst AS (SELECT {group}, unnest(kept) AS v FROM st JOIN (SELECT {group}, max(n) AS n FROM vn GROUP BY ALL) USING ({group}, n))
+SELECT {KEYS}, bucket * 50 / 100 AS Timestamp, bucket, Class, v.x AS Local_X_Meters, v.y AS Local_Y_Meters, v.cam AS Source_Camera FROM lst"""
+
+
+VEHICLE_ROWS = "SELECT * FROM pc WHERE Class NOT IN ('person', 'wheelchair')"
+
+
+@query(_vehicles_sql(f"SELECT * FROM ({VEHICLE_ROWS}) QUALIFY row_number() OVER (PARTITION BY {TRACK}, bucket ORDER BY precision DESC, ts_cs) = 1"), recursive=True)
 def vehicles_dedup(spark, sf_dir):
-    return presence.vehicles(presence.vehicle_rows(precise(spark, sf_dir), one_per_track=True))
+    """One row of a track in a bucket."""
+    rows = presence.vehicles(presence.vehicle_rows(precise(spark, sf_dir), one_per_track=True))
+    return rows.select(*S.KEYS, "Timestamp", "bucket", "Class", "Local_X_Meters", "Local_Y_Meters", "Source_Camera")
+
+
+@query(_vehicles_sql(VEHICLE_ROWS), recursive=True)
+def vehicles_each_row(spark, sf_dir):
+    """Every row counts: rows of one camera are different vehicles."""
+    rows = presence.vehicles(presence.vehicle_rows(precise(spark, sf_dir)))
+    return rows.select(*S.KEYS, "Timestamp", "bucket", "Class", "Local_X_Meters", "Local_Y_Meters", "Source_Camera")
 
 
 COUNTS = (
