@@ -10,12 +10,12 @@ doc_id, or earlier in the same one. Strings never cross documents and are judged
    a later copy and goes as a whole; tasks see to that for their own rows before the shuffle, so a
    passage that most documents share sends few rows. A gram with one context only is done. What is left are the first rows of each
    of several contexts of a gram: the edges of repeated passages.
-3. Their contexts are fetched from the texts, and each gram is a shard: its contexts' strings are put
-   in suffix order (prefix doubling up to SPAN bytes, equal ones by place). A string whose previous
-   smaller place in that order shares SPAN bytes has a longest previous factor of SPAN or more, and
-   goes. Grams with more than HOT contexts are not put into one task: their contexts' strings are
-   halved, and each half's contexts meet by the bytes that all its strings share, which tells more
-   of them apart; equal halves but the first go as a whole, and what still shares bytes with too
+3. Their contexts are fetched from the texts, once for rows that repeat a text, and each gram is a shard:
+   the suffixes of its contexts are put in suffix order (prefix doubling) with their common prefixes. The
+   previous and the next smaller place of a suffix in that order give its longest previous factor;
+   where that is SPAN or more, the string goes. Grams with more than HOT contexts are not put into one task:
+   their contexts' strings are halved, and each half's contexts meet by the bytes that all its strings share, which
+   tells more of them apart; equal halves but the first go as a whole, and what still shares bytes with too
    many others is halved again, down to single strings at most.
 4. The documents' removed stretches are united and cut from the texts.
 
@@ -123,13 +123,27 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copy = (doc != doc[first]) | (at != at[first])
         # a copy needs no meeting: its key is its own
         g = np.where(copy, mix(f + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), g)
-        back = np.lexsort((at, doc))
+        back = np.lexsort((f, g, text, at, doc))
+        # of equal rows of a document two go on, which tell that there are several
+        same = np.zeros(len(g), bool)
+        same[2:] = np.logical_and.reduce([c[back[2:]] == c[back[:-2]] for c in (doc, at, text, g, f)])
+        back = back[~same]
         yield pa.record_batch({"g": signed(g[back]), "f": signed(f[back]), "doc_id": pa.array(doc[back]), "t": pa.array(text[back]), "at": pa.array(at[back].astype(np.int32)), "sides": pa.array(sides[back].astype(np.int32)), "copy": pa.array(copy[back])})
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of doc_id, text, asked (structs of g, at, sides, hot) and t."""
+    """Rows of doc_id, text, asked (structs of g, at, sides, hot), t and whether such rows repeat: of
+    these a task reads one of each doc_id and t."""
+    read: set[tuple[int, int]] = set()
     for batch in batches:
+        again = batch.column(4).to_numpy(zero_copy_only=False)
+        if again.any():
+            fresh = ~again
+            for i in np.flatnonzero(again):
+                key = (batch.column(0)[i].as_py(), batch.column(3)[i].as_py())
+                fresh[i] = key not in read
+                read.add(key)
+            batch = batch.filter(pa.array(fresh))
         buf, offs = utf8(batch.column(1))
         asked = batch.column(2)
         flat, counts = asked.flatten(), np.diff(np.asarray(asked.offsets))
@@ -145,38 +159,95 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"g": flat.field("g").slice(i, j - i), "doc_id": batch.column(0).take(pa.array(row[i:j])), "t": batch.column(3).take(pa.array(row[i:j])), "start": pa.array(at[i:j] - sides[i:j] // 256), "at": pa.array(at[i:j]), "hot": flat.field("hot").slice(i, j - i), "context": ctx})
 
 
-def previous_factors(group: np.ndarray, doc: np.ndarray, start: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and place in it of each string whose longest previous factor, among the strings of its
-    group, is SPAN or more. Place in the corpus is doc, then start + place in the context."""
-    n = len(buf)
-    size = np.diff(offs)
+def suffix_order(group: np.ndarray, buf: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in buf of the suffixes of at least `least` bytes, by group and then in suffix order, and the
+    common prefix of each with the one before it (0 for the first of a group). A suffix ends with its context.
+
+    Prefix doubling: ranks by the first 7 bytes, then by twice as many, up to the longest context;
+    the ranks of all steps, read from the longest down, give the common prefixes."""
+    n, size = len(buf), np.diff(offs)
     row = np.repeat(np.arange(len(size)), size)
     left = offs[1:][row] - np.arange(n)
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : j + n]
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-    length = 8
-    while length < SPAN:
-        step = min(length, SPAN - length)
-        here = np.flatnonzero(left >= length + step)
-        pair = rank[here] * n + rank[here + step]
-        nxt = np.zeros(n, np.int64)
-        nxt[here] = np.unique(pair, return_inverse=True)[1]
-        rank, length = nxt, length + step
-    s = np.flatnonzero(left >= SPAN)
-    r = row[s]
-    place = start[r] + s - offs[r]
-    order = np.lexsort((place, doc[r], rank[s], group[r]))
-    s, r, place = s[order], r[order], place[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (rank[s[1:]] != rank[s[:-1]]) | (group[r[1:]] != group[r[:-1]])
-    if not len(s):
-        return r, s
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (doc[r] != doc[r[first]]) | (place != place[first])
-    return r[later], s[later] - offs[r[later]]
+    key, padded = np.zeros(n, np.int64), np.concatenate([buf.astype(np.int64) + 1, np.zeros(7, np.int64)])
+    for j in range(7):
+        key = (key << 9) | np.where(left > j, padded[j : j + n], 0)
+    length, ranks = 7, [(np.unique(key, return_inverse=True)[1] + 1).astype(np.int32)]
+    while length <= size.max(initial=0):
+        rank, second = ranks[-1], np.zeros(n, np.int64)
+        more = np.flatnonzero(left > length)
+        second[more] = rank[more + length]
+        ranks.append((np.unique(rank * np.int64(n + 1) + second, return_inverse=True)[1] + 1).astype(np.int32))
+        length *= 2
+    s = np.flatnonzero(left >= least)
+    s = s[np.lexsort((ranks[-1][s], group[row[s]]))]
+    common = np.zeros(len(s), np.int32)
+    pair = np.flatnonzero(group[row[s[1:]]] == group[row[s[:-1]]]) + 1
+    x, y = s[pair - 1], s[pair]
+    most, known = np.minimum(left[x], left[y]), np.zeros(len(pair), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        whole = np.flatnonzero(known + (7 << k) <= most)
+        alike = whole[ranks[k][x[whole] + known[whole]] == ranks[k][y[whole] + known[whole]]]
+        known[alike] += 7 << k
+    open_ = np.arange(len(pair))
+    for _ in range(6):
+        open_ = open_[known[open_] < most[open_]]
+        open_ = open_[buf[x[open_] + known[open_]] == buf[y[open_] + known[open_]]]
+        known[open_] += 1
+    common[pair] = known
+    return s, common
+
+
+def _with_smaller_before(place: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Common prefix of each suffix, in suffix order, with the previous smaller one: the nearest before it of smaller
+    `place`. 0 where there is none, or where less than `least` is shared on the way.
+
+    Least places and prefixes over 1, 2, 4, ... suffixes are kept, so all are searched at once, in as
+    many steps as the longest run of suffixes sharing `least` bytes has binary digits."""
+    m = len(place)
+    i = np.arange(m)
+    first = np.maximum.accumulate(np.where(common < least, i, 0)) if m else i
+    smallest, shared = [place], [common]
+    while 1 << len(smallest) <= (i - first).max(initial=0):
+        step, p, c = 1 << len(smallest) - 1, smallest[-1].copy(), shared[-1].copy()
+        p[step:] = np.minimum(p[step:], smallest[-1][:-step])
+        c[step:] = np.minimum(c[step:], shared[-1][:-step])
+        smallest.append(p)
+        shared.append(c)
+    at, out = i - 1, common.copy()
+    for k in range(len(smallest) - 1, -1, -1):
+        over = np.flatnonzero(at - (1 << k) + 1 >= first)
+        over = over[smallest[k][at[over]] >= place[over]]
+        out[over] = np.minimum(out[over], shared[k][at[over]])
+        at[over] -= 1 << k
+    out[at < first] = 0
+    return out
+
+
+def longest_previous_factors(group: np.ndarray, doc: np.ndarray, start: np.ndarray, buf: np.ndarray, offs: np.ndarray, least: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Places in buf where `least` bytes or more of a context are left, and the longest previous factor of each:
+    the most bytes from there on that also start at a smaller place of its group (0 if fewer than `least`).
+
+    Place in the corpus is doc, then start + place in the context. The longest earlier match of a suffix is
+    with its previous or its next smaller place in suffix order."""
+    s, common = suffix_order(group, buf, offs, least)
+    r = np.searchsorted(offs, s, "right") - 1
+    by = start[r] + s - offs[r]
+    order = np.lexsort((by, doc[r]))
+    new = np.zeros(len(s), np.int32)
+    new[1:] = (doc[r[order[1:]]] != doc[r[order[:-1]]]) | (by[order[1:]] != by[order[:-1]])
+    place = np.empty(len(s), np.int32)
+    place[order] = np.cumsum(new)
+    after = np.append(common[1:], np.int32(0))[: len(s)]  # with the one after it
+    factor = np.maximum(_with_smaller_before(place, common, least), _with_smaller_before(place[::-1], after[::-1], least)[::-1])
+    return s, factor
+
+
+def previous_factors(group: np.ndarray, doc: np.ndarray, start: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and place in it of each string whose longest previous factor in its group is SPAN or more."""
+    s, factor = longest_previous_factors(group, doc, start, buf, offs)
+    s = s[factor >= SPAN]
+    r = np.searchsorted(offs, s, "right") - 1
+    return r, s - offs[r]
 
 
 def _stretches(doc: np.ndarray, text: np.ndarray, r: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -259,8 +330,9 @@ def copied(docs: DataFrame) -> DataFrame:
     left, right = F.floor(F.col("sides") / 256).cast("long"), (F.col("sides") % 256).cast("long")
     whole = met.where("later").select("doc_id", "t", (F.col("at") - left).alias("a"), (F.col("at") + GRAM + right).alias("b"))
 
-    asked = met.where("not later").distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("g", "at", "sides", "hot")).alias("asked"))
-    contexts = docs.join(asked, ["doc_id", "t"]).select("doc_id", "text", "asked", "t").mapInArrow(_contexts, "g long, doc_id long, t long, start long, at long, hot boolean, context binary")
+    asked = met.where("not later").groupBy("doc_id", "t", "g", "at", "sides", "hot").agg(F.count("*").alias("rows"))
+    asked = asked.groupBy("doc_id", "t").agg(F.collect_list(F.struct("g", "at", "sides", "hot")).alias("asked"), (F.max("rows") > 1).alias("again"))
+    contexts = docs.join(asked, ["doc_id", "t"]).select("doc_id", "text", "asked", "t", "again").mapInArrow(_contexts, "g long, doc_id long, t long, start long, at long, hot boolean, context binary")
     contexts = cut(contexts)
     found = whole.unionByName(_in_order(contexts.where("not hot")))
     columns = ["doc_id", "start", "context", "at", "lo", "hi", "t"]
