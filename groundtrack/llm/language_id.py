@@ -7,7 +7,7 @@ Families of languages outside FAMILIES hold that language alone.
 Features: hashed n-grams (1 to 4) of the lowered text in which each run of characters other than
 letters is one space; square roots of counts, scaled to length 1; over whole texts, of which long
 ones are counted piece by piece without a seam. The machines
-(squared hinge loss, by accelerated gradient steps) are fitted on the driver on about SAMPLE labelled documents
+(squared hinge loss, by accelerated gradient steps) are fitted, on the driver or in one task, on about SAMPLE labelled documents
 (never more than twice as many), shared equally by the LANGUAGES most frequent labels and chosen by a hash of
 doc_id and text, so that rows of one id are drawn one by one; equal ones count once. Features are made in
 the tasks. Labels are read from rows whose crc32(doc_id) mod 5 is not 0 only.
@@ -21,6 +21,7 @@ repeat a doc_id each give a row; further columns are kept by `keep` and not read
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -128,6 +129,7 @@ class Model:
     languages: list[list[str]]  # of each family
     pairs: list[list[tuple[int, int]]]
     inner: list[np.ndarray]  # a machine for each pair of a family's languages
+    rows: int = 0  # documents that it was fitted on
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         margin = x @ self.top[:, :-1].T + self.top[:, -1]
@@ -166,17 +168,9 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"lang": part.column(0), "key": part.column(2), "x": pa.array([v.tobytes() for v in x[has].astype(np.float16)], pa.binary())})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return None
-    share = sample / len(counts)
-    rate = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))]), F.col("lang"))
-    chosen = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("key")).where(F.pmod("key", F.lit(1 << 30)) < rate * F.lit(1 << 30))
-    # as Arrow, since rows as objects would be on the driver several times over
-    rows = few(chosen.mapInArrow(_sample, "lang string, key long, x binary"), 2 * sample).toArrow().sort_by("key")
+def fit(rows: pa.Table) -> Model | None:
+    """The machines for a sample's features and labels, in the order of its keys."""
+    rows = rows.sort_by("key")
     if not rows.num_rows:
         return None
     x = np.empty((rows.num_rows, BINS), np.float32)
@@ -196,7 +190,32 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             own = (lang == names[a]) | (lang == names[b])
             machines.append(fit_svm(x[own], np.where(lang[own] == names[a], 1.0, -1.0)))
         inner.append(np.stack(machines) if machines else np.zeros((0, BINS + 1)))
-    return Model(families, top.astype(np.float32), languages, pairs, [w.astype(np.float32) for w in inner])
+    return Model(families, top.astype(np.float32), languages, pairs, [w.astype(np.float32) for w in inner], len(x))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a sample that is one task's rows, as bytes."""
+    held = list(batches)
+    model = fit(pa.Table.from_batches(held)) if held else None
+    if model:
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, in_task: bool = False) -> Model | None:
+    """The model of docs' labels, fitted here or, where the driver should not hold the sample, in one task."""
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
+        return None
+    share = sample / len(counts)
+    rate = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))]), F.col("lang"))
+    chosen = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("key")).where(F.pmod("key", F.lit(1 << 30)) < rate * F.lit(1 << 30))
+    rows = few(chosen.mapInArrow(_sample, "lang string, key long, x binary"), 2 * sample)
+    if not in_task:
+        return fit(rows.toArrow())  # as Arrow, since rows as objects would be on the driver several times over
+    model = rows.coalesce(1).mapInArrow(_fit, "model binary").first()
+    return pickle.loads(model[0]) if model else None
 
 
 def _predict(shared, keep: float | None):
@@ -236,4 +255,4 @@ def keep(docs: DataFrame, model: Model | None, least: float = 0.02) -> DataFrame
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: the language of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return predict(docs, train(docs))
+    return predict(docs, train(docs, in_task=True))
