@@ -15,7 +15,7 @@ from groundtrack.llm.common import cut, drop_cut
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep(docs, language_id.train(docs))
+    return language_id.keep(docs, language_id.train(docs, in_task=True))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
