@@ -11,8 +11,8 @@ doc_id, or earlier in the same one. Strings never cross documents and are judged
    passage that most documents share sends few rows. A gram with one context only is done. What is left are the first rows of each
    of several contexts of a gram: the edges of repeated passages.
 3. Their contexts are fetched from the texts, once for rows that repeat a text, and each gram is a shard:
-   the suffixes of its contexts are put in suffix order (prefix doubling) with their common prefixes. The
-   previous and the next smaller place of a suffix in that order give its longest previous factor;
+   the suffixes of its contexts whose first SPAN bytes come up again there, by hash, are put in suffix order, with their
+   common prefixes. The previous and the next smaller place of a suffix in that order give its longest previous factor;
    where that is SPAN or more, the string goes. Grams with more than HOT contexts are not put into one task:
    their contexts' strings are halved, and each half's contexts meet by the bytes that all its strings share, which
    tells more of them apart; equal halves but the first go as a whole, and what still shares bytes with too
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import _BYTE, _powers, cut, mix, prefix_sums, signed, slices, utf8
+from groundtrack.llm.common import _BYTE, _powers, cut, gathered, mix, prefix_sums, signed, slices, utf8
 
 SPAN, GRAM = 100, 32
 #: Bytes of a context on either side of its gram.
@@ -159,41 +159,40 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"g": flat.field("g").slice(i, j - i), "doc_id": batch.column(0).take(pa.array(row[i:j])), "t": batch.column(3).take(pa.array(row[i:j])), "start": pa.array(at[i:j] - sides[i:j] // 256), "at": pa.array(at[i:j]), "hot": flat.field("hot").slice(i, j - i), "context": ctx})
 
 
-def suffix_order(group: np.ndarray, buf: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in buf of the suffixes of at least `least` bytes, by group and then in suffix order, and the
-    common prefix of each with the one before it (0 for the first of a group). A suffix ends with its context.
-
-    Prefix doubling: ranks by the first 7 bytes, then by twice as many, up to the longest context;
-    the ranks of all steps, read from the longest down, give the common prefixes."""
-    n, size = len(buf), np.diff(offs)
-    row = np.repeat(np.arange(len(size)), size)
-    left = offs[1:][row] - np.arange(n)
-    key, padded = np.zeros(n, np.int64), np.concatenate([buf.astype(np.int64) + 1, np.zeros(7, np.int64)])
-    for j in range(7):
-        key = (key << 9) | np.where(left > j, padded[j : j + n], 0)
-    length, ranks = 7, [(np.unique(key, return_inverse=True)[1] + 1).astype(np.int32)]
-    while length <= size.max(initial=0):
-        rank, second = ranks[-1], np.zeros(n, np.int64)
-        more = np.flatnonzero(left > length)
-        second[more] = rank[more + length]
-        ranks.append((np.unique(rank * np.int64(n + 1) + second, return_inverse=True)[1] + 1).astype(np.int32))
-        length *= 2
-    s = np.flatnonzero(left >= least)
-    s = s[np.lexsort((ranks[-1][s], group[row[s]]))]
+def _shared_strings(group: np.ndarray, buf: np.ndarray, offs: np.ndarray, least: int) -> np.ndarray:
+    """Places in buf whose next `least` bytes are inside of a context and, by hash, come up again in the group."""
+    places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i, j in slices(offs, 1 << 19):
+        at = gathered(offs[i:j], np.maximum(0, np.diff(offs[i : j + 1]) - least + 1))
+        own = np.repeat(group[i:j], np.maximum(0, np.diff(offs[i : j + 1]) - least + 1))
+        base = at - offs[i]
+        places.append(at)
+        keys.append(mix(Hashes(buf[offs[i] : offs[j]]).of(base, base + least) ^ mix(own.astype(np.uint64))))
+    at, key = np.concatenate(places), np.concatenate(keys)
+    ordered = np.sort(key)
+    twice = np.append(ordered[1:][ordered[1:] == ordered[:-1]], np.uint64(0))
+    twice.sort()
+    return at[twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key]
+
+
+def suffix_order(group: np.ndarray, buf: np.ndarray, offs: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at s, by group and then in suffix order, and the common prefix of each
+    with the one before it (0 for the first of a group). A suffix ends with its context."""
+    r = np.searchsorted(offs, s, "right") - 1
+    left = offs[r + 1] - s
+    wide = int(left.max(initial=1))
+    padded = np.concatenate([buf, np.zeros(wide, np.uint8)])
+    suffix = np.lib.stride_tricks.sliding_window_view(padded, wide)[s]
+    suffix[np.arange(wide) >= left[:, None]] = 0
+    order = np.lexsort((left, suffix.view(f"S{wide}")[:, 0], group[r]))  # padding sorts first, a shorter one before its own zeros
+    s, suffix, left, group = s[order], suffix[order], left[order], group[r[order]]
     common = np.zeros(len(s), np.int32)
-    pair = np.flatnonzero(group[row[s[1:]]] == group[row[s[:-1]]]) + 1
-    x, y = s[pair - 1], s[pair]
-    most, known = np.minimum(left[x], left[y]), np.zeros(len(pair), np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        whole = np.flatnonzero(known + (7 << k) <= most)
-        alike = whole[ranks[k][x[whole] + known[whole]] == ranks[k][y[whole] + known[whole]]]
-        known[alike] += 7 << k
-    open_ = np.arange(len(pair))
-    for _ in range(6):
-        open_ = open_[known[open_] < most[open_]]
-        open_ = open_[buf[x[open_] + known[open_]] == buf[y[open_] + known[open_]]]
-        known[open_] += 1
-    common[pair] = known
+    for i in range(1, len(s), 1 << 16):
+        j = min(len(s), i + (1 << 16))
+        apart = suffix[i:j] != suffix[i - 1 : j - 1]
+        most = np.minimum(left[i:j], left[i - 1 : j - 1])
+        alike = np.minimum(np.where(apart.any(axis=1), apart.argmax(axis=1), wide), most)
+        common[i:j] = np.where(group[i:j] == group[i - 1 : j - 1], alike, 0)
     return s, common
 
 
@@ -224,12 +223,13 @@ def _with_smaller_before(place: np.ndarray, common: np.ndarray, least: int) -> n
 
 
 def longest_previous_factors(group: np.ndarray, doc: np.ndarray, start: np.ndarray, buf: np.ndarray, offs: np.ndarray, least: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Places in buf where `least` bytes or more of a context are left, and the longest previous factor of each:
-    the most bytes from there on that also start at a smaller place of its group (0 if fewer than `least`).
+    """Places in buf, and the longest previous factor of each: the most bytes from there on to its context's end
+    that also start at a smaller place of its group (0 if fewer than `least`). Places whose next `least` bytes
+    do not come up again in their group, by hash, have none and are left out before the sort.
 
     Place in the corpus is doc, then start + place in the context. The longest earlier match of a suffix is
     with its previous or its next smaller place in suffix order."""
-    s, common = suffix_order(group, buf, offs, least)
+    s, common = suffix_order(group, buf, offs, _shared_strings(group, buf, offs, least))
     r = np.searchsorted(offs, s, "right") - 1
     by = start[r] + s - offs[r]
     order = np.lexsort((by, doc[r]))

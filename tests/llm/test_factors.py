@@ -17,7 +17,7 @@ def test_longest_previous_factors(seed):
     k, least = int(r.integers(0, 8)), int(r.integers(1, 9))
     sizes = r.integers(0, 60, k)
     offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    buf = r.integers(97, 97 + int(r.integers(1, 4)), offs[-1]).astype(np.uint8)
+    buf = r.integers(first := int(r.choice([0, 97])), first + int(r.integers(1, 4)), offs[-1]).astype(np.uint8)
     group, doc, start = np.sort(r.integers(0, 3, k)), r.integers(0, 3, k), r.integers(0, 20, k)
     s, factor = suffix_dedup.longest_previous_factors(group, doc, start, buf, offs, least)
     contexts = [buf[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
@@ -30,7 +30,8 @@ def test_longest_previous_factors(seed):
                 x, y = contexts[i][j:], contexts[a][b:]
                 longest = max(longest, next((n for n, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))))
         want[offs[i] + j] = longest if longest >= least else 0
-    assert dict(zip(s.tolist(), factor.tolist(), strict=True)) == want
+    got = dict(zip(s.tolist(), factor.tolist(), strict=True))
+    assert got.keys() <= want.keys() and {k: got.get(k, 0) for k in want} == want
 
 
 def test_long_runs_of_shared_bytes():
