@@ -4,15 +4,20 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 num / den. Every step is exact (up to collisions of 64-bit hashes):
 
 1. Documents with equal sets collapse to one representative, so copies cost nothing further.
-2. Shards. With T the least overlap of a set of n shingles, two sets that link share one of the
-   n - T + 1 shingles that come first in each by any one order; by rising number of sets that hold
-   them, these are the rare ones, and shingles of one set alone, which come before all others, need
-   not be looked at again. The numbers are exact: tasks send their shingles, once for each set,
-   packed by ranges of the shingles' hashes; a range's task counts them and sends on those of two or
-   more sets, packed by ranges of the sets' hashes. Shingles that fill up a range (a phrase in a
-   third of the documents) come last in the order, by hash, and are not sent; they are told by
-   their counts in slices of the first pass. Sets that share a first shingle are chained, and the
-   components of these chains are the shards: no link crosses them.
+2. Shards. The range of hashes is cut into 2^c equal parts, and the shingles of a set in one part
+   are a piece of it. Two sets that link differ in at most d = n (den - num) / num shingles, n the
+   size of either, so in at most d pieces, and share one of the d + 1 pieces that come first in each
+   by any one order; by rising number of sets that hold them, these are the rare ones, and pieces of
+   one set alone, which come before all others, need not be looked at again. c grows with n, so that
+   pieces are larger where fewer shingles may differ, and there are some 2 d of them or more; sets
+   whose lesser partners have another c are cut by that as well, as another set. Linked sets that
+   share no piece have d or fewer both, and sets of so few (hardly any) have one more piece, the same
+   for all. The numbers are exact: tasks send their pieces' hashes, once for each set, packed by ranges of these; a range's
+   task counts them and sends on those of two or more sets, packed by ranges of the sets' hashes.
+   Pieces that fill up a range (a phrase in a third of the documents) come last in the order, by
+   hash, and are not sent; they are told by their counts in slices of the first pass. Sets that
+   share a first piece are chained, and the components of these chains are the shards: no link
+   crosses them.
 3. In a shard, an inverted index from shingle to documents answers each document's T-occurrence
    query: with T the least overlap, its L longest lists are put aside, the short ones are merged
    and counted, those reaching T - L are probed in the long lists. (Where most documents of a list
@@ -40,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundtrack.llm.common import SLICE_BYTES, components, cut, drop_cut, fresh, join_back, mix, prefix_sums, shingles, signed, slices, stars, utf8, words
+from groundtrack.llm.common import SLICE_BYTES, components, cut, drop_cut, fresh, gathered, join_back, mix, prefix_sums, shingles, signed, slices, stars, utf8, words
 
 #: Shingles in one block of an inverted index.
 BLOCK = 1 << 20
-#: Shingles in a range of their hashes, and of the sets in a range of these.
+#: Pieces in a range of their hashes, and of the sets in a range of these.
 RANGE = 1 << 20
-#: At most so many shingles are taken as common ones: 1 MB of hashes in each task.
+#: Sets are cut by 2^5 parts of the hashes at least, else many a small set would fill no more than differ.
+LEAST_LEVEL = 5
+#: At most so many pieces are taken as common ones: 1 MB of hashes in each task.
 COMMON = 1 << 17
 #: Common ones are in so many distinct sets of a slice, in more slices than this: they would fill an eighth of a range.
 OFTEN = 8
@@ -54,19 +61,51 @@ OFTEN_SLICES = RANGE // 8 // OFTEN
 
 
 def _set_hashes(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set, from sums over its shingles."""
+    """Two hashes of each set, from sums over its shingles; the first one's last bit is 0, for `_pieces`."""
     c1, c2 = prefix_sums(s), prefix_sums(mix(s + np.uint64(77)))
-    return mix(c1[offs[1:]] - c1[offs[:-1]]), mix(c2[offs[1:]] - c2[offs[:-1]])
+    return mix(c1[offs[1:]] - c1[offs[:-1]]) & ~np.uint64(1), mix(c2[offs[1:]] - c2[offs[:-1]])
 
 
 def _short(s: np.ndarray) -> np.ndarray:
-    """48 bits of a shingle's hash: by these shingles are counted, ordered and met."""
+    """48 bits of a piece's hash: by these pieces are counted, ordered and met."""
     return s >> np.uint64(16)
 
 
-def _profile(k: int):
-    """Size and hashes of each row's set; the first row of a slice also tells the shingles that
-    OFTEN of its distinct sets hold."""
+def _level(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """c: sets of n shingles are cut by 2^c parts of the hashes, the least that are 2 n (den - num) / num
+    or more. Sets that link have the same c or neighbouring ones."""
+    step = max(1, (-(-den // num) - 1).bit_length())
+    _, c = np.frexp(np.maximum(-(-2 * n * (den - num) // num), 1) - 1)
+    return -(-np.maximum(c, LEAST_LEVEL).astype(np.int64) // step) * step
+
+
+def _pieces(s: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Hashes of the pieces of each set that others can be linked with, the offsets of the sets in these,
+    each one's row, how many of its pieces come first (d + 1), and 1 where it is cut by its least partners' c."""
+    n = np.diff(offs)
+    own, least = _level(n, num, den), _level(-(-n * num // den), num, den)
+    most = n * (den - num) // num
+    row = np.concatenate([np.flatnonzero(most > 0), np.flatnonzero((most > 0) & (least < own))])
+    again = np.arange(len(row)) >= int((most > 0).sum())
+    level = np.where(again, least[row], own[row]).astype(np.uint64)
+    x, of = s[gathered(offs[row], n[row])], np.repeat(np.arange(len(row)), n[row])
+    part = x >> (np.uint64(63) - level[of]) >> np.uint64(1)
+    new = np.ones(len(x), bool)
+    new[1:] = (of[1:] != of[:-1]) | (part[1:] != part[:-1])
+    at = np.flatnonzero(new)
+    p = mix((np.add.reduceat(mix(x + np.uint64(78)), at) if len(at) else x) + level[of[at]])
+    ends = np.searchsorted(of[at], np.arange(len(row) + 1))
+    few = np.diff(ends) <= most[row]
+    p = np.insert(p, ends[1:][few], mix(mix(level[few] + np.uint64(79))))
+    return p, ends + np.concatenate([[0], np.cumsum(few)]), row, most[row] + 1, again.astype(np.uint64)
+
+
+_PROFILE = "doc_id long, n long, h1 long, h2 long, pieces long, often array<long>"
+
+
+def _profile(k: int, num: int, den: int):
+    """Size, hashes and number of pieces of each row's set; the first row of a slice also tells the
+    pieces that OFTEN of its distinct sets hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +116,12 @@ def _profile(k: int):
                 h1, h2 = _set_hashes(s, soffs)
                 first = np.zeros(b - a, bool)
                 first[np.unique(h1, return_index=True)[1]] = True
-                ids, times = np.unique(_short(s[np.repeat(first, np.diff(soffs))]), return_counts=True)
+                p, poffs, row, _, _ = _pieces(s, soffs, num, den)
+                ids, times = np.unique(_short(p[np.repeat(first[row], np.diff(poffs))]), return_counts=True)
+                pieces = np.bincount(row, np.diff(poffs), b - a).astype(np.int64)
                 often = ids[times >= OFTEN]
                 tell = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.full(b - a, len(often))]).astype(np.int32)), signed(often))
-                yield pa.record_batch({"doc_id": batch.column(0).slice(a, b - a), "n": pa.array(np.diff(soffs)), "h1": signed(h1), "h2": signed(h2), "often": tell})
+                yield pa.record_batch({"doc_id": batch.column(0).slice(a, b - a), "n": pa.array(np.diff(soffs)), "h1": signed(h1), "h2": signed(h2), "pieces": pa.array(pieces), "often": tell})
 
     return run
 
@@ -98,7 +139,7 @@ _PACKED = "part long, low binary, high binary, who binary, h1 binary, room binar
 
 
 def _packed(part: np.ndarray, ids: np.ndarray, owner: np.ndarray, h1: np.ndarray, room: np.ndarray) -> Iterator[dict]:
-    """A row for each part: shingles and, by a dictionary, the sets' hashes and room. Parts are sorted."""
+    """A row for each part: pieces and, by a dictionary, the sets' hashes and room. Parts are sorted."""
     ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
     a = 0
     for b in ends if len(part) else ():
@@ -115,7 +156,7 @@ def _packed(part: np.ndarray, ids: np.ndarray, owner: np.ndarray, h1: np.ndarray
 
 
 def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Shingle, set hash and room of all entries of packed rows."""
+    """Piece, set hash and room of all entries of packed rows."""
     ids, h1, room = [], [], []
     for low, high, who, own, left in zip(rows.low, rows.high, rows.who, rows.h1, rows.room, strict=True):
         low = np.frombuffer(low, np.uint32)
@@ -132,17 +173,17 @@ def _range_of(x: np.ndarray, bits: int, parts: int) -> np.ndarray:
 
 
 def _deal(k: int, num: int, den: int, common: np.ndarray, parts: int):
-    """Packed rows of all shingles but common ones, by range. room is how many of the shingles that
+    """Packed rows of all pieces but common ones, by range. room is how many of the pieces that
     other sets hold as well come first at most, once all of them but the common ones are ahead:
-    the length of the beginning less the shingles that are not common. Where room is left for
+    the length of the beginning less the pieces that are not common. Where room is left for
     common ones, these follow as rows of parts from the number of ranges on."""
 
-    def flush(sets: list[np.ndarray], h1: list[np.uint64]) -> pa.RecordBatch:
+    def flush(sets: tuple[np.ndarray, ...], first: tuple[int, ...], h1: list[int]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets], np.int64)
         ids, owner, hashes = _short(np.concatenate(sets)), np.repeat(np.arange(len(n)), n), np.array(h1, np.uint64)
         at = np.minimum(np.searchsorted(common, ids), max(0, len(common) - 1))
         is_common = common[at] == ids if len(common) else np.zeros(len(ids), bool)
-        room = n - -(-n * num // den) + 1 - (n - np.bincount(owner[is_common], minlength=len(n)))
+        room = np.array(first, np.int64) - (n - np.bincount(owner[is_common], minlength=len(n)))
         rest, who = ids[~is_common], owner[~is_common]
         order = np.argsort(rest, kind="stable")
         rest, who = rest[order], who[order]
@@ -151,35 +192,36 @@ def _deal(k: int, num: int, den: int, common: np.ndarray, parts: int):
         order = np.lexsort((last, who))
         last, who = last[order], who[order]
         nth = np.arange(len(who)) - np.searchsorted(who, who)
-        first = nth < room[who]
-        rows += _packed(np.full(int(first.sum()), parts + int(hashes[0] % np.uint64(parts))), last[first], who[first], hashes, room)
+        begin = nth < room[who]
+        rows += _packed(np.full(int(begin.sum()), parts + int(hashes[0] % np.uint64(parts))), last[begin], who[begin], hashes, room)
         return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64())] + [(c, pa.binary()) for c in ("low", "high", "who", "h1", "room")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}  # of equal sets, one speaks for all
+        sets: dict[int, tuple[np.ndarray, int]] = {}  # of equal sets, one speaks for all
         size = 0
         for batch in batches:
             buf, offs = utf8(batch.column(0))
             for a, b in slices(offs, SLICE_BYTES // 2):
                 h, _, woffs = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 s, soffs = shingles(h, woffs, k)
-                h1, _ = _set_hashes(s, soffs)
-                for i in np.flatnonzero(np.diff(soffs)):
-                    if int(h1[i]) not in sets:
-                        sets[int(h1[i])] = s[soffs[i] : soffs[i + 1]]
-                        size += int(soffs[i + 1] - soffs[i])
+                p, poffs, row, first, again = _pieces(s, soffs, num, den)
+                h1 = _set_hashes(s, soffs)[0][row] | again
+                for i, own in enumerate(h1.tolist()):
+                    if own not in sets:
+                        sets[own] = p[poffs[i] : poffs[i + 1]], int(first[i])
+                        size += int(poffs[i + 1] - poffs[i])
                 if size >= RANGE // 2:
-                    yield flush(list(sets.values()), list(sets))
+                    yield flush(*zip(*sets.values(), strict=True), list(sets))
                     sets, size = {}, 0
         if sets:
-            yield flush(list(sets.values()), list(sets))
+            yield flush(*zip(*sets.values(), strict=True), list(sets))
 
     return run
 
 
 def _count(parts: int):
-    """Entries of a range of shingles that two or more sets hold, packed by range of the sets. Common
-    shingles go on as they are, under negative parts."""
+    """Entries of a range of pieces that two or more sets hold, packed by range of the sets. Common
+    pieces go on as they are, under negative parts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows.part.iloc[0] >= parts:
@@ -213,22 +255,23 @@ def _count(parts: int):
 
 
 def _first_ones(rows: pd.DataFrame) -> pd.DataFrame:
-    """g and h1: shingles at the beginning of each set of a range that other sets hold as well."""
+    """g and h1: pieces at the beginning of each set of a range that other sets hold as well."""
     ids, h1, room = _unpacked(rows)
+    node = (h1 & ~np.uint64(1)).view(np.int64)
     if rows.part.iloc[0] < 0:
-        return pd.DataFrame({"g": ids.view(np.int64), "h1": h1.view(np.int64)}).drop_duplicates()
+        return pd.DataFrame({"g": ids.view(np.int64), "h1": node}).drop_duplicates()
     times = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.times])
     order = np.lexsort((ids, times, h1))
-    ids, h1, room = ids[order], h1[order], room[order]
+    ids, h1, room, node = ids[order], h1[order], room[order], node[order]
     start = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
     met = np.diff(np.append(start, len(h1)))
     nth = np.arange(len(h1)) - np.repeat(start, met) + 1
     first = nth - np.repeat(met, met) <= room
-    return pd.DataFrame({"g": ids[first].view(np.int64), "h1": h1[first].view(np.int64)})
+    return pd.DataFrame({"g": ids[first].view(np.int64), "h1": node[first]})
 
 
 def _shards(texts: DataFrame, often: DataFrame, total: int, k: int, num: int, den: int) -> DataFrame:
-    """node (the hash of a set) and component, for sets that share a shingle of their beginnings."""
+    """node (the hash of a set) and component, for sets that share a piece of their beginnings."""
     ranges = max(1, -(-total // RANGE))
     common = often.groupBy("id").agg(F.count("*").alias("slices")).where(f"slices > {OFTEN_SLICES}")
     common = common.orderBy(F.desc("slices"), "id").limit(COMMON).collect()
@@ -352,10 +395,11 @@ def _search(num: int, den: int):
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links) and n_links of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    told = cut(docs.mapInArrow(_profile(k), "doc_id long, n long, h1 long, h2 long, often array<long>"))
-    seen = told.drop("often")
-    reps = cut(seen.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n")))
-    total = reps.agg(F.sum("n")).first()[0] or 0
+    told = cut(docs.mapInArrow(_profile(k, num, den), _PROFILE))
+    seen = told.drop("pieces", "often")
+    told_sets = told.where("n > 0").groupBy("h1", "h2")
+    reps = cut(told_sets.agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("pieces").alias("pieces")))
+    total = reps.agg(F.sum("pieces")).first()[0] or 0
     # sets go by their hash, so that copies which tasks have not seen together meet as one
     shard = _shards(docs.select("text"), told.select(F.explode("often").alias("id")), total, k, num, den)
 
@@ -408,7 +452,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: components over links of 3-word shingles at a similarity of 0.9; a row without doc_id is in
     no component, and its set is counted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    nameless = docs.where("doc_id is null").mapInArrow(_profile(3), "doc_id long, n long, h1 long, h2 long, often array<long>")
+    nameless = docs.where("doc_id is null").mapInArrow(_profile(3, 90, 100), _PROFILE)
     none = F.lit(None).cast("long")
     nameless = nameless.select("doc_id", F.col("n").alias("n_shingles"), none.alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return jaccard_components(docs, 3, 90, 100).unionByName(nameless)

@@ -6,6 +6,8 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from groundtrack.llm import decontaminate, jaccard_join, language_id, line_dedup, source_mix
@@ -71,6 +73,39 @@ def test_jaccard_with_common_shingles_and_small_ranges(spark, monkeypatch):
         assert sorted(map(tuple, got)) == brute_components(texts, k, num, 100)
 
 
+@pytest.mark.parametrize(("num", "least"), [(90, 5), (80, 5), (90, 0), (80, 0), (60, 0), (40, 0)])
+def test_jaccard_linked_sets_share_a_first_piece(monkeypatch, num, least):
+    monkeypatch.setattr(jaccard_join, "LEAST_LEVEL", least)
+    r, links = np.random.default_rng(num), 0
+    for _ in range(1500):
+        a = np.unique(r.integers(0, 1 << 64, r.integers(1, 120), dtype=np.uint64))
+        kept = a[r.random(len(a)) > r.choice([0, 0.03, 0.1, 0.2])]
+        b = np.unique(np.concatenate([kept, r.integers(0, 1 << 64, r.integers(0, 2 + len(a) // 6), dtype=np.uint64)]))
+        both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if both == either or 100 * both < num * either or not both:
+            continue
+        links += 1
+        p, offs, row, first, _ = jaccard_join._pieces(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, 100)
+        parts = [(row[i], p[offs[i] : offs[i + 1]].tolist(), first[i]) for i in range(len(row))]
+        shared = set.intersection(*({x for w, own, _ in parts if w == side for x in own} for side in (0, 1)))
+        for order in (lambda x: x, lambda x: -x, lambda x: (x in shared, x)):  # the last one is the worst
+            begin = [{x for w, own, n in parts if w == side for x in sorted(own, key=order)[:n]} for side in (0, 1)]
+            assert begin[0] & begin[1]
+    assert links > 200
+
+
+def test_jaccard_deals_less_than_its_shingles():
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.2, 700) % 3000) for _ in range(400)]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    dealt = pd.concat(x.to_pandas() for x in jaccard_join._deal(3, 90, 100, np.zeros(0, np.uint64), 4)(iter([batch])))
+    entries = sum(len(x) for x in dealt.low) // 4
+    total = sum(len(set(zip(w, w[1:], w[2:], strict=False))) for w in (t.split() for t in texts))
+    assert entries < 0.5 * total
+    passed = pd.concat(jaccard_join._count(4)(rows) for _, rows in dealt.groupby("part"))
+    assert sum(len(x) for x in passed.low) // 4 < 0.05 * total
+
+
 def test_jaccard_query_keeps_rows_without_id(spark, tmp_path):
     rows = [(None, "a b c d", "en", "s", "x"), (None, None, "en", "s", "x"), (3, "a b c d", "en", "s", "x")]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
