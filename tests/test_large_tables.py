@@ -50,3 +50,19 @@ def test_rows_of_events_are_never_broadcast(spark, sf_dir, monkeypatch, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bar)
     assert not [part for plan in plans for part in broadcasts(plan) if "events.parquet" in part]
+
+
+def test_rows_meet_segments_of_their_block_only(spark):
+    """A camera of 300 recordings: as a walk says, without a join that pairs a row with each of them."""
+    dice = random.Random(3)
+    starts = sorted({round(dice.uniform(0, 50_000), 1) for _ in range(300)})
+    seg = [("s", "d", "c", n, at, at * 2 - 5) for n, at in enumerate(starts)]
+    times = [round(dice.uniform(-500, 60_000), 2) for _ in range(2000)] + [starts[7], starts[-1], 0.0]
+    rows = spark.createDataFrame([("s", "d", c, n, t) for n, t in enumerate(times) for c in ("c", "other")], "site_id string, session_id string, Camera string, Track_ID long, video_s double")
+    got = detections.on_session_clock(rows, spark.createDataFrame(seg, "site_id string, session_id string, Camera string, segment long, from_s double, start_s double"))
+    assert "video_s" not in "".join(x for x in plan_of(got).splitlines() if "Join" in x)
+    want = []
+    for n, t in enumerate(times):
+        k = max([i for i, at in enumerate(starts) if at <= t], default=0)
+        want += [("c", n + k * 1_000_000, round(starts[k] * 2 - 5 + t - starts[k], 6)), ("other", n, t)]
+    assert sorted((r.Camera, r.Track_ID, round(r.session_s, 6)) for r in got.collect()) == sorted(want)
