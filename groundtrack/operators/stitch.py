@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundtrack import schema as S
-from groundtrack.operators.components import components, cut
+from groundtrack.operators.components import bundle, components, cut
 from groundtrack.operators.matching import sparse_assign
 
 CAMERA = [*S.KEYS, "Camera"]
@@ -18,7 +19,7 @@ def track_ends(df: DataFrame) -> DataFrame:
     """t0, x0, y0, t1, x1, y1 of each track and its end velocity: mean of the last fifth less mean of
     the first fifth of its last second, null for less than 0.25 s."""
     df = df.where(F.col("Local_X_Meters").isNotNull())
-    track = Window.partitionBy(*S.TRACK)
+    track = Window.partitionBy(*S.TRACK[::-1])
     tail = df.withColumn("_last", F.max("ts_cs").over(track)).where(F.col("_last") - F.col("ts_cs") <= 100)
     up = track.orderBy("ts_cs")
     tail = tail.withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count("*").over(track))
@@ -86,11 +87,19 @@ def parts(edges: DataFrame, most: int = 20_000) -> DataFrame:
 def matched(edges: DataFrame, most: int = 20_000) -> DataFrame:
     """The edges of a largest one-to-one matching of each camera's ends and starts, of least total error.
 
-    A part's edges are matched in one task, in memory that follows their number."""
+    A part's edges are matched in one task, in memory that follows their number. An edge that is alone in
+    its part is its matching; the other parts, mostly of a few edges each, share calls of some ten thousand."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        return pdf.iloc[sparse_assign(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.error.to_numpy())]
-
-    rows = parts(edges, most)
-    return rows.groupBy(*CAMERA, "part").applyInPandas(solve, rows.schema).drop("part")
+        pdf = pdf.sort_values([*CAMERA, "part", "a", "b"], ignore_index=True)
+        new = (pdf[[*CAMERA, "part"]] != pdf[[*CAMERA, "part"]].shift()).any(axis=1).to_numpy()
+        a, b, error, chosen = pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.error.to_numpy(), []
+        at = np.flatnonzero(new)
+        for i, j in zip(at, [*at[1:], len(pdf)], strict=True):
+            chosen.append(i + np.asarray(sparse_assign(a[i:j], b[i:j], error[i:j]), np.int64))
+        return pdf.iloc[np.concatenate(chosen)]
+
+    rows = cut(parts(edges, most).withColumn("_n", F.count("*").over(Window.partitionBy("part", *CAMERA[::-1]))))
+    alone, several = rows.where("_n = 1").drop("_n"), rows.where("_n > 1").drop("_n")
+    solved = several.groupBy(bundle(several.count(), "part", *CAMERA).alias("_bundle")).applyInPandas(solve, several.schema)
+    return alone.unionByName(solved).drop("part")

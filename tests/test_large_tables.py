@@ -1,5 +1,6 @@
 """What keeps the movement queries within a driver's and a disk's means on larger tables."""
 
+import itertools
 import random
 
 import pytest
@@ -20,7 +21,7 @@ def broadcasts(plan: str) -> list[str]:
             depth = line.index("BroadcastExchange")
             below = [line]
             for x in lines[i + 1 :]:
-                if len(x) - len(x.lstrip(" :+-*")) <= depth - 1:
+                if len(x) - len(x.lstrip(" :+-*")) <= depth:
                     break
                 below.append(x)
             found.append("\n".join(below))
@@ -66,3 +67,24 @@ def test_rows_meet_segments_of_their_block_only(spark):
         k = max([i for i, at in enumerate(starts) if at <= t], default=0)
         want += [("c", n + k * 1_000_000, round(starts[k] * 2 - 5 + t - starts[k], 6)), ("other", n, t)]
     assert sorted((r.Camera, r.Track_ID, round(r.session_s, 6)) for r in got.collect()) == sorted(want)
+
+
+def test_small_parts_share_calls(spark, monkeypatch):
+    """Breaks alone in their part are matched without Python, and the other parts are bundled, with the same choice."""
+    dice = random.Random(5)
+    edges = [("s", "d", f"cam{n % 3}", n * 10 + a, n * 10 + 5 + b, n * 1000 + 1, n * 1000 + 2, round(dice.random(), 6)) for n in range(60) for a in range(1 + n % 3) for b in range(1 + n % 2)]
+    df = spark.createDataFrame(edges, "site_id string, session_id string, Camera string, a long, b long, t1 long, t0 long, error double")
+    got = stitch.matched(df)
+    assert "_bundle" in plan_of(got) and "_n" in plan_of(got)
+    best = {}
+    for n in range(60):
+        own = [e for e in edges if e[3] // 10 == n]
+        lefts, rights = sorted({e[3] for e in own}), sorted({e[4] for e in own})
+        cost = {(e[3], e[4]): e[7] for e in own}
+        few, many = (lefts, rights) if len(lefts) <= len(rights) else (rights, lefts)
+        pairs = [list(zip(few, p, strict=True)) for p in itertools.permutations(many, len(few))]
+        pairs = [[q if few is lefts else q[::-1] for q in p] for p in pairs]
+        best[n] = min(sum(cost[q] for q in p) for p in pairs)
+    rows = got.collect()
+    total = {n: sum(r.error for r in rows if r.a // 10 == n) for n in range(60)}
+    assert all(abs(total[n] - best[n]) < 1e-9 for n in range(60))
