@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundtrack import schema as S
-from groundtrack.operators.components import cut, drop_cut
+from groundtrack.operators.components import cut, drop_cut, sized
 from groundtrack.operators.identities import BUCKET, bucket_of
 from groundtrack.operators.views import height
 
@@ -61,21 +61,21 @@ def vehicle_rows(df: DataFrame, one_per_track: bool = False) -> DataFrame:
     rows = df.where((F.col("Class") != "person") & ~F.col("Class").isin(*S.DEFERRED) & F.col("Local_X_Meters").isNotNull())
     rows = rows.withColumn("bucket", bucket_of(F.col("ts_cs")))
     if one_per_track:
-        w = Window.partitionBy(*S.TRACK, "bucket").orderBy(F.col("precision").desc(), "ts_cs")
+        w = Window.partitionBy(*S.TRACK[::-1], "bucket").orderBy(F.col("precision").desc(), "ts_cs")
         rows = rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
     return rows
 
 
-def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Later row i and earlier row k of a group, of different cameras and within the class's radius d: rows
-    meet in neighbouring cells of that size, so a pair is made once and far rows never meet."""
+    meet in neighbouring cells of that size, so a pair is made once and far rows never meet. n: rows at most."""
     radius = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in S.VEHICLE_RADIUS.items() for v in pair]), F.col("Class")), F.lit(S.OTHER_RADIUS))
     cell = lambda c: F.floor(F.col(c) / F.col("radius"))
     side = rows.withColumn("radius", radius).select(*keys, "n", "radius", "Camera", F.col("Local_X_Meters").alias("x"), F.col("Local_Y_Meters").alias("y"))
     near = lambda c: F.explode(F.array(*[c + F.lit(step) for step in (-1, 0, 1)]))
     left = side.withColumn("cx", near(F.floor(F.col("x") / F.col("radius")))).withColumn("cy", near(F.floor(F.col("y") / F.col("radius"))))
     right = side.select(*keys, F.col("n").alias("k"), F.col("Camera").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    met = left.join(right, [*keys, "cx", "cy"]).where("k < n and other <> Camera")
+    met = left.join(sized(right, n), [*keys, "cx", "cy"]).where("k < n and other <> Camera")
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     return met.withColumn("d", F.sqrt(dx * dx + dy * dy)).where("d <= radius").select(*keys, F.col("n").alias("i"), "Camera", "k", "d")
 
@@ -88,30 +88,38 @@ def vehicles(rows: DataFrame) -> DataFrame:
     pair is left in which it is the later one. A pair is settled when its earlier row stays for sure, it is the
     later row's nearest open pair, and no more precise row of that camera has an open pair with the earlier one:
     nothing that comes before could still take either side. Then the pairs of the absorbed row, and those of its
-    camera with the row that took it, close. The first open row of a bucket can always be settled, so it ends."""
-    keys = [*S.KEYS, "bucket", "Class"]
+    camera with the row that took it, close. The first open row of a bucket can always be settled, so it ends.
+
+    Only rows of buckets that several cameras see look for pairs. What a round joins is counted first: a few
+    megabytes of a cut's files may hold millions of pairs, which no driver could hold."""
+    keys = ["bucket", "Class", *S.KEYS]
     place = [c for c in ("Local_X_Meters", "Local_Y_Meters", "Longitude", "Latitude") if c in rows.columns]
-    group = lambda *more: Window.partitionBy(*keys, *more)
+    group = lambda *more: Window.partitionBy("bucket", *more, *keys[1:])
     order = [F.desc("precision"), "Camera", "Track_ID", "ts_cs", "Local_X_Meters", "Local_Y_Meters"]
-    rows = cut(rows.withColumn("n", F.row_number().over(group().orderBy(*order))).select(*keys, *place, "Camera", "n"))
-    still, gone = cut(_pairs(rows, keys)), []
+    numbered = rows.withColumns({"n": F.row_number().over(group().orderBy(*order)), "_shared": F.min("Camera").over(group()) != F.max("Camera").over(group())})
+    rows = cut(numbered.select(*keys, *place, "Camera", "n", "_shared"))
+    shared = rows.where("_shared")
+    still, gone = cut(_pairs(shared, keys, shared.count())), []
     while True:
+        open_ = still.count()
         later = still.select(*keys, F.col("i").alias("k")).distinct()
         ready = still.withColumns({
             "_nearest": F.row_number().over(group("i").orderBy("d", "k")) == 1,
             "_first": F.min("i").over(group("k", "Camera")) == F.col("i"),
         })
-        settled = cut(ready.where("_nearest and _first").join(later, [*keys, "k"], "left_anti").select(*keys, "i", "k", "Camera"))
-        if settled.isEmpty():
+        settled = cut(ready.where("_nearest and _first").join(sized(later, open_), [*keys, "k"], "left_anti").select(*keys, "i", "k", "Camera"))
+        n = settled.count()
+        if not n:
             break
-        gone.append(settled.select(*keys, F.col("i").alias("n")))
-        taken = gone[-1]
-        before, still = still, still.join(taken.withColumnRenamed("n", "i"), [*keys, "i"], "left_anti")
-        still = still.join(taken.withColumnRenamed("n", "k"), [*keys, "k"], "left_anti")
-        still = cut(still.join(settled.select(*keys, "k", "Camera"), [*keys, "k", "Camera"], "left_anti"))
+        gone.append((settled.select(*keys, F.col("i").alias("n")), n))
+        taken = gone[-1][0]
+        before, still = still, still.join(sized(taken.withColumnRenamed("n", "i"), n), [*keys, "i"], "left_anti")
+        still = still.join(sized(taken.withColumnRenamed("n", "k"), n), [*keys, "k"], "left_anti")
+        still = cut(still.join(sized(settled.select(*keys, "k", "Camera"), n), [*keys, "k", "Camera"], "left_anti"))
         drop_cut(before)
     if gone:
-        rows = rows.join(reduce(DataFrame.unionByName, gone), [*keys, "n"], "left_anti")
+        taken = sized(reduce(DataFrame.unionByName, [t for t, _ in gone]), sum(n for _, n in gone))
+        rows = rows.join(taken, [*keys, "n"], "left_anti")
     return rows.select(*S.KEYS, (F.col("bucket") * BUCKET / 100).alias("Timestamp"), "bucket", "Class", *place, F.col("Camera").alias("Source_Camera"))
 
 

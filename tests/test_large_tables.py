@@ -88,3 +88,20 @@ def test_small_parts_share_calls(spark, monkeypatch):
     rows = got.collect()
     total = {n: sum(r.error for r in rows if r.a // 10 == n) for n in range(60)}
     assert all(abs(total[n] - best[n]) < 1e-9 for n in range(60))
+
+
+def test_rounds_of_vehicles_never_broadcast_what_is_not_few(spark, monkeypatch):
+    """Pairs in a cut of a few megabytes may be millions of rows: only what is counted as few is broadcast."""
+    plans, real = [], components.cut
+
+    def seen(df):
+        plans.append(plan_of(df))
+        return real(df)
+
+    monkeypatch.setattr(presence, "cut", seen)
+    monkeypatch.setattr(presence, "sized", lambda df, n=None: components.sized(df, n, few=-1))
+    dice = random.Random(2)
+    rows = [("s", "d", n % 5, "car", f"c{n % 3}", n, n, dice.uniform(0, 40), dice.uniform(0, 40), float(dice.randrange(50))) for n in range(300)]
+    df = spark.createDataFrame(rows, "site_id string, session_id string, bucket long, Class string, Camera string, Track_ID long, ts_cs long, Local_X_Meters double, Local_Y_Meters double, precision double")
+    out = presence.vehicles(df)
+    assert 0 < out.count() < 300 and "BroadcastExchange" not in "".join([*plans, plan_of(out)])
