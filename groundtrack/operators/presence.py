@@ -66,18 +66,21 @@ def vehicle_rows(df: DataFrame, one_per_track: bool = False) -> DataFrame:
     return rows
 
 
-def _pairs(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Later row i and earlier row k of a group, of different cameras and within the class's radius d: rows
-    meet in neighbouring cells of that size, so a pair is made once and far rows never meet. n: rows at most."""
+def _pairs(rows: DataFrame, keys: list[str], n: int, side: float = 4.0) -> DataFrame:
+    """Later row i and earlier row k of a group, of different cameras and within the class's radius d.
+
+    The earlier row lies in one cell of `side` radii, the later one in those that its radius touches, some
+    two on average: a pair is made once and far rows never meet. n: rows at most."""
     radius = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in S.VEHICLE_RADIUS.items() for v in pair]), F.col("Class")), F.lit(S.OTHER_RADIUS))
-    cell = lambda c: F.floor(F.col(c) / F.col("radius"))
-    side = rows.withColumn("radius", radius).select(*keys, "n", "radius", "Camera", F.col("Local_X_Meters").alias("x"), F.col("Local_Y_Meters").alias("y"))
-    near = lambda c: F.explode(F.array(*[c + F.lit(step) for step in (-1, 0, 1)]))
-    left = side.withColumn("cx", near(F.floor(F.col("x") / F.col("radius")))).withColumn("cy", near(F.floor(F.col("y") / F.col("radius"))))
-    right = side.select(*keys, F.col("n").alias("k"), F.col("Camera").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    met = left.join(sized(right, n), [*keys, "cx", "cy"]).where("k < n and other <> Camera")
+    cell = lambda at: F.floor(at / (radius * side))
+    x, y = F.col("Local_X_Meters").alias("x"), F.col("Local_Y_Meters").alias("y")
+    # a hair more than the radius, so that no rounding of a quotient leaves a cell out
+    touched = lambda c: F.explode(F.sequence(cell(F.col(c) - radius * 1.001), cell(F.col(c) + radius * 1.001)))
+    left = rows.select(*keys, "n", "Camera", x, y).withColumn("cx", touched("x")).withColumn("cy", touched("y"))
+    right = rows.select(*keys, F.col("n").alias("k"), F.col("Camera").alias("other"), x.alias("ox"), y.alias("oy"), cell(x).alias("cx"), cell(y).alias("cy"))
+    met = left.join(sized(right, n), ["bucket", "cx", "cy", *[c for c in keys if c != "bucket"]]).where("k < n and other <> Camera")
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    return met.withColumn("d", F.sqrt(dx * dx + dy * dy)).where("d <= radius").select(*keys, F.col("n").alias("i"), "Camera", "k", "d")
+    return met.withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius).select(*keys, F.col("n").alias("i"), "Camera", "k", "d")
 
 
 def vehicles(rows: DataFrame) -> DataFrame:

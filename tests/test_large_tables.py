@@ -105,3 +105,14 @@ def test_rounds_of_vehicles_never_broadcast_what_is_not_few(spark, monkeypatch):
     df = spark.createDataFrame(rows, "site_id string, session_id string, bucket long, Class string, Camera string, Track_ID long, ts_cs long, Local_X_Meters double, Local_Y_Meters double, precision double")
     out = presence.vehicles(df)
     assert 0 < out.count() < 300 and "BroadcastExchange" not in "".join([*plans, plan_of(out)])
+
+
+def test_a_vehicle_is_looked_for_in_two_cells_or_so(spark):
+    """Rows are laid out for the cells that their radius touches, not for all nine neighbours, and no pair is lost."""
+    dice = random.Random(4)
+    rows = [("s", "d", 0, "car", f"c{n % 3}", n, dice.uniform(-200, 200), dice.uniform(-200, 200)) for n in range(1500)]
+    df = spark.createDataFrame(rows, "site_id string, session_id string, bucket long, Class string, Camera string, n long, Local_X_Meters double, Local_Y_Meters double")
+    got = presence._pairs(df, ["bucket", "Class", "site_id", "session_id"], 1500)
+    want = {(i[5], k[5]) for i in rows for k in rows if k[5] < i[5] and k[4] != i[4] and (i[6] - k[6]) ** 2 + (i[7] - k[7]) ** 2 <= 36}
+    assert sorted((r.i, r.k) for r in got.collect()) == sorted(want)
+    assert "array((floor" not in plan_of(got)  # nine copies by arrays of neighbours
