@@ -21,7 +21,7 @@ def precision(df: DataFrame, hulls: DataFrame | None = None) -> DataFrame:
     hull (one row for each camera); without a row, or without planes, the weight is 1."""
     if hulls is None:
         return df.withColumn("precision", height(True))
-    df = df.join(hulls.select(*S.KEYS, "Camera", "planes"), [*S.KEYS, "Camera"], "left")
+    df = df.join(sized(hulls.select(*S.KEYS, "Camera", "planes")), [*S.KEYS, "Camera"], "left")
     inside = F.forall("planes", lambda p: p["a"] * F.col("Foot_X") + p["b"] * F.col("Foot_Y") + p["c"] >= 0)
     known = F.coalesce(F.size("planes") >= 3, F.lit(False))
     weight = F.when(known & ~F.coalesce(inside, F.lit(False)), 0.5).otherwise(1.0)
@@ -33,10 +33,11 @@ def best_views(people: DataFrame, bucket_cs: int = BUCKET) -> DataFrame:
 
     A top-one aggregate, so that rows are reduced before they move."""
     people = people.where(F.col("Local_X_Meters").isNotNull()).withColumn("bucket", bucket_of(F.col("ts_cs"), bucket_cs))
-    keys = [*S.KEYS, "Global_ID", "bucket"]
-    rest = [c for c in people.columns if c not in keys]
-    rank = F.struct(-F.col("precision"), "Camera", "Track_ID", "ts_cs")
-    return people.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row")).select(*keys, "_row.*")
+    keys, rank = [*S.KEYS, "Global_ID", "bucket"], ["Camera", "Track_ID", "ts_cs"]
+    rest = [c for c in people.columns if c not in [*keys, *rank, "precision"]]
+    row = F.struct((-F.col("precision")).alias("_less"), *rank, *rest)  # its first fields are the rank; nothing moves twice
+    best = people.groupBy("bucket", "Global_ID", *S.KEYS).agg(F.min(row).alias("_row"))
+    return best.select(*keys, (-F.col("_row._less")).alias("precision"), *(F.col(f"_row.{c}").alias(c) for c in [*rank, *rest]))
 
 
 def gaps_filled(best: DataFrame, bucket_cs: int = BUCKET, most_cs: int = 100) -> DataFrame:

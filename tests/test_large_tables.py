@@ -116,3 +116,16 @@ def test_a_vehicle_is_looked_for_in_two_cells_or_so(spark):
     want = {(i[5], k[5]) for i in rows for k in rows if k[5] < i[5] and k[4] != i[4] and (i[6] - k[6]) ** 2 + (i[7] - k[7]) ** 2 <= 36}
     assert sorted((r.i, r.k) for r in got.collect()) == sorted(want)
     assert "array((floor" not in plan_of(got)  # nine copies by arrays of neighbours
+
+
+@pytest.mark.parametrize("name", ["composite_best_view"])
+def test_few_areas_are_broadcast_and_rows_stay_narrow(spark, sf_dir, name):
+    """The table of areas is counted and broadcast at any size of the events, so rows do not move for it, and no
+    column moves that the result has not."""
+    bar = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bar)
+    assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "Camera" in x] and "Detection_Conf" not in plan
