@@ -118,7 +118,7 @@ def test_a_vehicle_is_looked_for_in_two_cells_or_so(spark):
     assert "array((floor" not in plan_of(got)  # nine copies by arrays of neighbours
 
 
-@pytest.mark.parametrize("name", ["composite_best_view", "composite_gap_fill"])
+@pytest.mark.parametrize("name", ["composite_best_view", "composite_gap_fill", "counts_over_time"])
 def test_few_areas_are_broadcast_and_rows_stay_narrow(spark, sf_dir, name):
     """The table of areas is counted and broadcast at any size of the events, so rows do not move for it, and no
     column moves that the result has not."""
