@@ -10,7 +10,7 @@ from groundtrack import queries
 from groundtrack.operators import components, coverage, detections, identities, presence, quantiles, stitch
 from groundtrack.queries import QUERIES
 
-NAMES = "box_overlap_filter clear_views clock_offset".split()
+NAMES = "box_overlap_filter clear_views clock_offset cosighting_pairs".split()
 
 
 def broadcasts(plan: str) -> list[str]:
