@@ -21,7 +21,7 @@ def sharp(frames: DataFrame, least: float) -> DataFrame:
 def empty_frames(frames: DataFrame, detections: DataFrame, name: str | None = None) -> DataFrame:
     """Frames without a detection (of a class, if given)."""
     found = detections if name is None else detections.where(F.col("Class") == name)
-    return frames.join(found.select(*FRAME), FRAME, "left_anti")
+    return frames.join(found.select(*FRAME), FRAME[::-1], "left_anti")
 
 
 def soft_empty_frames(frames: DataFrame, detections: DataFrame, bar: float) -> DataFrame:
