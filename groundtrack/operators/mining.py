@@ -26,7 +26,7 @@ def empty_frames(frames: DataFrame, detections: DataFrame, name: str | None = No
 
 def soft_empty_frames(frames: DataFrame, detections: DataFrame, bar: float) -> DataFrame:
     """Frames without a detection of `bar` or more."""
-    return frames.join(detections.where(F.col("Detection_Conf") >= bar).select(*FRAME), FRAME, "left_anti")
+    return frames.join(detections.where(F.col("Detection_Conf") >= bar).select(*FRAME), FRAME[::-1], "left_anti")
 
 
 def evenly(frames: DataFrame, n: int) -> DataFrame:

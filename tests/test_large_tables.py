@@ -10,7 +10,7 @@ from groundtrack import queries
 from groundtrack.operators import components, coverage, detections, identities, presence, quantiles, stitch
 from groundtrack.queries import QUERIES
 
-NAMES = "box_overlap_filter clear_views clock_offset cosighting_pairs coverage_areas coverage_cells fingerprint_views mined_frames handoff_identities riderless_rows run_summary settled_identities similarity_bars stranger_pairs stranger_scores travel_mode empty_frames even_sample".split()
+NAMES = "box_overlap_filter clear_views clock_offset cosighting_pairs coverage_areas coverage_cells fingerprint_views mined_frames handoff_identities riderless_rows run_summary settled_identities similarity_bars stranger_pairs stranger_scores travel_mode empty_frames even_sample soft_empty_frames".split()
 
 
 def broadcasts(plan: str) -> list[str]:
